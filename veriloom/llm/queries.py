@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import imatch, mixing
+from . import imatch, licenses, mixing, packing, pseudonyms
+
+
+#: For the queries alone: a deployment passes a key of its own.
+PSEUDONYM_KEY = b"veriloom example key"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,12 +21,24 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_to_targets(_table(spark, sf_dir, "documents"))
 
 
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonym_report(_table(spark, sf_dir, "documents"), key=PSEUDONYM_KEY)
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mix_sources, op10_imatch_fingerprints)}
+    return {f.__name__: f for f in (op3_mix_sources, op4_pii_pseudonyms, op6_license_scan, op8_best_fit_packing, op10_imatch_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:

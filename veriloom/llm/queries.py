@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import imatch, licenses, mixing, packing, pseudonyms
+from . import imatch, licenses, mixing, onebit, packing, pseudonyms, toxicity
 
 
 #: For the queries alone: a deployment passes a key of its own.
@@ -25,10 +25,19 @@ def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonym_report(_table(spark, sf_dir, "documents"), key=PSEUDONYM_KEY)
 
 
+def op5_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op7_onebit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "embeddings")
+    return onebit.search(table, table.where("vec_id % 20 = 0"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -38,7 +47,7 @@ def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mix_sources, op4_pii_pseudonyms, op6_license_scan, op8_best_fit_packing, op10_imatch_fingerprints)}
+    return {f.__name__: f for f in (op3_mix_sources, op4_pii_pseudonyms, op5_toxicity_trees, op6_license_scan, op7_onebit_search, op8_best_fit_packing, op10_imatch_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:

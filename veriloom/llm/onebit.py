@@ -9,43 +9,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
+CODE_FACTOR = 8  # vectors are padded to this many times their length before the rotation: longer codes, tighter bounds
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
-    """A random orthogonal matrix, the same on every executor."""
-    q, r = np.linalg.qr(np.random.default_rng([seed, dim]).standard_normal((dim, dim)))
+    """The part of a random orthogonal matrix of the padded space that acts on `dim` components; the same everywhere."""
+    full = -(-dim * CODE_FACTOR // 64) * 64
+    q, r = np.linalg.qr(np.random.default_rng([seed, dim]).standard_normal((full, dim)))
     return q * np.sign(np.diag(r))
 
 
+def _pack(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(bits, axis=-1).view(np.uint64)
+
+
 def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed sign bits of the rotated unit vectors, the norms, and each code's inner product with its unit vector."""
     norms = np.linalg.norm(vectors, axis=1)
     turned = (vectors / norms[:, None]) @ turn.T
-    bits = np.packbits(turned > 0, axis=1)
-    return bits, norms, np.abs(turned).sum(axis=1) / np.sqrt(vectors.shape[1])
+    return _pack(turned > 0), norms, np.abs(turned).sum(axis=1) / np.sqrt(turn.shape[0])
 
 
 def estimate(bits: np.ndarray, norms: np.ndarray, align: np.ndarray, query: np.ndarray, turn: np.ndarray, confidence: float) -> tuple[np.ndarray, np.ndarray]:
     """Inner products of the coded vectors with one query, and how far they may be off.
 
-    The query is rotated and each component rounded to 4 bits, so that an estimate is four ANDs with popcounts.
+    The query is rotated and each component rounded to 4 bits, so that an estimate is four ANDs with popcounts.  The
+    bound is `confidence` standard deviations of the code's error and of the rounding.
     """
-    dim = query.shape[0]
+    full = turn.shape[0]
     q = turn @ query
-    size = np.linalg.norm(query)
     low, high = q.min(), q.max()
     step = (high - low) / 15 or 1.0
     levels = np.rint((q - low) / step).astype(np.uint8)
-    planes = [np.packbits((levels >> j) & 1) for j in range(4)]
-    ones = POPCOUNT[bits].sum(axis=1, dtype=np.int32)
-    dot = sum((1 << j) * POPCOUNT[bits & plane].sum(axis=1, dtype=np.int32) for j, plane in enumerate(planes))
-    root = np.sqrt(dim)
-    total = float(levels.sum())
-    signed = (2 * (step * dot + low * ones) - (step * total + low * dim)) / root
-    rounding = step / 2 * root  # the rounded query differs by step / 2 a component at most
-    bound = norms * (size * np.sqrt(np.maximum(0.0, 1 - align**2)) / align * confidence / np.sqrt(max(1, dim - 1)) + rounding / align)
-    return norms * signed / align, bound
+    ones = np.bitwise_count(bits).sum(axis=1, dtype=np.int32)
+    dot = sum((1 << j) * np.bitwise_count(bits & _pack((levels >> j) & 1)).sum(axis=1, dtype=np.int32) for j in range(4))
+    signed = (2 * (step * dot + low * ones) - (step * float(levels.sum()) + low * full)) / np.sqrt(full)
+    spread = np.linalg.norm(query) * np.sqrt(np.maximum(0.0, 1 - align**2)) / np.sqrt(full - 1) + step / np.sqrt(12)
+    return norms * signed / align, confidence * norms * spread / align
 
 
 def search(table: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 8192, block_queries: int = 2048, confidence: float = 1.9, seed: int = 7) -> DataFrame:

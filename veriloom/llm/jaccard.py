@@ -277,9 +277,9 @@ def _pivot_round(rows: DataFrame, sizes: DataFrame, texts: DataFrame, width: int
 
     def run(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         shingler = Shingler(width)
-        pivot_ids = b["doc_id"].to_pylist()
+        pivot_ids = b["pivot"].to_pylist()
         order = np.argsort(pivot_ids)
-        sets = [shingler(b["text"][int(i)].as_py()) for i in order]
+        sets = [shingler(b["pivot_text"][int(i)].as_py()) for i in order]
         pivot_ids = [pivot_ids[int(i)] for i in order]
         near, links = [], []
         for text in a["text"]:
@@ -292,16 +292,16 @@ def _pivot_round(rows: DataFrame, sizes: DataFrame, texts: DataFrame, width: int
         return pa.table({"doc_id": a["doc_id"], "label": a["label"], "region": a["region"], "links": pa.array(links, pa.list_(pa.int64())), "cells": pa.array(near, pa.list_(pa.int64()))})
 
     left = dealt.select("region", "chunk", "doc_id", "label", "text").groupBy("region", "chunk")
-    right = pivots.select("region", "chunk", "doc_id", "text").groupBy("region", "chunk")
+    right = pivots.select(F.col("region").alias("pivot_region"), F.col("chunk").alias("pivot_chunk"), F.col("doc_id").alias("pivot"), F.col("text").alias("pivot_text")).groupBy("pivot_region", "pivot_chunk")
     return left.cogroup(right).applyInArrow(run, "doc_id bigint, label bigint, region bigint, links array<bigint>, cells array<bigint>")
 
 
-def _blocks(rows: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, radius: Radius) -> DataFrame:
+def _blocks(rows: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, radius: Radius, n_docs: int) -> DataFrame:
     """The exact way for regions that pivots do not part: every pair of chunks in one task, linked pairs passed over."""
     spread = rows.join(sizes, "region").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
     spread = spread.select("doc_id", "label", F.xxhash64("region", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("region"))
-    return _in_task(spread, texts, width, radius, 1_000_000)
+    return _in_task(spread, texts, width, radius, n_docs)
 
 
 def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -345,7 +345,7 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
             break
         large = sizes.where("NOT small").select("region", "chunks")
         if r == ROUNDS:
-            links.append(materialize(_blocks(rows.drop("n"), large, texts, width, radius), "block-links"))
+            links.append(materialize(_blocks(rows.drop("n"), large, texts, width, radius, count[False] * -(-count[False] // REGION_DOCS)), "block-links"))
             break
         cut = materialize(_pivot_round(rows.drop("n").join(large.select("region"), "region"), large, texts, width, radius, 100 + r), "cells")
         linked = cut.select(F.col("doc_id").alias("a"), F.explode("links").alias("b")).where("a <> b")

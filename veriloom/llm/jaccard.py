@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -371,8 +371,15 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
     return known.unionByName(nameless).unionByName(empty)
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of `docs` whose doc_id names its component: one document of each group of near duplicates stays."""
-    id_col = how.get("id_col", "doc_id")
-    rest = jaccard_components(docs, **how).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(rest, id_col, "left_anti")
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """All columns of the documents that stay: of each component the one whose id names it.
+
+    Rows without an id stay.  Of rows with the same id the first by text stays, as they are one document.
+    """
+    found = jaccard_components(docs, id_col=id_col, text_col=text_col, **how)
+    stay = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    stay = stay.where("doc_id = component_id").select(F.col("doc_id").alias("_stays"), F.col("rows").alias("_rows"))
+    joined = docs.join(stay, F.col(id_col).cast("bigint") == F.col("_stays"))
+    turn = F.row_number().over(Window.partitionBy("_stays").orderBy(F.col(text_col)))
+    named = joined.withColumn("_turn", F.when(F.col("_rows") > 1, turn).otherwise(1)).where("_turn = 1").drop("_stays", "_rows", "_turn")
+    return named.unionByName(docs.where(F.col(id_col).isNull()))

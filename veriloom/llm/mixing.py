@@ -52,24 +52,27 @@ def mix_to_targets(
     budget_ratio: float = 1.5,
     max_epochs: int = 2,
     seed: str = "mix-1",
+    carry: bool = False,
 ) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, taken, whole, extra.
+    """One row a document: doc_id, source, size, source_size, target, taken, whole, extra (and `row` with `carry`).
 
     `size` counts words of the whole text.  Each document is repeated `whole` times; then, in seeded order, documents
     take one repetition more until the source has its target; the last of them takes only the words still missing
     (`extra`), so a source's taken words equal its rounded target.  A null text or one without words has size 0 and
     takes 0; a null source is a source of its own, after all others; an empty table gives no rows; repeated rows count
-    each; other columns are ignored, whatever their names.
+    each; other columns are ignored, whatever their names, but all are in the struct `row` with `carry`.
     """
     h = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    slim = docs.select(
+    whole_row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    wide = docs.select(
+        *whole_row,
         F.col(id_col).alias("doc_id"),
         F.col(source_col).isNull().alias("src_null"),
         F.coalesce(F.col(source_col), F.lit("")).alias("src"),
         word_count(F.col(text_col)).alias("size"),
         h.alias("h"),
     ).withColumn("bucket", F.substring("h", 1, BUCKETS_HEX))
-    slim = materialize(slim, "mix-sizes")
+    slim = materialize(wide.drop("row"), "mix-sizes")
     by_bucket = slim.groupBy("src_null", "src", "bucket").agg(F.sum("size").alias("bucket_size"))
     targets = source_targets(by_bucket.groupBy("src_null", "src").agg(F.sum("bucket_size").alias("source_size")), weights, budget_ratio, max_epochs)
     earlier = Window.partitionBy("src_null", "src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -81,7 +84,7 @@ def mix_to_targets(
         .drop("bucket_size")
     )
     inside = Window.partitionBy("src_null", "src", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = slim.join(plan, ["src_null", "src", "bucket"]).withColumn("before", F.col("bucket_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = (wide if carry else slim).join(plan, ["src_null", "src", "bucket"]).withColumn("before", F.col("bucket_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("more") - F.col("before")))
     return placed.withColumn("extra", extra.cast("bigint")).select(
         "doc_id",
@@ -92,9 +95,40 @@ def mix_to_targets(
         (F.col("whole") * F.col("size") + F.col("extra")).cast("bigint").alias("taken"),
         F.col("whole").cast("bigint").alias("whole"),
         "extra",
+        *(["row"] if carry else []),
     )
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word."""
+    pieces = F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1)
+    return F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), "")
+
+
+def mixed_documents(docs: DataFrame, *, text_col: str = "text", chars_col: str | None = "n_chars", **how) -> DataFrame:
+    """The mix itself, in the columns of `docs`: a row for each repetition; the last of a source may be cut.
+
+    Documents without words are taken nowhere.  A cut repetition has the first `extra` words of its text, and the
+    number of its characters in `chars_col` where there is such a column.
+    """
+    placed = mix_to_targets(docs, text_col=text_col, carry=True, **how).where("taken > 0")
+    times = F.sequence(F.lit(1).cast("bigint"), F.col("whole") + F.when(F.col("extra") > 0, 1).otherwise(0))
+    each = placed.withColumn("time", F.explode(times))
+    cut = (F.col("time") > F.col("whole")) & (F.col("extra") < F.col("size"))
+    text = F.when(cut, first_words(F.col("row").getField(text_col), F.col("extra"))).otherwise(F.col("row").getField(text_col))
+    each = each.withColumn("cut", cut).withColumn("new_text", text)
+
+    def column(c: str) -> Column:
+        own = F.col("row").getField(c)
+        if c == text_col:
+            return F.col("new_text").alias(c)
+        if c == chars_col:
+            return F.when(F.col("cut"), F.char_length("new_text").cast(docs.schema[c].dataType)).otherwise(own).alias(c)
+        return own.alias(c)
+
+    return each.select(*[column(c) for c in docs.columns])
+
+
 ORACLE_SQL = r"""
 WITH slim AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,

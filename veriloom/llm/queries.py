@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import imatch, jaccard, licenses, mixing, onebit, packing, pseudonyms, toxicity
+from . import imatch, jaccard, licenses, mixing, onebit, packing, pseudonyms, toxicity, warc
 
 
 #: For the queries alone: a deployment passes a key of its own.
@@ -17,6 +17,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.archive_and_index(_table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -51,8 +56,8 @@ def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_components, op3_mix_sources, op4_pii_pseudonyms, op5_toxicity_trees, op6_license_scan, op7_onebit_search, op8_best_fit_packing, op10_imatch_fingerprints)}
+    return {f.__name__: f for f in (op1_warc_index, op2_jaccard_components, op3_mix_sources, op4_pii_pseudonyms, op5_toxicity_trees, op6_license_scan, op7_onebit_search, op8_best_fit_packing, op10_imatch_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.ORACLE_SQL}
+    return {"op1_warc_index": warc.ORACLE_SQL, "op3_mix_sources": mixing.ORACLE_SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import imatch, jaccard, licenses, mixing, onebit, packing, pseudonyms, toxicity, warc
+from . import imatch, jaccard, licenses, mixing, onebit, packing, pseudonyms, repeats, toxicity, warc
 
 
 #: For the queries alone: a deployment passes a key of its own.
@@ -51,12 +51,16 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op10_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_index, op2_jaccard_components, op3_mix_sources, op4_pii_pseudonyms, op5_toxicity_trees, op6_license_scan, op7_onebit_search, op8_best_fit_packing, op10_imatch_fingerprints)}
+    return {f.__name__: f for f in (op1_warc_index, op2_jaccard_components, op3_mix_sources, op4_pii_pseudonyms, op5_toxicity_trees, op6_license_scan, op7_onebit_search, op8_best_fit_packing, op9_repeated_passages, op10_imatch_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:

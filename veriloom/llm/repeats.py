@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, release
 
 U64 = np.uint64
 NONE = U64(2**64 - 1)
@@ -298,14 +298,6 @@ def _by_windows(strings: DataFrame, span: int) -> DataFrame:
     return windows.join(least, "w").where("doc_id > least").select("doc_id", "lo", (F.col("lo") + span).alias("hi"))
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of stages whose results are already written."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left, `with_text`).
 
@@ -322,19 +314,19 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     whole = slim.join(copied, "sha").where("doc_id > first").select("doc_id", F.lit(0).alias("lo"), F.col("n_bytes").cast("int").alias("hi"))
     texts = base.where(F.octet_length("text") >= span)
     marks = materialize(settle(anchor_rows(texts, span, gram)), "repeat-marks")
-    _release(spark)
+    release(spark)
     before, after = span - gram, span
     sized = F.greatest(F.lit(0), F.col("pos") - before)
     done = marks.where("done").select("doc_id", sized.alias("lo"), (F.col("pos") + after).alias("hi"))
     open_rows = marks.where("NOT done").select("anchor", "doc_id", "pos")
     strings = materialize(_strings(open_rows, texts, span, gram), "repeat-strings")
-    _release(spark)
+    release(spark)
     per = strings.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
     hot = materialize(per.where(F.col("n") > HOT_STRINGS).select("anchor"), "repeat-hot")
     n = strings.count()
     found = done.unionByName(whole).unionByName(_by_suffixes(strings.join(hot, "anchor", "left_anti"), n, span)).unionByName(_by_windows(strings.join(hot, "anchor", "left_semi"), span))
     spans = materialize(found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans")), "repeat-spans")
-    _release(spark)
+    release(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

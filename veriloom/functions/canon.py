@@ -30,9 +30,9 @@ def escape(text: Column, ascii_only: bool = False) -> Column:
 def _ascii(text: Column) -> Column:
     def one(ch: Column) -> Column:
         units = F.lower(F.hex(F.encode(ch, "UTF-16BE")))
-        return F.when(F.octet_length(ch) == 1, ch).otherwise(F.regexp_replace(units, "([0-9a-f]{4})", "\\\\u$1"))
+        return F.when((F.octet_length(ch) == 1) & (ch != "\x7f"), ch).otherwise(F.regexp_replace(units, "([0-9a-f]{4})", "\\\\u$1"))
 
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(F.split(text, ""), one), "")).otherwise(text)
+    return F.when(text.rlike(r"[^\x00-\x7E]"), F.array_join(F.transform(F.split(text, ""), one), "")).otherwise(text)
 
 
 def string(text: Column, ascii_only: bool = False) -> Column:

@@ -16,8 +16,11 @@ from .shared import materialize
 
 WORD = re.compile(r"[^\W\d_]+")
 RUNS = re.compile(r"([!?*#$%&@])\1+")
-MIXED = re.compile(r"[^\W\d_]+[0-9@$!*]+[^\W\d_]+")
-SPACED = re.compile(r"\b[^\W\d_](?:[ .\-*_][^\W\d_]){3,}\b")
+MIXED = re.compile(r"(?<=[^\W\d_])[0-9@$!*]+(?=[^\W\d_])")  # inside a word
+LAST, FIRST = re.compile(r"[^\W\d_]+$"), re.compile(r"[^\W\d_]+")
+SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .\-*_][^\W\d_](?![^\W_])){3,}")
+UPPER = re.compile("[A-ZÀ-ÖØ-Þ]")
+SHOUT = re.compile("[A-ZÀ-ÖØ-Þ]{3,}")
 PLAIN = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer tú ti usted ustedes vosotros".split())
 # A small lexicon to start from; words and stems are learned beside it.
@@ -39,42 +42,48 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def features(text: str, lexicon: dict[str, float]) -> list[float]:
+class Lexicon(dict):
+    """word -> None, or (word weight, stem weight, insult, second person); looked up once a word while remembered."""
+
+    def __init__(self, weights: dict[str, float], remember: int = 500_000):
+        super().__init__()
+        self.weights, self.remember = weights, remember
+
+    def __missing__(self, word: str) -> tuple[float, float, bool, bool] | None:
+        if len(self) >= self.remember:
+            self.clear()
+        get = self.weights.get
+        found = (get(word, 0.0), max((get(s, 0.0) for s in stems(word)), default=0.0), word in INSULTS, word in SECOND_PERSON)
+        self[word] = found = found if any(found) else None
+        return found
+
+
+def features(text: str, lexicon: Lexicon) -> list[float]:
     """Dense features of one whole text; an empty one has all zero."""
     words = words_of(text)
     n = max(1, len(words))
     letters = sum(map(len, words)) or 1
-    hits, stem_hits, seed = [], [], 0
-    weights: dict[str, tuple[float, float]] = {}
-    places, persons = [], []
-    for i, w in enumerate(words):
-        if w not in weights:
-            weights[w] = (lexicon.get(w, 0.0), max((lexicon.get(s, 0.0) for s in stems(w)), default=0.0))
-        a, b = weights[w]
-        if a:
-            hits.append(a)
-        if b:
-            stem_hits.append(b)
-        insult = w in INSULTS
-        seed += insult
-        if a or b or insult:
-            places.append(i)
-        if w in SECOND_PERSON:
-            persons.append(i)
+    marked = [(i, x) for i, x in enumerate(map(lexicon.__getitem__, words)) if x is not None]
+    hits = [x[0] for _, x in marked if x[0]]
+    stem_hits = [x[1] for _, x in marked if x[1]]
+    seed = sum(x[2] for _, x in marked)
+    places = [i for i, x in marked if x[0] or x[1] or x[2]]
+    persons = [i for i, x in marked if x[3]]
     near = 0
     if persons and places:
         gaps = np.searchsorted(persons, places)
         at, to = np.array(places), np.array([-(10**9), *persons, 10**9])
         near = int((np.minimum(at - to[gaps], to[gaps + 1] - at) <= 4).sum())
-    upper = sum(map(str.isupper, text)) if not text.islower() else 0
-    shout = sum(1 for w in WORD.findall(text) if len(w) > 2 and w.isupper()) if upper > 2 else 0
-    mixed = MIXED.findall(text) if not text.isalpha() else []
-    hidden = sum(1 for m in mixed if (p := m.lower().translate(PLAIN)) in INSULTS or lexicon.get(p, 0.0) > 0)
-    spaced = SPACED.findall(text)
+    shouts = SHOUT.findall(text)
+    mixed = [(text[: m.start()][-24:], m[0], text[m.end() : m.end() + 24]) for m in MIXED.finditer(text)]
+    hidden = 0
+    for before, inner, after in mixed:
+        x = lexicon[(LAST.search(before)[0] + inner + FIRST.match(after)[0]).lower().translate(PLAIN)]
+        hidden += x is not None and (x[0] > 0 or x[2])
     return [
         np.log1p(len(words)), sum(hits) / n, len(hits), max(hits, default=0.0), sum(stem_hits) / n, len(stem_hits), max(stem_hits, default=0.0), seed, seed / n,
-        len(persons) / n, near / n * 100, upper / letters, shout / n, text.count("!") / n, text.count("?") / n, len(RUNS.findall(text)) / n,
-        len(mixed) / n, len(spaced) / n, hidden, len({w for w, (a, b) in weights.items() if a or b or w in INSULTS}),
+        len(persons) / n, near / n * 100, len(UPPER.findall(text)) / letters, len(shouts) / n, text.count("!") / n, text.count("?") / n, len(RUNS.findall(text)) / n,
+        len(mixed) / n, len(SPACED.findall(text)) / n, hidden, len({words[i] for i in places}),
     ]
 
 
@@ -169,11 +178,11 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate:
 
 @dataclass
 class ToxicityModel:
-    lexicon: dict[str, float]
+    weights: dict[str, float]
     trees: Trees
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        return self.trees.score(np.array([features(t, self.lexicon) for t in texts], dtype=float).reshape(len(texts), len(FEATURES)))
+    def scores(self, texts: list[str], lexicon: Lexicon) -> np.ndarray:
+        return self.trees.score(np.array([features(t, lexicon) for t in texts], dtype=float).reshape(len(texts), len(FEATURES)))
 
 
 def fold(id_col: str) -> F.Column:
@@ -186,7 +195,6 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     A third of them each learns the lexicon (log-odds of words and stems), the trees, and the calibration, so that none
     judges rows it was made from.  Labels of one id are joined by their maximum; null labels and ids are left out.
     """
-    spark = docs.sparkSession
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     picked = marked.orderBy(F.xxhash64("id", F.lit(salt)), "id").limit(sample)
     part = F.pmod(F.xxhash64("id", F.lit(salt + 1)), F.lit(3)).alias("part")
@@ -214,11 +222,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     totals = first.select("text", "y").mapInArrow(count, "term string, pos bigint, neg bigint").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / F.lit(n["pos"] + 1.0)) - F.log((F.col("neg") + 0.5) / F.lit(n["neg"] + 1.0))
     learned = totals.where("pos >= 3").withColumn("odds", odds).where("odds > 2.5").orderBy(F.desc("odds"), "term").limit(lexicon_size)
-    lexicon = {r["term"]: r["odds"] for r in learned.select("term", "odds").collect()}
+    weights = {r["term"]: r["odds"] for r in learned.select("term", "odds").collect()}
 
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Lexicon(weights)
         for batch in batches:
-            made = [features(t, lexicon) for t in batch.column(0).to_pylist()]
+            made = [features(t, known) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.list_(pa.float64())), batch.column(1), batch.column(2), batch.column(3)], names=["x", "y", "part", "id"])
 
     made = rows.where("part > 0").select("text", "y", "part", "id").mapInArrow(dense, f"x array<double>, y int, part bigint, id {rows.schema['id'].dataType.simpleString()}").orderBy("id").toPandas()
@@ -226,8 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     y, second = (made["y"].to_numpy() > 0).astype(float), (made["part"] == 1).to_numpy()
     trees = boost(x[second], y[second])
     trees.steps = isotonic(trees.margin(x[~second]), y[~second]) if (~second).any() else trees.steps
-    del spark
-    return ToxicityModel(lexicon, trees)
+    return ToxicityModel(weights, trees)
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -236,8 +244,9 @@ def score(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", scor
     names, at = rows.columns, rows.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Lexicon(model.weights)
         for batch in batches:
-            made = model.scores([t or "" for t in batch.column(at).to_pylist()])
+            made = model.scores([t or "" for t in batch.column(at).to_pylist()], known)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())], names=[*names, score_col])
 
     from pyspark.sql.types import DoubleType, StructField, StructType

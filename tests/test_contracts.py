@@ -205,3 +205,26 @@ def test_entry_points(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_sql_surface(spark):
+    from veriloom import engine
+
+    engine.register(spark)
+    spark.createDataFrame([("<title>T</title><h1>A</h1><p>b <b>c</b></p>",)], "html string").createOrReplaceTempView("pages_sql")
+    r = spark.sql("SELECT html_title(html) t, html_markdown(html) m, html_text(html) x, is_sha256(content_hash(html)) h FROM pages_sql").first()
+    assert (r.t, r.m, r.x, r.h) == ("T", "# A\n\nb **c**", "A\nb c", True)
+    blocks = spark.sql("SELECT b.tag, b.text FROM pages_sql, LATERAL html_blocks(html) b ORDER BY b.ord").collect()
+    assert [tuple(b) for b in blocks] == [("h1", "A"), ("p", "b c")]
+    assert spark.read.format("veriloom_web").option("urls", "http://127.0.0.1/x file:///etc/passwd").load().where("error LIKE 'refused%'").count() == 2
+
+
+def test_entries_and_search(spark):
+    hits = spark.createDataFrame([("q", 1, "t1", "u1"), ("q", 2, "t2", "u2"), ("q", 3, "t3", "u3")], "q string, k int, title string, url string")
+    leads = http.search_leads(hits, "q", "k", 2)
+    queries = spark.createDataFrame([("q",), ("none",)], "q string")
+    receipts = http.search_receipts(queries, leads, "q")
+    assert {r.q: (r.status, r.leads, r.ok) for r in receipts.collect()} == {"q": ("searched", 2, True), "none": ("UNVERIFIABLE", 0, True)}
+    entries = {r.entry_id: r for r in http.search_entries(receipts, leads, "q").collect()}
+    assert entries["q"].payload_sha256 == sha("u1|u2") and entries["none"].status == "unverified"
+    assert http.extraction_entries(spark.createDataFrame([("u", "T", ["x"], "h")], "url string, title string, blocks array<string>, markdown_sha256 string")).first().summary == "[extraction] u: 1 block(s), title T"

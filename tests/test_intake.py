@@ -174,3 +174,13 @@ def test_ascii_cores(spark):
     df = spark.createDataFrame([("é\U0001f600", 1.0)], "s string, x double")
     assert df.select(seal.core_json({"s": ("string", F.col("s")), "x": ("double", F.col("x"))})).first()[0] == json.dumps({"s": "é\U0001f600", "x": 1.0}, sort_keys=True)
     assert df.select(canon.sha256(F.col("s"))).first()[0] == sha("é\U0001f600")
+
+
+def test_origins_are_sealed_only_where_there_are_any(spark):
+    rows = make(spark, [("a", "alpha")])
+    verdict = lambda df: df.withColumn("origin", F.lit('{"verdict": "ok"}'))
+    r = runs.run([("docs", "x", rows)], started_at=1.0, origin=verdict)[0].first()
+    fields = json.loads(r.record)
+    assert fields["origins"] == [{"id": "a", "source": "web", "ref": "ra", "method": "http-get", "sha256": sha("alpha"), "origin": {"verdict": "ok"}}]
+    assert r.seal == sha(json.dumps(fields, sort_keys=True, ensure_ascii=False))
+    assert "origins" not in json.loads(runs.run([("docs", "x", rows)], started_at=1.0)[0].first().record)

@@ -87,3 +87,26 @@ def fetch_entries(receipts: DataFrame) -> DataFrame:
     sha = F.when(~F.col("not_modified") & (F.col("content_sha256") != ""), F.col("content_sha256")).otherwise(canon.sha256(F.col("url")))
     summary = F.concat(F.col("final_url"), F.lit(": HTTP "), F.col("status").cast("string"), F.lit(", "), F.col("attempts").cast("string"), F.lit(" attempt(s)"))
     return receipts.select(*bundle_entry(F.col("url"), "fetch", status, sha, summary, F.lit("fetch")))
+
+
+def extraction_entries(extracted: DataFrame, key: str = "url") -> DataFrame:
+    """Of extracted pages: the Markdown's hash, and how many blocks there are."""
+    summary = F.concat(F.col(key).cast("string"), F.lit(": "), F.size("blocks").cast("string"), F.lit(" block(s), title "), F.col("title"))
+    return extracted.select(*bundle_entry(F.col(key).cast("string"), "extraction", F.lit("pass"), F.col("markdown_sha256"), summary, F.lit("extraction")))
+
+
+def crawl_entries(verified: DataFrame, by: str) -> DataFrame:
+    """Of verified chains (`by`, ok, root_hash, entries)."""
+    status = F.when(F.col("ok"), "pass").otherwise("fail")
+    sha = F.when(F.col("root_hash") != "", F.col("root_hash")).otherwise(canon.sha256(F.lit("")))
+    summary = F.concat(F.lit("ledger: "), F.col("entries").cast("string"), F.lit(" page(s), chain "), status)
+    return verified.select(*bundle_entry(F.col(by).cast("string"), "crawl", status, sha, summary, F.lit("crawl")))
+
+
+def search_entries(receipts: DataFrame, leads: DataFrame, by: str) -> DataFrame:
+    """Of search receipts: the hash of the leads' URLs in order of rank."""
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "url"))), lambda x: x["url"]), "|")
+    rows = receipts.join(leads.groupBy(by).agg(joined.alias("urls")), by, "left")
+    status = F.when(F.col("status") == "searched", "pass").otherwise("unverified")
+    summary = F.concat(F.col(by).cast("string"), F.lit(": "), F.col("leads").cast("string"), F.lit(" lead(s)"))
+    return rows.select(*bundle_entry(F.col(by).cast("string"), "search-lead", status, canon.sha256(F.coalesce("urls", F.lit(""))), summary, F.lit("search")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,16 +34,19 @@ def record_json(r: dict[str, Column], origins: Column | None = None) -> Column:
 
 def with_seal(records: DataFrame) -> DataFrame:
     names = ("started_at", "targets", "scope", "gathered", "kept", "dropped", "synthesized", "digested", "digest_seal", "stored")
-    return records.withColumn("record", record_json({n: F.col(n) for n in names})).withColumn("seal", canon.sha256(F.col("record")))
+    origins = F.col("origins") if "origins" in records.columns else None
+    return records.withColumn("record", record_json({n: F.col(n) for n in names}, origins)).withColumn("seal", canon.sha256(F.col("record")))
 
 
 def verify_record(records: DataFrame) -> DataFrame:
     return with_seal(records.withColumnRenamed("seal", "_was")).withColumn("ok", F.col("seal") == F.col("_was")).drop("_was")
 
 
-def run(jobs: list[tuple[str, str, DataFrame]], *, started_at: float, scope: tuple[str, ...] = (), prompt: str | None = None, store: Corpus | None = None) -> tuple[DataFrame, DataFrame]:
+def run(jobs: list[tuple[str, str, DataFrame]], *, started_at: float, scope: tuple[str, ...] = (), prompt: str | None = None, store: Corpus | None = None, origin: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(record, items) of jobs (source, target, item rows with seq): union, scope, optional compilation, dedup, seal.
 
+    `origin` adds a column of that name to item rows: a provider's verdict as canonical JSON, sealed in the record with
+    the item's identity, in order of seq.  A run's record is one row, so this is for runs that one row can describe.
     Counts come from one pass over the scoped union; the derived item is added after the filter and is not filtered.
     """
     union = None
@@ -65,6 +70,10 @@ def run(jobs: list[tuple[str, str, DataFrame]], *, started_at: float, scope: tup
         F.lit(float(started_at)).alias("started_at"), targets.alias("targets"), F.array(*[F.lit(t) for t in scope]).cast("array<string>").alias("scope"), "gathered", "kept",
         (F.col("gathered") - F.col("kept")).alias("dropped"), F.lit(made).alias("synthesized"), "digested", F.col("seal").alias("digest_seal"), counts_of.alias("stored"),
     )
+    if origin is not None:
+        entry = canon.object_({**{c: canon.string(F.col(c)) for c in ("id", "source", "ref", "method", "sha256")}, "origin": F.coalesce(F.col("origin"), F.lit('{"error": "no verdict"}'))})
+        told = origin(final).select("seq", entry.alias("entry")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "entry"))), lambda x: x["entry"]).alias("origins"))
+        record = record.crossJoin(told)
     record = with_seal(record)
     if store:
         store.add_record(record)

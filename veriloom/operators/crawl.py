@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import urllib.robotparser
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -90,6 +91,8 @@ def crawl(fetch: Callable[[DataFrame], DataFrame], seeds: list[str], spark, *, m
     cannot be fetched are visited but not recorded; URLs that robots forbid are visited and not fetched; URLs deeper than
     max_depth stay unvisited.  A capped crawl keeps the rest of its frontier for resume.
     """
+    if not spark.conf.get("spark.checkpoint.dir", ""):  # waves cut lineage there; a folder of this machine only where none is named
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veriloom-"))
     own = [canonical(s) for s in seeds]
     allowed = list(hosts or sorted({s.split("/")[2].partition(":")[0] for s in own}))
     if resume:

@@ -96,7 +96,7 @@ class Corpus:
     def add(self, items: DataFrame) -> dict[str, int]:
         """Store item rows (seq gives their order); bodies first, then receipts.  Re-adding adds nothing."""
         catalog = self.rows
-        bodies = fresh_bodies(items, self.objects).withColumn("shard", F.substring("sha256", 1, 2))
+        bodies = fresh_bodies(items, self.objects).withColumn("shard", F.substring("sha256", 1, 2)).repartition("shard")  # a file a shard and task, not a shard in every task
         bodies.write.mode("append").partitionBy("shard").parquet(f"{self.path}/objects")
         top = catalog.agg(F.max("seq")).first()[0] or 0
         new = fresh_receipts(items, catalog).withColumn("seq", F.col("seq") + F.lit(top)).drop("text")

@@ -2,8 +2,9 @@
 
 Unrelated documents share no shingle, so their distance to any document used as a pivot is exactly 1 and a window around
 them takes in everything.  Pivots alone would leave all of them in one cell.  The space is therefore cut first where it is
-provably empty: sets within the radius are equal on one of a fixed number of parts of the universe (pigeonhole), and
-sets joined by no chain of equal parts lie in different regions.  Each region is then joined by pivots: Voronoi cells,
+provably empty: sets within the radius are equal on one of a fixed number of parts of the universe (pigeonhole).  The
+least document with a part is that part's pivot, and a pivot's region is all that share a part with it; sets on a border
+are in several regions, and two linked sets meet in one.  Each region is then joined by pivots of its own: Voronoi cells,
 boundary sets replicated by the triangle inequality, recursion, and exact intersections in the leaves.
 """
 
@@ -20,13 +21,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialize
+from .shared import drop_path, fresh_path, materialize, release
 
 U64 = np.uint64
 CLASS_RATIO = 1.5  # sizes of one class differ by less than this
-LEAF, PIVOTS = 24, 8
-REGION_DOCS, REGION_SHINGLES = 1500, 3_000_000  # a region up to this size is joined within one task
-ROUNDS = 6
+LEAF, PIVOTS, COLUMNS = 32, 8, 2048
+REGION_DOCS, REGION_SHINGLES = 1500, 800_000  # a region up to this size is joined within one task
+ROUNDS = 2
+TASK_DOCS = 300  # joined by one task, where no region is larger
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,7 +41,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit hashes of word shingles; words are hashed once while they are remembered."""
 
-    def __init__(self, width: int, remember: int = 500_000):
+    def __init__(self, width: int, remember: int = 200_000):
         self.width, self.remember, self.known = width, remember, {}
         self.factors = mix(np.arange(1, width + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
@@ -79,9 +81,6 @@ class Radius:
     def links(self, inter: int, a: int, b: int) -> bool:
         return a > 0 and b > 0 and 100 * inter >= self.percent * (a + b - inter)
 
-    def may_link(self, a: int, b: int) -> bool:
-        return 100 * min(a, b) >= self.percent * max(a, b)
-
     def size_class(self, n: int) -> int:
         c = int(math.log(n) / math.log(CLASS_RATIO))
         while self.class_start(c + 1) <= n:
@@ -94,16 +93,17 @@ class Radius:
     def class_start(c: int) -> int:
         return math.ceil(CLASS_RATIO**c)
 
-    def part_keys(self, hashes: np.ndarray) -> np.ndarray:
-        """Keys of which two linked sets have one in common.
+    def part_keys(self, hashes: np.ndarray) -> tuple[np.ndarray, int]:
+        """Keys of the parts of a set, and how many of them it has in common with any set that it is linked to.
 
-        In the class of the larger set linked sets differ in at most `apart` shingles, so of m > apart parts at least
-        m - apart are equal.  Equal parts may all be empty only where a set has that many empty ones: it then also
-        sends keys of its empty parts.  A set is also sent to the next class if a set there can be within the radius.
+        In the class of the larger set linked sets differ in at most `apart` shingles, so of m parts at least m - apart
+        are equal; m is chosen so that this is a sixth of them, more than chance or a shared passage brings together.
+        Empty parts have no keys unless equal parts could all be empty.  A set is also sent to the next class if a set
+        there can be within the radius.
         """
-        n, out = len(hashes), []
+        n, out, need = len(hashes), [], None
         if not n:
-            return hashes
+            return hashes, 0
         own = self.size_class(n)
         mixed = mix(hashes ^ U64(0x5851F42D4C957F2D))
         for c in (own, own + 1):
@@ -113,14 +113,17 @@ class Radius:
             apart = 2 * most * (100 - self.percent) // (100 + self.percent)
             if not apart:
                 continue  # only equal sets link
-            m = apart + 3 + apart // 25
+            equal = 3 + apart // 5
+            m = apart + equal
             part = (hashes % U64(m)).astype(np.int64)
             count = np.bincount(part, minlength=m)
             total = np.zeros(m, dtype=U64)
             np.add.at(total, part, mixed)
             keys = mix(total + mix(np.arange(m, dtype=U64) * U64(0x2545F4914F6CDD1D) + U64(c)))
-            out.append(keys[count > 0] if (count == 0).sum() < m - apart else keys)
-        return np.concatenate(out) if out else hashes[:0]
+            empty = int((count == 0).sum())
+            out.append(keys[count > 0] if empty < equal else keys)
+            need = min(need or m, equal - empty if empty < equal else equal)
+        return (np.concatenate(out), need) if out else (hashes[:0], 0)
 
 
 class Region:
@@ -150,16 +153,32 @@ class Region:
         at = np.searchsorted(b, a)
         return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
 
-    def test(self, i: int, j: int) -> None:
-        a, b = len(self.sets[i]), len(self.sets[j])
-        if self.find(i) != self.find(j) and self.radius.may_link(a, b) and self.radius.links(self.inter(i, j), a, b):
-            self.union(i, j)
-
-    def block(self, rows: list[int], others: list[int] | None = None) -> None:
-        """All pairs of `rows`, or of `rows` and `others`, that no known chain of links joins."""
-        for k, i in enumerate(rows):
-            for j in rows[:k] if others is None else others:
-                self.test(i, j)
+    def block(self, rows: list[int]) -> None:
+        """All pairs of `rows`: intersections are the product of their incidence matrix, over shingles that two of them hold."""
+        sizes = np.array([len(self.sets[i]) for i in rows])
+        joined, owner = np.concatenate([self.sets[i] for i in rows]), np.repeat(np.arange(len(rows)), sizes)
+        _, column, count = np.unique(joined, return_inverse=True, return_counts=True)
+        shared = count > 1
+        column, owner = (np.cumsum(shared) - 1)[column][shared[column]], owner[shared[column]]
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        inter = np.zeros((len(rows), len(rows)), dtype=np.float32)
+        for lo in range(0, int(shared.sum()), COLUMNS):
+            a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+            m = np.zeros((len(rows), COLUMNS), dtype=np.float32)
+            m[owner[a:b], column[a:b] - lo] = 1
+            inter += m @ m.T
+        inter = inter.astype(np.int64)
+        linked = 100 * inter >= self.radius.percent * (sizes[:, None] + sizes[None, :] - inter)
+        label = np.arange(len(rows))
+        while True:  # the least row reachable, by least neighbours
+            least = np.where(linked, label[None, :], len(rows)).min(axis=1)
+            least = np.minimum(least, label)
+            if (least == label).all():
+                break
+            label = least
+        for i, k in zip(rows, label):
+            self.union(i, rows[k])
 
     def distances(self, rows: list[int], pivot: int) -> np.ndarray:
         sizes = np.array([len(self.sets[i]) for i in rows])
@@ -183,21 +202,20 @@ class Region:
         pivots = [rows[int(k * step)] for k in range(PIVOTS)]
         away = np.stack([self.distances(rows, p) for p in pivots], axis=1)
         member = away <= away.min(axis=1, keepdims=True) + 2 * self.radius.distance + 1e-9
+        if member.sum() > len(rows) * PIVOTS / 2:  # the pivots hardly part these rows
+            return self.block(rows)
         for k in range(PIVOTS):
-            cell = [rows[i] for i in np.flatnonzero(member[:, k])]
-            if len(cell) > 0.9 * len(rows):
-                self.block(cell)  # the pivots do not part these rows: exact pairs, of which linked ones are passed over
-            else:
-                self.join(cell)
+            self.join([rows[i] for i in np.flatnonzero(member[:, k])])
 
 
 def shingle_table(docs: DataFrame, width: int, radius: Radius, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, h1, h2 (hash of the set) and part keys; within a task keys are sent once for equal sets."""
+    """doc_id, n_shingles, h1, h2 (hash of the set), part keys and how many of them linked sets share; within a task keys
+    are sent once for equal sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, sent = Shingler(width), set()
         for batch in batches:
-            n, h1, h2, keys = [], [], [], []
+            n, h1, h2, keys, need = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingler(text)
                 a, b = int(mix(s).sum(dtype=U64)), int(mix(s ^ U64(0xD1B54A32D192ED03)).sum(dtype=U64))
@@ -206,41 +224,60 @@ def shingle_table(docs: DataFrame, width: int, radius: Radius, id_col: str, text
                 h2.append(b)
                 if (a, b) in sent:
                     keys.append(None)
+                    need.append(0)
                 else:
-                    keys.append(radius.part_keys(s).view(np.int64))
+                    parts, shared = radius.part_keys(s)
+                    keys.append(parts.view(np.int64))
+                    need.append(shared)
                     if len(sent) > 500_000:
                         sent.clear()
                     sent.add((a, b))
             signed = lambda v: pa.array(np.array(v, dtype=U64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), signed(h1), signed(h2), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "h1", "h2", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), signed(h1), signed(h2), pa.array(keys, pa.list_(pa.int64())), pa.array(need, pa.int32())], names=["doc_id", "n_shingles", "h1", "h2", "keys", "need"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, keys array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, keys array<bigint>, need int")
 
 
 def equal_part_links(table: DataFrame) -> DataFrame:
-    """(a, b): each set that shares a part key with others, and the least document of that key; streamed, never gathered."""
+    """(a, b): sets that share enough part keys with others, and the least document of a key; streamed, never gathered.
+
+    A set with fewer shared keys than any set linked to it would share is linked to none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, first = None, None
+        key, first, alone = None, None, False  # the key at the batch's end, its least document, whether it has but one
         for batch in batches:
             k, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if not len(k):
                 continue
             new = np.concatenate([[key is None or k[0] != key], k[1:] != k[:-1]])
-            starts = np.flatnonzero(new)
-            least = np.concatenate([[first if first is not None else d[0]], d[starts]])[np.cumsum(new)]
+            group = np.cumsum(new)  # 0 goes on from the batch before
+            least = np.concatenate([[first if first is not None else d[0]], d[new]])[group]
+            size = np.bincount(group, minlength=group[-1] + 1)
+            shared = np.flatnonzero(size[1:] > 1) + 1
+            heads = d[np.flatnonzero(new)[shared - 1]]
+            if size[0] and alone:
+                heads = np.append(heads, first)
+            rest = ~new
+            pair, count = np.unique(np.stack([np.append(d[rest], heads), np.append(least[rest], heads)], axis=1), axis=0, return_counts=True)
+            alone = bool(new[-1]) if group[-1] else False
             key, first = k[-1], least[-1]
-            pair = np.unique(np.stack([d, least], axis=1)[d != least], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(count)], names=["a", "b", "shared"])
 
     keyed = table.where("doc_id IS NOT NULL AND keys IS NOT NULL").select(F.explode("keys").alias("key"), "doc_id")
-    return keyed.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "a bigint, b bigint").distinct()
+    ordered = keyed.repartition("key").sortWithinPartitions("key", "doc_id")
+    counted = ordered.mapInArrow(run, "a bigint, b bigint, shared bigint").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    counted = materialize(counted, "shared-parts")
+    total = counted.groupBy("a").agg(F.sum("shared").alias("total"))
+    needs = table.where("need > 0").groupBy(F.col("doc_id").alias("a")).agg(F.min("need").alias("need"))
+    enough = total.join(needs, "a").where("total >= need").select("a")
+    return counted.join(enough, "a").select("a", "b")
 
 
 def _in_task(rows: DataFrame, texts: DataFrame, width: int, radius: Radius, n_docs: int) -> DataFrame:
     """Links (a, b) found within regions (region, doc_id, label), each joined whole; regions are dealt to tasks by hash."""
-    dealt = max(1, -(-n_docs // 3000))
+    dealt = max(1, -(-n_docs // TASK_DOCS))
 
     def run(t: pa.Table) -> pa.Table:
         shingler = Shingler(width)
@@ -261,17 +298,20 @@ def _in_task(rows: DataFrame, texts: DataFrame, width: int, radius: Radius, n_do
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     placed = rows.join(texts, "doc_id").withColumn("task", F.pmod(F.xxhash64("region"), F.lit(dealt)))
-    return placed.select("task", "region", "doc_id", "label", "text").groupBy("task").applyInArrow(run, "a bigint, b bigint")
+    return placed.select("task", "region", "doc_id", "label", "text").repartition(dealt, "task").groupBy("task").applyInArrow(run, "a bigint, b bigint")
 
 
 def _pivot_round(rows: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, radius: Radius, seed: int) -> DataFrame:
     """One distributed cut of large regions: doc_id, label, pivots linked, and the cells that each set now is in.
 
-    A region's pivots are the sets with the least seeded hash in each of PIVOTS classes; its rows are dealt by hash to
-    chunks of about REGION_DOCS / 2, and the pivots go to every chunk, so that no task holds a whole region.
+    A region's pivots are, in each of PIVOTS classes by hash, a set of the smallest component known so far, by seeded
+    hash among equals; its rows are dealt by hash to chunks of about REGION_DOCS / 2, and the pivots go to every chunk,
+    so that no task holds a whole region.
     """
     h = F.xxhash64("doc_id", F.lit(seed))
-    chosen = rows.groupBy("region", F.pmod(h, F.lit(PIVOTS)).alias("k")).agg(F.min(F.struct(h.alias("h"), "doc_id")).getField("doc_id").alias("doc_id"))
+    known = rows.groupBy("region", "label").agg(F.count(F.lit(1)).alias("known"))
+    least = F.min(F.struct("known", h.alias("h"), "doc_id")).getField("doc_id").alias("doc_id")
+    chosen = rows.join(known, ["region", "label"]).groupBy("region", F.pmod(h, F.lit(PIVOTS)).alias("k")).agg(least)
     pivots = chosen.join(sizes, "region").join(texts, "doc_id").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
     dealt = rows.join(sizes, "region").join(texts, "doc_id").withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.col("chunks")))
 
@@ -296,12 +336,31 @@ def _pivot_round(rows: DataFrame, sizes: DataFrame, texts: DataFrame, width: int
     return left.cogroup(right).applyInArrow(run, "doc_id bigint, label bigint, region bigint, links array<bigint>, cells array<bigint>")
 
 
-def _blocks(rows: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, radius: Radius, n_docs: int) -> DataFrame:
-    """The exact way for regions that pivots do not part: every pair of chunks in one task, linked pairs passed over."""
-    spread = rows.join(sizes, "region").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-    spread = spread.select("doc_id", "label", F.xxhash64("region", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("region"))
-    return _in_task(spread, texts, width, radius, n_docs)
+def _spread_labels(linked: DataFrame, times: int = 2) -> DataFrame:
+    """(doc_id, component): labels passed from sets to the pivots they link to, and back.  Two sets with one label are in
+    one component; the links themselves settle which components there are in the end."""
+    for _ in range(times):
+        least = linked.groupBy("pivot").agg(F.min("label").alias("least"))
+        linked = linked.join(least, "pivot").withColumn("label", F.least("label", "least")).drop("least")
+        own = linked.groupBy("doc_id").agg(F.min("label").alias("label"))
+        linked = linked.drop("label").join(own, "doc_id")
+    return materialize(own.withColumnRenamed("label", "component"), "labels")
+
+
+def _blocks(rows: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, radius: Radius) -> DataFrame:
+    """The exact way for regions that pivots do not part: sets outside the largest component known, in chunks, against
+    all sets of the region, in chunks."""
+    half = REGION_DOCS // 2
+    known = rows.groupBy("region", "label").agg(F.count(F.lit(1)).alias("known"))
+    main = known.groupBy("region").agg(F.max_by("label", F.struct("known", "label")).alias("main"), F.max("known").alias("most"), F.sum("known").alias("docs"))
+    both = rows.join(sizes.select("region", "chunks"), "region").join(main, "region")
+    open_chunks = F.greatest(F.ceil((F.col("docs") - F.col("most")) / half), F.lit(1))
+    chunk, own = F.pmod(F.xxhash64("doc_id"), F.col("chunks")), F.pmod(F.xxhash64("doc_id", F.lit(1)), open_chunks)
+    every = both.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), open_chunks.cast("bigint") - 1))).withColumn("j", chunk)
+    outside = both.where("label <> main").withColumn("i", own.cast("bigint")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+    spread = every.unionByName(outside).select("doc_id", "label", F.xxhash64("region", "i", "j").alias("region")).distinct()
+    spread = materialize(spread, "blocks")
+    return _in_task(spread, texts, width, radius, spread.count())
 
 
 def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -314,8 +373,12 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
     are ignored.  No cap anywhere: large regions are cut by distributed pivot rounds, then joined in blocks.
     """
     radius = Radius(percent)
-    table = materialize(shingle_table(docs, width, radius, id_col, text_col), "shingles")
-    slim = table.select("doc_id", "n_shingles", "h1", "h2")
+    spark = docs.sparkSession
+    path = fresh_path(spark, "shingles")
+    made = shingle_table(docs, width, radius, id_col, text_col)
+    made.write.parquet(path)
+    table = spark.read.schema(made.schema).parquet(path)
+    slim = materialize(table.select("doc_id", "n_shingles", "h1", "h2"), "shingle-sets")
     classes = materialize(slim.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "classes")
     copies = classes.where("copies > 1").select("n_shingles", "h1", "h2", "node")
     to_node = slim.where("doc_id IS NOT NULL").join(copies, ["n_shingles", "h1", "h2"]).where("doc_id <> node").select("doc_id", "node").distinct()
@@ -323,18 +386,19 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
     for c in ("a", "b"):
         renamed = to_node.select(F.col("doc_id").alias(c), F.col("node").alias("to"))
         found = found.join(renamed, c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
-    regions = components(found.where("a <> b"))
-    members = materialize(
-        regions.select(F.col("node").alias("doc_id"), F.col("component").alias("region"))
-        .join(slim.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("n_shingles").alias("n")), "doc_id")
-        .withColumn("label", F.col("doc_id")),
-        "regions",
-    )
+    near = materialize(found.select("a", "b").distinct(), "regions-of")
+    del table, found
+    drop_path(spark, path)
+    release(spark)
+    inside = near.select(F.col("b").alias("region"), F.col("a").alias("doc_id"))
+    sized = slim.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
+    members = materialize(inside.join(sized, "doc_id").withColumn("label", F.col("doc_id")), "regions")
     links = [to_node.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))]
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = materialize(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "region-texts")  # read by each round
     rows = members
     for r in range(ROUNDS + 1):
-        sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"), F.countDistinct("label").alias("labels") if r else F.lit(2).alias("labels"))
+        sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"), F.countDistinct("label").alias("labels"))
         small = (F.col("docs") <= REGION_DOCS) & (F.col("n") <= REGION_SHINGLES)
         sizes = materialize(sizes.where("labels > 1").withColumn("small", small).withColumn("chunks", F.greatest(F.ceil(F.col("docs") * 2 / REGION_DOCS), F.ceil(F.col("n") * 2 / REGION_SHINGLES))).drop("n"), "region-sizes")
         count = {x["small"]: x["d"] for x in sizes.groupBy("small").agg(F.sum("docs").alias("d")).collect()}
@@ -345,20 +409,19 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
             break
         large = sizes.where("NOT small").select("region", "chunks")
         if r == ROUNDS:
-            links.append(materialize(_blocks(rows.drop("n"), large, texts, width, radius, count[False] * -(-count[False] // REGION_DOCS)), "block-links"))
+            links.append(materialize(_blocks(rows.drop("n").join(large.select("region"), "region"), large, texts, width, radius), "block-links"))
             break
         cut = materialize(_pivot_round(rows.drop("n").join(large.select("region"), "region"), large, texts, width, radius, 100 + r), "cells")
         linked = cut.select(F.col("doc_id").alias("a"), F.explode("links").alias("b")).where("a <> b")
         links.append(linked)
-        named = components(linked.unionByName(cut.select(F.col("doc_id").alias("a"), F.col("label").alias("b")).where("a <> b")))
+        named = _spread_labels(cut.select("doc_id", "label", F.explode("links").alias("pivot")))
         sized = rows.select("doc_id", "n").distinct()
-        rows = materialize(
-            cut.select("doc_id", "label", F.explode("cells").alias("cell"), "region")
-            .join(named.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-            .select("doc_id", F.coalesce("component", "label").alias("label"), F.xxhash64("region", "cell", F.lit(r)).alias("region"))
-            .join(sized, "doc_id"),
-            "cell-rows",
-        )
+        # a region whose sets mostly lie within the windows of most pivots is not parted: it stays one, with better labels
+        parted = cut.groupBy("region").agg((F.avg(F.size("cells")) <= PIVOTS / 2).alias("parted"))
+        placed = cut.join(parted, "region").select("doc_id", "label", "region", F.explode(F.when(F.col("parted"), F.col("cells")).otherwise(F.array(F.lit(-1).cast("bigint")))).alias("cell"))
+        placed = placed.join(named, "doc_id", "left")
+        into = F.when(F.col("cell") == -1, F.col("region")).otherwise(F.xxhash64("region", "cell", F.lit(r)))
+        rows = materialize(placed.select("doc_id", F.coalesce("component", "label").alias("label"), into.alias("region")).join(sized, "doc_id"), "cell-rows")
     every = links[0]
     for more in links[1:]:
         every = every.unionByName(more)
@@ -383,3 +446,16 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     turn = F.row_number().over(Window.partitionBy("_stays").orderBy(F.col(text_col)))
     named = joined.withColumn("_turn", F.when(F.col("_rows") > 1, turn).otherwise(1)).where("_turn = 1").drop("_stays", "_rows", "_turn")
     return named.unionByName(docs.where(F.col(id_col).isNull()))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE []::VARCHAR[] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y WHERE 100 * c >= 85 * (i.n + j.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x)
+SELECT a AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(b) AS component_id FROM r LEFT JOIN n ON n.doc_id = a GROUP BY a
+"""

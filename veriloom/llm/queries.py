@@ -64,4 +64,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_index": warc.ORACLE_SQL, "op3_mix_sources": mixing.ORACLE_SQL}
+    return {
+        "op1_warc_index": warc.ORACLE_SQL,
+        "op2_jaccard_components": jaccard.ORACLE_SQL,
+        "op3_mix_sources": mixing.ORACLE_SQL,
+        "op9_repeated_passages": repeats.ORACLE_SQL,
+    }

@@ -24,8 +24,9 @@ from .shared import materialize, release
 U64 = np.uint64
 NONE = U64(2**64 - 1)
 SPAN, GRAM = 50, 24
-BLOCK_BYTES = 1 << 20
-TASK_STRINGS = 20_000  # strings whose suffixes one task sorts
+BLOCK_BYTES = 1 << 18
+TASK_STRINGS = 20_000  # strings that one task gets
+BATCH_STRINGS = 4_000  # strings of one collection, whose transform stays small enough for the processor's caches
 HOT_STRINGS = 5_000  # an anchor with more different surroundings is settled by counting windows
 
 
@@ -61,12 +62,13 @@ def _slide(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(out[:-rest], out[rest:]) if rest else out
 
 
-def anchors(block: np.ndarray, ends: np.ndarray, starts: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, hash) of the anchors in joined texts: places of least hash in some window of `span` bytes of one text."""
+def anchors(grams: np.ndarray, size: int, ends: np.ndarray, starts: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of the anchors in joined texts of `size` bytes: places of least hash in some window of `span` bytes of
+    one text."""
     width = span - gram + 1
-    if len(block) < span:
+    if size < span:
         return np.array([], dtype=np.int64), np.array([], dtype=U64)
-    h = _grams(block, gram) >> U64(1)
+    h = grams >> U64(1)
     least = _slide(h, width, np.minimum)  # a window for each start of a span
     whole = np.zeros(len(least) + 1, dtype=np.int32)
     fits = ends - starts >= span
@@ -79,6 +81,26 @@ def anchors(block: np.ndarray, ends: np.ndarray, starts: np.ndarray, span: int,
     return place, h[place]
 
 
+def surroundings(block: np.ndarray, grams: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np.ndarray, span: int, gram: int) -> np.ndarray:
+    """Hashes of the bytes from span - gram before each place to span after it, of one text: from gram hashes that cover
+    them; byte by byte where a text begins or ends within."""
+    before = span - gram
+    steps = [*range(-before, span - gram, gram), span - gram]
+    weights = _mix(np.arange(2, before + span + 2, dtype=U64) * U64(0xD6E8FEB86659FD93)) | U64(1)
+    out = np.zeros(len(place), dtype=U64)
+    inner = np.flatnonzero((place - before >= lo) & (place + span <= hi))
+    for k, step in enumerate(steps):
+        out[inner] = _mix(out[inner] * U64(0x9E3779B97F4A7C15) + grams[place[inner] + step] * weights[k])
+    edge = np.setdiff1d(np.arange(len(place)), inner, assume_unique=True)
+    at0, total = place[edge], np.full(len(edge), 1, dtype=U64)
+    for j in range(-before, span):
+        at = at0 + j
+        inside = (at >= lo[edge]) & (at < hi[edge])
+        total += np.where(inside, _BYTES[block[np.clip(at, 0, len(block) - 1)]], U64(1)) * weights[j + before]
+    out[edge] = _mix(total)
+    return out
+
+
 def _blocks(batch: pa.RecordBatch, seen: dict[bytes, int]) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, joined bytes, starts, ends) of whole texts, about BLOCK_BYTES at a time."""
     ids, parts, size = [], [], 0
@@ -107,22 +129,16 @@ def _joined(ids: list, parts: list[bytes]) -> tuple[list, np.ndarray, np.ndarray
 
 def anchor_rows(texts: DataFrame, span: int, gram: int) -> DataFrame:
     """anchor, around (hash of the bytes from which all spans over the anchor start and end), doc_id, pos."""
-    before, after = span - gram, span
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = _mix(np.arange(2, before + after + 2, dtype=U64) * U64(0xD6E8FEB86659FD93)) | U64(1)
         seen: dict[bytes, int] = {}
         for batch in batches:
             for ids, block, starts, ends in _blocks(batch, seen):
-                place, h = anchors(block, ends, starts, span, gram)
+                grams = _grams(block, gram) if len(block) >= span else np.array([], dtype=U64)
+                place, h = anchors(grams, len(block), ends, starts, span, gram)
                 doc = np.searchsorted(ends, place, side="right")
-                around = np.zeros(len(place), dtype=U64)
-                for j in range(-before, after):
-                    at = place + j
-                    inside = (at >= starts[doc]) & (at < ends[doc])
-                    around += np.where(inside, _BYTES[block[np.clip(at, 0, len(block) - 1)]], U64(1)) * weights[j + before]
+                around = surroundings(block, grams, place, starts[doc], ends[doc], span, gram)
                 own = np.array(ids, dtype=np.int64)[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(_mix(around).view(np.int64)), pa.array(own), pa.array((place - starts[doc]).astype(np.int32))], names=["anchor", "around", "doc_id", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(around.view(np.int64)), pa.array(own), pa.array((place - starts[doc]).astype(np.int32))], names=["anchor", "around", "doc_id", "pos"])
 
     return texts.mapInArrow(run, "anchor bigint, around bigint, doc_id bigint, pos int")
 
@@ -180,33 +196,38 @@ class ColumnWise:
     def __init__(self, strings: list[bytes], folder: str):
         self.n, self.length = len(strings), np.array([len(s) for s in strings])
         self.width = int(self.length.max(initial=0))
-        self.table = np.zeros((self.n, self.width), dtype=np.int16)  # right-aligned, bytes from 1; 0 ends a string
+        self.table = np.zeros((self.n, self.width), dtype=np.uint8)  # right-aligned, UTF-8 bytes plus 1; 0 ends a string
         for i, s in enumerate(strings):
-            self.table[i, self.width - len(s) :] = np.frombuffer(s, dtype=np.uint8).astype(np.int16) + 1
-        self.path = os.path.join(folder, "transform")
+            self.table[i, self.width - len(s) :] = np.frombuffer(s, dtype=np.uint8) + 1
+        self.folder = folder
         self.order = np.array([], dtype=np.int64)
 
     def symbol(self, rows: np.ndarray, taken: int) -> np.ndarray:
         """The symbol before the suffix of `taken` symbols."""
-        return self.table[rows, self.width - 1 - taken] if taken < self.width else np.zeros(len(rows), dtype=np.int16)
+        return self.table[rows, self.width - 1 - taken] if taken < self.width else np.zeros(len(rows), dtype=np.uint8)
 
     def build(self) -> np.ndarray:
         rows, at = np.arange(self.n), np.arange(self.n)
-        self.symbol(rows, 0).tofile(self.path)
+        path = os.path.join(self.folder, "transform-0")
+        self.symbol(rows, 0).tofile(path)
         for taken in range(1, self.width + 1):
-            old = np.fromfile(self.path, dtype=np.int16)
+            old = np.fromfile(path, dtype=np.uint8)
+            os.unlink(path)
             order = np.argsort(old, kind="stable")
-            place = np.empty(len(old), dtype=np.int64)
-            place[order] = np.arange(len(old))
+            place = np.empty(len(old), dtype=np.int32)
+            place[order] = np.arange(len(old), dtype=np.int32)
             ended = int((old == 0).sum())
             active = old[at] > 0
             rows, at = rows[active], self.n + place[at[active]] - ended
-            new = np.empty(self.n + len(old) - ended, dtype=np.int16)
+            new = np.empty(self.n + len(old) - ended, dtype=np.uint8)
             kept = np.ones(len(new), dtype=bool)
             kept[at] = False
             new[kept], new[at] = old, self.symbol(rows, taken)
-            new.tofile(self.path)
-        return np.fromfile(self.path, dtype=np.int16)
+            path = os.path.join(self.folder, f"transform-{taken}")  # a new file: rewriting one would wait for the disk
+            new.tofile(path)
+        done = np.fromfile(path, dtype=np.uint8)
+        os.unlink(path)
+        return done
 
     def classes(self, span: int) -> tuple[np.ndarray, np.ndarray]:
         """(n, width + 1) ranks of the suffixes by their length, and for each rank the class of its first `span` symbols.
@@ -217,11 +238,11 @@ class ColumnWise:
         order = np.argsort(bwt, kind="stable")
         ended = int((bwt == 0).sum())
         order = order[ended:]  # suffix at n + k has its next suffix at order[k]
-        first = np.concatenate([np.full(self.n, 0, dtype=np.int16), bwt[order]])
+        first = np.concatenate([np.zeros(self.n, dtype=np.uint8), bwt[order]])
         edge = np.ones(len(bwt), dtype=bool)
         edge[self.n + 1 :] = first[self.n + 1 :] != first[self.n : -1]
         for _ in range(span - 1):
-            ids = np.cumsum(edge)[order]
+            ids = np.cumsum(edge, dtype=np.int32)[order]
             edge[self.n + 1 :] |= ids[1:] != ids[:-1]
         place = np.empty(len(bwt), dtype=np.int64)
         place[order] = self.n + np.arange(len(order))
@@ -256,7 +277,7 @@ def _strings(rows: DataFrame, texts: DataFrame, span: int, gram: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, d, s, b = [], [], [], []
+            a, d, s, b, p = [], [], [], [], []
             for doc_id, text, at in zip(*(c.to_pylist() for c in batch.columns)):
                 data = (text or "").encode()
                 for x in at:
@@ -265,25 +286,58 @@ def _strings(rows: DataFrame, texts: DataFrame, span: int, gram: int) -> DataFra
                     d.append(doc_id)
                     s.append(lo)
                     b.append(data[lo : x["pos"] + after])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(b, pa.binary())], names=["anchor", "doc_id", "start", "bytes"])
-
-    return texts.join(places, "doc_id").select("doc_id", "text", "at").mapInArrow(run, "anchor bigint, doc_id bigint, start int, bytes binary")
-
-
-def _by_suffixes(strings: DataFrame, n: int, span: int) -> DataFrame:
+                    p.append(x["pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(b, pa.binary()), pa.array(p, pa.int32())], names=["anchor", "doc_id", "start", "bytes", "pos"])
+
+    return texts.join(places, "doc_id").select("doc_id", "text", "at").mapInArrow(run, "anchor bigint, doc_id bigint, start int, bytes binary, pos int")
+
+
+def may_repeat(anchor: np.ndarray, docs: np.ndarray, starts: np.ndarray, pos: np.ndarray, strings: list[bytes], span: int, gram: int) -> np.ndarray:
+    """Which strings can share `span` bytes over their anchor with another document's: of the span - gram bytes beside the
+    anchor, the half to the left or the half to the right is then shared too."""
+    half = (span - gram) // 2
+    out = np.zeros(len(strings), dtype=bool)
+    for side in (0, 1):
+        keys = []
+        for s, p, lo in zip(strings, (pos - starts).tolist(), starts):
+            part = s[p - half : p] if side == 0 and p >= half else s[p + gram : p + gram + half] if side else b""
+            keys.append(hash(part) if len(part) == half else None)
+        ok = np.array([k is not None for k in keys])
+        key = np.array([k or 0 for k in keys], dtype=np.int64)
+        order = np.lexsort((docs, key, anchor, ~ok))
+        order = order[: ok.sum()]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (anchor[order[1:]] != anchor[order[:-1]]) | (key[order[1:]] != key[order[:-1]])
+        group = np.cumsum(new) - 1
+        first = docs[order][new]
+        many = np.zeros(group[-1] + 1 if len(group) else 0, dtype=bool)
+        np.logical_or.at(many, group[docs[order] != first[group]], True)
+        out[order[many[group]]] = True
+    return out
+
+
+def _by_suffixes(strings: DataFrame, n: int, span: int, gram: int) -> DataFrame:
     tasks = max(1, -(-n // TASK_STRINGS))
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("anchor", "ascending"), ("doc_id", "ascending"), ("start", "ascending")])
-        docs, starts = t["doc_id"].to_numpy(), t["start"].to_numpy()
+        anchor, docs, starts, pos = (t[c].to_numpy() for c in ("anchor", "doc_id", "start", "pos"))
+        strings = t["bytes"].to_pylist()
+        live = np.flatnonzero(may_repeat(anchor, docs, starts, pos, strings, span, gram))
         d, lo, hi = [], [], []
+        at = 0
         with tempfile.TemporaryDirectory() as folder:  # this task's own sequential files, gone with it
-            for i, at in repeated_starts(t["bytes"].to_pylist(), docs, span, folder):
-                cut = np.flatnonzero(np.diff(at) > span) + 1
-                for part in np.split(at, cut):
-                    d.append(int(docs[i]))
-                    lo.append(int(starts[i] + part[0]))
-                    hi.append(int(starts[i] + part[-1] + span))
+            while at < len(live):
+                end = min(at + BATCH_STRINGS, len(live))
+                while end < len(live) and anchor[live[end]] == anchor[live[end - 1]]:
+                    end += 1  # an anchor's strings stay together
+                rows = live[at:end]
+                for i, found in repeated_starts([strings[r] for r in rows], docs[rows], span, folder):
+                    for part in np.split(found, np.flatnonzero(np.diff(found) > span) + 1):
+                        d.append(int(docs[rows[i]]))
+                        lo.append(int(starts[rows[i]] + part[0]))
+                        hi.append(int(starts[rows[i]] + part[-1] + span))
+                at = end
         return pa.table({"doc_id": pa.array(d, pa.int64()), "lo": pa.array(lo, pa.int32()), "hi": pa.array(hi, pa.int32())})
 
     return strings.withColumn("task", F.pmod(F.xxhash64("anchor"), F.lit(tasks))).groupBy("task").applyInArrow(run, "doc_id bigint, lo int, hi int")
@@ -324,7 +378,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     per = strings.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
     hot = materialize(per.where(F.col("n") > HOT_STRINGS).select("anchor"), "repeat-hot")
     n = strings.count()
-    found = done.unionByName(whole).unionByName(_by_suffixes(strings.join(hot, "anchor", "left_anti"), n, span)).unionByName(_by_windows(strings.join(hot, "anchor", "left_semi"), span))
+    found = done.unionByName(whole).unionByName(_by_suffixes(strings.join(hot, "anchor", "left_anti"), n, span, gram)).unionByName(_by_windows(strings.join(hot, "anchor", "left_semi"), span))
     spans = materialize(found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans")), "repeat-spans")
     release(spark)
 
@@ -350,3 +404,17 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     out = joined.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     out = out.withColumn("doc_id", F.when(F.col("doc_id") > -(2**63), F.col("doc_id")))
     return out if with_text else out.drop("kept")
+
+
+ORACLE_SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+g AS (SELECT doc_id, i, substring(h, 2 * i + 1, 100) AS w FROM (SELECT doc_id, h, unnest(range(n - 49)) AS i FROM t WHERE n >= 50)),
+f AS (SELECT w, min(doc_id) AS first FROM g GROUP BY w),
+hit AS (SELECT g.doc_id, g.i FROM g JOIN f USING (w) WHERE g.doc_id > f.first),
+o AS (SELECT doc_id, i, CASE WHEN i - 50 > lag(i) OVER (PARTITION BY doc_id ORDER BY i) OR lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS NULL THEN 1 ELSE 0 END AS starts FROM hit),
+k AS (SELECT doc_id, i, sum(starts) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM o),
+sp AS (SELECT doc_id, span, min(i) AS lo, max(i) + 50 AS hi FROM k GROUP BY doc_id, span),
+gap AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before, lead(lo) OVER (PARTITION BY doc_id ORDER BY lo) AS next FROM sp),
+cut AS (SELECT doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed, string_agg(substring(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) || any_value(substring(h, 2 * hi + 1)) FILTER (WHERE next IS NULL) AS kept FROM gap JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT t.doc_id, t.n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM t LEFT JOIN cut USING (doc_id)
+"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of stages whose results are written and whose DataFrames are gone."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark drop the shuffle files of stages whose results are written and whose DataFrames are gone.
+
+    Spark's cleaner works from the JVM's garbage collection, which must see Python's released references first.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)

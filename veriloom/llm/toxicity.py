@@ -26,6 +26,9 @@ SECOND_PERSON = frozenset("you your yours yourself u ur tu te toi ton ta tes vou
 # A small lexicon to start from; words and stems are learned beside it.
 INSULTS = frozenset("idiot moron scum loser clown pathetic worthless trash disgusting stupid dumb imbecile fool jerk idiota estúpido imbécil asqueroso basura crétin débile connard ordure pourri trottel depp dumm abschaum widerlich".split())
 
+PRIOR = 0.05  # toxic share assumed before any label
+FEWEST = 20  # labelled rows below which nothing is learned from them but their share
+
 FEATURES = (
     "log_words", "word_density", "word_hits", "word_hit_max", "stem_density", "stem_hits", "stem_hit_max", "seed_hits", "seed_rate",
     "second_person_rate", "near_second_person", "upper_rate", "shout_rate", "exclaim_rate", "question_rate", "symbol_run_rate",
@@ -140,10 +143,10 @@ def isotonic(margins: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.nd
 def boost(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate: float = 0.15, bins: int = 32, leaf: int = 5, ridge: float = 1.0) -> Trees:
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])] if len(x) else [np.array([])] * x.shape[1]
     binned = _binned(x, edges) if len(x) else x.astype(int)
-    p = min(max(y.mean() if len(y) else 0.05, 1e-3), 1 - 1e-3)
+    p = (y.sum() + FEWEST * PRIOR) / (len(y) + FEWEST)  # a few labels leave the rate near the prior
     base = float(np.log(p / (1 - p)))
     margin, trees = np.full(len(y), base), []
-    for _ in range(rounds if len(y) else 0):
+    for _ in range(rounds if len(y) >= FEWEST else 0):
         prob = 1 / (1 + np.exp(-margin))
         g, h = prob - y, prob * (1 - prob)
         nodes: list[tuple[int, int, int, int, float]] = []
@@ -234,7 +237,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     x = np.array(made["x"].tolist(), dtype=float).reshape(len(made), len(FEATURES))
     y, second = (made["y"].to_numpy() > 0).astype(float), (made["part"] == 1).to_numpy()
     trees = boost(x[second], y[second])
-    trees.steps = isotonic(trees.margin(x[~second]), y[~second]) if (~second).any() else trees.steps
+    held = y[~second]
+    if len(held) >= FEWEST and 0 < held.mean() < 1:  # else there is nothing to calibrate by
+        trees.steps = isotonic(trees.margin(x[~second]), held)
     return ToxicityModel(weights, trees)
 
 
@@ -257,7 +262,8 @@ def score(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", scor
 def score_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, score, predicted for every document; rows with crc32(doc_id) mod 4 = held_out teach nothing.
 
-    Empty and null texts are scored as texts without words.  Without labels the base rate of 0.05 is scored.  Repeated
+    Empty and null texts are scored as texts without words.  Without labels a base rate of 0.05 is scored, and with
+    under 60 or so not much else.  Repeated
     rows are scored each; ties need no order; other columns are ignored.
     """
     out = fold("doc_id") % 4 == held_out

@@ -297,7 +297,7 @@ def _in_task(rows: DataFrame, texts: DataFrame, width: int, radius: Radius, n_do
                     b.append(int(ids[lo + root]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    placed = rows.join(texts, "doc_id").withColumn("task", F.pmod(F.xxhash64("region"), F.lit(dealt)))
+    placed = rows.join(texts.hint("merge"), "doc_id").withColumn("task", F.pmod(F.xxhash64("region"), F.lit(dealt)))
     return placed.select("task", "region", "doc_id", "label", "text").repartition(dealt, "task").groupBy("task").applyInArrow(run, "a bigint, b bigint")
 
 
@@ -395,7 +395,8 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
     members = materialize(inside.join(sized, "doc_id").withColumn("label", F.col("doc_id")), "regions")
     links = [to_node.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))]
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = materialize(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "region-texts")  # read by each round
+    inside = members.select("doc_id").distinct().hint("merge")  # ids of members have no bound: never broadcast, whatever their size
+    texts = materialize(texts.join(inside, "doc_id", "left_semi"), "region-texts")  # read by each round
     rows = members
     for r in range(ROUNDS + 1):
         sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"), F.countDistinct("label").alias("labels"))

@@ -2,7 +2,9 @@
 
 import hashlib
 import json
+import random
 import re
+import struct
 import urllib.parse
 
 import pytest
@@ -96,3 +98,15 @@ def test_method_ladder(spark):
     df = spark.createDataFrame([("http-get", False), ("http-get", True), ("compiled", True), ("compiled", False), ("odd", True)], "m string, i boolean")
     rows = df.select(checks.directness(F.col("m")).alias("d"), checks.consistent(F.col("m"), F.col("i")).alias("ok")).collect()
     assert [tuple(r) for r in rows] == [("direct", True), ("direct", False), ("derived", True), ("derived", False), ("unknown", True)]
+
+
+def test_canonical_json_of_random_values(spark):
+    r = random.Random(5)
+    code = lambda: r.choice([r.randrange(0, 128), r.randrange(0, 0xD800), r.randrange(0xE000, 0x110000)])
+    texts = ["".join(chr(code()) for _ in range(r.randint(0, 12))) for _ in range(300)]
+    bits = [struct.unpack("d", struct.pack("Q", r.getrandbits(64)))[0] for _ in range(300)]
+    numbers = [float(f"{r.uniform(-10, 10):.{r.randint(0, 13)}f}e{r.randint(-8, 6)}") for _ in range(300)] + [float(10**k) for k in range(-10, 23)]
+    assert column(spark, texts, canon.string) == [json.dumps(v, ensure_ascii=False) for v in texts]
+    assert column(spark, texts, lambda c: canon.string(c, True)) == [json.dumps(v) for v in texts]
+    assert column(spark, numbers, canon.floating, "double") == [json.dumps(v) for v in numbers]
+    assert column(spark, [*numbers, *bits, 5e-324, None], lambda c: canon.floating(c, exact=True), "double") == [json.dumps(v) for v in [*numbers, *bits, 5e-324, None]]

@@ -5,28 +5,29 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import pandas_udf, udtf
+from pyspark.sql.types import StringType
 
 from .functions.htmltree import TEXT_BLOCKS, Reader, Tree
 from .sources.payloads import transcript
 from .sources.web import WebSource
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def html_markdown(html: pd.Series) -> pd.Series:
     return html.map(lambda x: Tree(x or "").markdown())
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def html_title(html: pd.Series) -> pd.Series:
     return html.map(lambda x: Reader(x or "").read()[0])
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def html_text(html: pd.Series) -> pd.Series:
     return html.map(lambda x: Reader(x or "").read()[1])
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def vtt_transcript(vtt: pd.Series) -> pd.Series:
     return vtt.map(lambda x: transcript(x or ""))
 

@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 _SHORT = {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
 _CONTROLS = r"[\x00-\x07\x0B\x0E-\x1F]"
@@ -48,8 +51,21 @@ def integer(n: Column) -> Column:
     return F.coalesce(n.cast("string"), F.lit("null"))
 
 
-def floating(x: Column) -> Column:
-    """Shortest digits that read back the same, in Python's notation: exponents below 1e-4 and from 1e16 only."""
+@pandas_udf(StringType())
+def _repr(x: pd.Series) -> pd.Series:
+    import json
+
+    return x.map(lambda v: None if v is None else json.dumps(float(v)), na_action=None)
+
+
+def floating(x: Column, exact: bool = False) -> Column:
+    """A double in Python's notation: exponents below 1e-4 and from 1e16 only.
+
+    The native form has the right digits for values of up to 15 significant digits below 2**53, as clocks and scores are; Java writes
+    some others with a digit more than needed.  `exact` takes Python's own digits, in Arrow batches.
+    """
+    if exact:
+        return F.when(x.isNull(), F.lit("null")).otherwise(_repr(x))
     shown = x.cast("string")
     mantissa, power = F.split_part(shown, F.lit("E"), F.lit(1)), F.split_part(shown, F.lit("E"), F.lit(2)).cast("int")
     sign = F.when(mantissa.startswith("-"), F.lit("-")).otherwise(F.lit(""))
@@ -59,7 +75,7 @@ def floating(x: Column) -> Column:
     large = F.when(n <= power + 1, F.concat(F.rpad(digits, power + 1, F.lit("0")), F.lit(".0"))).otherwise(F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, n)))
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
     tail = F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(F.lit(""))
-    mark = F.concat(F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    mark = F.concat(F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.when(F.abs(power) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(power).cast("string"))
     scientific = F.concat(F.substring(digits, 1, 1), tail, mark)
     by_power = F.when((power >= 0) & (power < 16), large).when((power < 0) & (power >= -4), small).otherwise(scientific)
     special = F.when(F.isnan(x), F.lit("NaN")).when(x == float("inf"), F.lit("Infinity")).when(x == float("-inf"), F.lit("-Infinity"))

@@ -19,7 +19,7 @@ def record_json(r: dict[str, Column], origins: Column | None = None) -> Column:
     """The sealed fields; origins only where there are any; stored is null or three counts."""
     stored = canon.object_({k: canon.integer(r["stored"][k]) for k in ("added", "deduped", "total")})
     fields: dict = {
-        "started_at": canon.floating(r["started_at"]),
+        "started_at": canon.floating(r["started_at"], exact=True),  # one row, and a clock may have all its digits
         "targets": canon.array(F.transform(r["targets"], lambda t: canon.strings(F.array(t["source"], t["target"])))),
         "scope": canon.strings(r["scope"]),
         **{k: canon.integer(r[k]) for k in ("gathered", "kept", "dropped", "digested")},

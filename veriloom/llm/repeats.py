@@ -232,18 +232,28 @@ class ColumnWise:
     def classes(self, span: int) -> tuple[np.ndarray, np.ndarray]:
         """(n, width + 1) ranks of the suffixes by their length, and for each rank the class of its first `span` symbols.
 
-        Common prefixes grow by one symbol a round: neighbours share one more than their next suffixes do.
+        Common prefixes grow by doubling: neighbours share a + b symbols if they share a, and the suffixes a symbols on
+        share b.
         """
         bwt = self.build()
         order = np.argsort(bwt, kind="stable")
         ended = int((bwt == 0).sum())
         order = order[ended:]  # suffix at n + k has its next suffix at order[k]
-        first = np.concatenate([np.zeros(self.n, dtype=np.uint8), bwt[order]])
+        first = bwt[order]
         edge = np.ones(len(bwt), dtype=bool)
-        edge[self.n + 1 :] = first[self.n + 1 :] != first[self.n : -1]
-        for _ in range(span - 1):
-            ids = np.cumsum(edge, dtype=np.int32)[order]
-            edge[self.n + 1 :] |= ids[1:] != ids[:-1]
+        edge[self.n + 1 :] = first[1:] != first[:-1]
+        step = np.arange(len(bwt), dtype=np.int32)  # a suffix without symbols stays where it is
+        step[self.n :] = order
+        out: tuple[np.ndarray, np.ndarray] | None = None
+        power = 1
+        while True:
+            if span & power:
+                out = (edge, step) if out is None else (_joined_edges(*out, edge), step[out[1]])
+            power *= 2
+            if power > span:
+                break
+            edge, step = _joined_edges(edge, step, edge), step[step]
+        shared = out[0]
         place = np.empty(len(bwt), dtype=np.int64)
         place[order] = self.n + np.arange(len(order))
         ranks = np.zeros((self.n, self.width + 1), dtype=np.int64)
@@ -251,7 +261,15 @@ class ColumnWise:
         for taken in range(1, self.width + 1):
             has = self.length >= taken
             ranks[has, taken] = place[ranks[has, taken - 1]]
-        return ranks, np.cumsum(edge)
+        return ranks, np.cumsum(shared)
+
+
+def _joined_edges(edge: np.ndarray, step: np.ndarray, further: np.ndarray) -> np.ndarray:
+    """Where neighbours differ within a + b symbols, of where they do within a (edge), b (further), and a symbols on (step)."""
+    ids = np.cumsum(further, dtype=np.int32)[step]
+    out = edge.copy()
+    out[1:] |= ids[1:] != ids[:-1]
+    return out
 
 
 def repeated_starts(strings: list[bytes], docs: np.ndarray, span: int, folder: str) -> Iterator[tuple[int, np.ndarray]]:
@@ -400,10 +418,17 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(kept if with_text else [None] * len(kept), pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = base.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
-    out = joined.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    shape = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
+    if with_text:
+        out = base.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(cut, shape)
+    else:  # texts are read again only where a part of them goes
+        gone = whole.select("doc_id").distinct()
+        out = base.join(spans.join(gone, "doc_id", "left_anti"), "doc_id").select("doc_id", "text", "spans").mapInArrow(cut, shape)
+        all_gone = slim.join(gone, "doc_id").select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
+        untouched = slim.join(spans.select("doc_id"), "doc_id", "left_anti").select("doc_id", "n_bytes", F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), F.col("sha").alias("kept_sha256"))
+        out = out.drop("kept").unionByName(all_gone).unionByName(untouched)
     out = out.withColumn("doc_id", F.when(F.col("doc_id") > -(2**63), F.col("doc_id")))
-    return out if with_text else out.drop("kept")
+    return out
 
 
 ORACLE_SQL = """

@@ -486,3 +486,9 @@ def test_next_rows_across_ranges(spark):
     df = spark.createDataFrame([(i * i, f"t{i}") for i in range(50)], "k bigint, v string").repartition(5)
     got = {r.k: r.next_v for r in imatch.with_next(df, "k", ["v"], rows_per_range=5).collect()}
     assert got == {i * i: f"t{(i + 1) % 50}" for i in range(50)}
+
+
+def test_kept_bytes_have_the_reported_hash(spark):
+    got = repeats.remove_repeats(table(spark, SHORT), with_text=True).collect()
+    assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed for r in got)
+    assert collections.Counter((r.doc_id, r.kept_sha256) for r in got) == collections.Counter((i, s) for (i, _, _, _, s), n in brute_repeats(SHORT).items() for _ in range(n))

@@ -74,6 +74,25 @@ def test_grounding(spark):
     assert {r.value: r.grounded for r in html.verify_values(claims).collect()} == {"Widget": True, "$19.99": True, "quantum": False, "100": False, "one": True}
 
 
+def test_grounding_counts_documents_of_every_language(spark, tmp_path):
+    import re
+
+    from veriloom.plans import queries
+
+    texts = ["x-Alpha  beta, gamma", "alpha beta", "alphabet beta", "alpha betas", "no alpha\nbeta here", "the -- ++ signs", "a -- one", "C'est l'été ici", None, "", "alpha beta alpha beta", "été"]
+    docs = [(i if i != 4 else None, t, ["en", "fr", "de", "es"][i % 4]) for i, t in enumerate(texts)] + [(1, "alpha gamma", "en")]
+    items = [(0, "the Alpha beta x"), (1, "the alpha beta"), (2, "so -- ++ y"), (3, "so -- one"), (4, "quoi c'est l'été"), (5, "two words"), (6, "q no such phrase"), (7, "it alpha\tbeta"), (8, "is - --")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = {}
+    for i, t in items:
+        m = re.match(r"\S+\s+(\S+\s+\S+)", t)
+        n = sum(bool(re.search(rf"(?<!\w){re.escape(m[1].lower())}(?!\w)", " ".join((x or "").lower().split()))) for _, x, _ in docs) if m else 0
+        want |= {i: n} if n else {}
+    assert {r.item_id: r.grounded for r in queries.grounding(spark, str(tmp_path)).collect()} == want
+    assert want[0] == want[1] == 4 and want[2] == want[3] == want[4] == 1
+
+
 def test_tracking_verdicts(spark):
     old = "<div><p id='x'>alpha beta gamma</p></div>"
     cases = {"same": old, "moved": "<section><p id='x'>alpha beta gamma</p></section>", "changed": "<div><p id='x'>alpha beta delta</p></div>", "gone": "<div><span>none</span></div>"}

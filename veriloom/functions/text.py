@@ -43,6 +43,23 @@ def grounded(token: Column, hay: Column) -> Column:
     return (t != "") & F.regexp_like(hay, F.concat(F.lit(f"(?:^|{NOT_WORD})"), quote_pattern(t), F.lit(f"(?:$|{NOT_WORD})")))
 
 
+def words(text: Column) -> Column:
+    """Runs of word characters, in order."""
+    return F.filter(F.split(text, NOT_WORD + "+"), lambda w: w != "")
+
+
+def word_keys(text: Column) -> Column:
+    """Distinct words and pairs of successive words, and ''."""
+    # transform over an array of one names the words, so that they are split once
+    keys = F.transform(F.array(words(text)), lambda ws: F.concat(F.array(F.lit("")), ws, F.filter(F.zip_with(ws, F.slice(ws, 2, F.size(ws)), lambda a, b: F.concat(a, F.lit(" "), b)), lambda k: k.isNotNull())))
+    return F.array_distinct(F.get(keys, F.lit(0)))
+
+
+def first_key(text: Column) -> Column:
+    """The first two words (or the only one, or '')."""
+    return F.array_join(F.slice(words(text), 1, 2), " ")
+
+
 def first_group(text: Column, pattern: str) -> Column:
     """The first group of the first match (the match if there is none); null without a match."""
     import re

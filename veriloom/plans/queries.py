@@ -451,10 +451,23 @@ def schema_extract(spark, sf):
 @query("""WITH b AS (SELECT item_id, lower(regexp_extract(text, '^[^\\s]+\\s+([^\\s]+\\s+[^\\s]+)', 1)) AS phrase FROM benchmark), d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS hay FROM documents WHERE lang = 'es')
 SELECT item_id, count(*)::BIGINT AS grounded FROM b JOIN d ON contains(hay, phrase) AND phrase <> '' AND regexp_matches(hay, '(?:^|[^\\p{L}\\p{N}_])' || regexp_escape(phrase) || '(?:$|[^\\p{L}\\p{N}_])') GROUP BY item_id""")
 def grounding(spark, sf):
-    b = table(spark, sf, "benchmark").select("item_id", F.lower(F.regexp_extract("text", r"^[^\s]+\s+([^\s]+\s+[^\s]+)", 1)).alias("phrase"))
-    d = table(spark, sf, "documents").where("lang = 'es'").select(F.lower(text.norm(F.col("text"))).alias("hay"))
-    pairs = d.join(b, F.contains("hay", "phrase") & (F.col("phrase") != ""))
-    return html.verify_values(pairs, "phrase").where("grounded").groupBy("item_id").agg(F.count(F.lit(1)).alias("grounded"))
+    b = table(spark, sf, "benchmark").select("item_id", F.lower(F.regexp_extract("text", r"^[^\s]+\s+([^\s]+\s+[^\s]+)", 1)).alias("phrase")).where("phrase <> ''")
+    d = table(spark, sf, "documents").select("doc_id", F.lower(text.norm(F.col("text"))).alias("hay"))
+    return grounded_counts(d, b)
+
+
+def grounded_counts(d: DataFrame, b: DataFrame) -> DataFrame:
+    """How many rows of d (doc_id, hay) each item of b (item_id, phrase) stands in.
+
+    A phrase between word edges has its words whole and in sequence in the hay, so its first two (its only one, or '' if
+    it has none) are among the hay's keys.  Documents come back by doc_id, so that long texts aren't copied to each key.
+    """
+    keys = d.select("doc_id", F.explode(text.word_keys(F.col("hay"))).alias("key"))
+    phrases = b.select("phrase", text.first_key(F.col("phrase")).alias("key")).distinct()
+    maybe = keys.join(phrases, "key").select(F.col("doc_id").alias("_id"), "phrase").distinct()
+    pairs = d.join(maybe, F.col("doc_id").eqNullSafe(F.col("_id"))).where(F.contains("hay", "phrase"))
+    counts = html.verify_values(pairs, "phrase").where("grounded").groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
+    return b.join(counts, "phrase").groupBy("item_id").agg(F.sum("n").alias("grounded"))
 
 
 TOK = r"list_distinct(list_filter(string_split_regex(lower({0}), '\s+'), lambda x: x <> ''))"

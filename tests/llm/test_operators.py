@@ -261,6 +261,23 @@ def test_values_that_fail_validation_stay(text):
     assert pseudonyms.Pseudonymizer(KEY).replace(text) == (text, [])
 
 
+@pytest.mark.parametrize(
+    ("value", "after"),
+    [("4111 1111 1111 1111", t) for t in (" 12/27", " 123", " 12/27 123", "-9")] + [("4111111111111111", " 12/27"), ("BE71 0961 2345 6769", " BIC"), ("BE71 0961 2345 6769", " CODE MORE"), ("BE71096123456769", " 12"), ("+16165556540", " 1234")],
+)
+def test_valid_values_are_found_whatever_follows(value, after):
+    p = pseudonyms.Pseudonymizer(KEY)
+    alone, kinds = p.replace(value)
+    assert alone != value and p.replace(f"see {value}{after} end") == (f"see {alone}{after} end", kinds)
+
+
+@pytest.mark.parametrize(("before", "value"), [("1999 ", "4111 1111 1111 1111"), ("AB12 ", "BE71 0961 2345 6769"), ("token: ", "john-smith@example.com"), ("4111-11-11 ", "4111 1111 1111 1111")])
+def test_scanning_goes_on_behind_a_rejected_start(before, value):
+    p = pseudonyms.Pseudonymizer(KEY)
+    alone, kinds = p.replace(value)
+    assert alone != value and p.replace(before + value) == (before + alone, kinds)
+
+
 def test_feistel_is_a_permutation():
     f = pseudonyms.Feistel(KEY)
     for n in (1, 2, 10, 97, 1000):

@@ -184,7 +184,11 @@ KINDS: tuple[tuple[str, str, Callable[[str, Feistel], str | None]], ...] = (
     ("card", r"(?<![\w.])\d(?:[ \-]?\d){12,18}(?!\w)", card),
 )
 _PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p, _ in KINDS))
-_CODES = {k: code for k, _, code in KINDS}
+_KINDS = [(k, re.compile(p), code) for k, p, code in KINDS]
+_PLACE = {k: i for i, (k, _, _) in enumerate(KINDS)}
+_ENDS = {"iban", "phone", "card"}  # their patterns may take in symbols that follow a value
+_END = re.compile(r"(?<=\w)(?!\w)")
+_GROUPED = re.compile(r"(?<![\w.])(?=(?P<card>\d{13,19}|\d{4}(?P<sep>[ \-])\d{4}(?P=sep)\d{4}(?P=sep)\d{4}(?:(?P=sep)\d{3})?|\d{4}(?P<gap>[ \-])\d{6}(?P=gap)\d{4,5})(?!\w))")
 _MAYBE = re.compile(r"[0-9@]")
 
 
@@ -198,26 +202,53 @@ class Pseudonymizer:
             return text, []
         kinds: list[str] = []
 
-        def one(m: re.Match) -> str:
-            k, s = m.lastgroup, m[0]
-            if (k, s) not in self.known:
-                if len(self.known) > 100_000:
-                    self.known.clear()
-                self.known[k, s] = _CODES[k](s, self.feistel)
-            new = self.known[k, s]
-            if new is None:
-                return s
+        out, done, at = [], 0, 0
+        while m := _PATTERN.search(text, at):
+            found = self._at(text, m)
+            if found is None:
+                at = m.start() + 1
+                continue
+            k, end, new = found
             kinds.append(k)
-            return new
+            out += text[done : m.start()], new
+            done = at = end
+        return "".join(out) + text[done:], kinds
+
+    def _at(self, text: str, m: re.Match) -> tuple[str, int, str] | None:
+        """(kind, end, pseudonym) of the first kind with a valid value where `m` starts: the longest match, or a shorter one
+        that ends before a symbol of no word."""
+        lo = m.start()
+        for k, pattern, _ in _KINDS[_PLACE[m.lastgroup] :]:
+            if not (whole := pattern.match(text, lo)):
+                continue
+            ends = [e.start() for e in _END.finditer(text, lo + 1, whole.end())] if k in _ENDS else []
+            for end in (whole.end(), *reversed(ends)):
+                if end == whole.end() or pattern.fullmatch(text, lo, end):
+                    new = self._coded(k, text[lo:end])
+                    if new is not None and not (k == "card" and self._cuts_card(text, lo, end)):
+                        return k, end, new
+        return None
+
+    def _cuts_card(self, text: str, lo: int, end: int) -> bool:
+        """Whether digits without a card's usual groups fit by chance: a valid card that has them starts within and goes on behind."""
+        if (own := _GROUPED.match(text[lo:end])) and own.end("card") == end - lo:
+            return False
+        return any(g.end("card") > end and self._coded("card", g["card"]) for g in _GROUPED.finditer(text, lo + 1, end + 24) if g.start() < end)
 
-        return _PATTERN.sub(one, text), kinds
+    def _coded(self, k: str, s: str) -> str | None:
+        if (k, s) not in self.known:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            self.known[k, s] = _KINDS[_PLACE[k]][2](s, self.feistel)
+        return self.known[k, s]
 
 
 def pseudonymize(docs: DataFrame, *, key: bytes, text_col: str = "text", found_col: str | None = "pii_kinds") -> DataFrame:
     """All columns of `docs`, with personal values of the whole `text_col` replaced by keyed pseudonyms.
 
     A pseudonym has its value's format and passes the same validation; equal values get equal pseudonyms in every
-    document, whatever their separators.  Values that fail validation stay.  Null texts stay null, empty ones empty.
+    document, whatever their separators.  Values that fail validation stay; a valid one is found whatever symbols follow it,
+    or stand before it and fail.  Null texts stay null, empty ones empty.
     `found_col` (if named) is added: array<string> with the kind of each replaced value in order; where a column so
     named exists, it is replaced.  Each row stands alone: no shuffle, and ties or repeated rows change nothing.
     """

@@ -353,6 +353,19 @@ def test_licenses(spark, docs):
     assert licenses.scan_licenses(docs).count() == len(ROWS) and licenses.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_worse_notices_beside_better_ones_are_found():
+    search = licenses.NoticeSearch(licenses.NOTICES)
+    gpl = ["this work is licenced under the gnu general public licence version 3", "this work is licensed under the gnu general public license version 2"]
+    mit = ["releesed under the mit licence", "released under teh mit license", "released under the mit license"]
+    bad = "this work is licenced under the gnu general publik licence version 3"
+    for notices in (gpl, mit, mit[::-1], [bad, gpl[0], bad, gpl[1], bad], mit * 5):
+        text, want = " ".join(notices), []
+        for t in notices:
+            start = want[-1][2] + 1 if want else 0
+            want += [(label, start + a, start + b, edits, like) for label, a, b, edits, like in search.spans(t)]
+        assert len(want) == len(notices) and search.spans(text) == sorted(want)
+
+
 def test_fuzzy_search_finds_every_edit_within_the_bound():
     search, r = licenses.NoticeSearch(licenses.NOTICES), random.Random(2)
     for notice, label in licenses.NOTICES.items():

@@ -66,11 +66,16 @@ class NoticeSearch:
                     last.append([lo, hi])
         found = []
         for n, places in windows.items():
-            label, length, _, pattern = self.notices[n]
+            label, length, k, pattern = self.notices[n]
             for lo, hi in places:
-                for m in pattern.finditer(norm, lo, min(hi, len(norm))):
-                    edits = sum(m.fuzzy_counts)
-                    found.append((label, m.start(), m.end(), edits, 1.0 - edits / length))
+                parts = [(lo, min(hi, len(norm)))]
+                while parts:  # the best match of a part, then what lies before and behind it
+                    a, b = parts.pop()
+                    m = pattern.search(norm, a, b) if b - a >= length - k else None
+                    if m:
+                        edits = sum(m.fuzzy_counts)
+                        found.append((label, m.start(), m.end(), edits, 1.0 - edits / length))
+                        parts += (a, m.start() - 1), (m.end(), b)
         kept: list[tuple[str, int, int, int, float]] = []
         for span in sorted(found, key=lambda x: (-x[4], x[1], x[0])):  # of notices that overlap, the likeliest
             if all(span[1] >= other[2] or span[2] <= other[1] for other in kept):

@@ -176,6 +176,22 @@ def test_linked_sets_share_as_many_part_keys_as_they_need():
                 assert shared >= max(1, na) and shared >= max(1, nb)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_short_linked_sets_pass_the_floor(percent):
+    r, radius, linked = np.random.default_rng(3), jaccard.Radius(percent), 0
+    for _ in range(20_000):
+        n = int(r.integers(8, 24))
+        gone, new = (int(x) for x in r.integers(0, 3, 2))
+        pool = r.integers(0, 2**62, n + new).astype(np.uint64)
+        a, b = np.sort(pool[:n]), np.sort(pool[gone:])
+        if radius.links(len(np.intersect1d(a, b)), len(a), len(b)) and not np.array_equal(a, b):
+            (ka, na), (kb, nb) = radius.part_keys(a), radius.part_keys(b)
+            shared = len(np.intersect1d(ka, kb))
+            assert shared >= max(1, na) and shared >= max(1, nb)
+            linked += 1
+    assert linked > 3000
+
+
 def test_region_recursion_equals_all_pairs():
     sets = []
     for i, t in near_rows(200, 9):

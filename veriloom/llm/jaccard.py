@@ -98,7 +98,8 @@ class Radius:
 
         In the class of the larger set linked sets differ in at most `apart` shingles, so of m parts at least m - apart
         are equal; m is chosen so that this is a sixth of them, more than chance or a shared passage brings together.
-        Empty parts have no keys unless equal parts could all be empty.  A set is also sent to the next class if a set
+        Empty parts have no keys unless equal parts could all be empty; then the other set may still send none of its own, and
+        but one common key is sure.  A set is also sent to the next class if a set
         there can be within the radius.
         """
         n, out, need = len(hashes), [], None
@@ -122,7 +123,7 @@ class Radius:
             keys = mix(total + mix(np.arange(m, dtype=U64) * U64(0x2545F4914F6CDD1D) + U64(c)))
             empty = int((count == 0).sum())
             out.append(keys[count > 0] if empty < equal else keys)
-            need = min(need or m, equal - empty if empty < equal else equal)
+            need = min(need or m, equal - empty if empty < equal else 1)
         return (np.concatenate(out), need) if out else (hashes[:0], 0)
 
 

@@ -506,15 +506,27 @@ GRAPH = "(SELECT DISTINCT s, t FROM (SELECT i AS s, unnest([2 * i + 1, 2 * i + 2
 
 @query(f"WITH RECURSIVE c AS (SELECT 0::BIGINT AS page, 0 AS depth UNION SELECT g.t, c.depth + 1 FROM c JOIN {GRAPH} g ON g.s = c.page WHERE c.depth < 4) SELECT page, min(depth)::INTEGER AS depth FROM c GROUP BY page")
 def crawl_bfs(spark, sf):
-    p = table(spark, sf, "pages").select("page_id")
-    g = p.select(F.col("page_id").alias("s"), F.explode(F.array(2 * F.col("page_id") + 1, 2 * F.col("page_id") + 2, F.col("page_id") % 7)).alias("t"))
-    g = g.distinct().join(p.withColumnRenamed("page_id", "t"), "t", "left_semi")
-    seen = front = p.where("page_id = 0").select(F.col("page_id").alias("page"), F.lit(0).alias("depth"))
-    for depth in range(1, 5):
-        reached = front.join(g, F.col("page") == F.col("s")).select(F.col("t").alias("page")).distinct()
-        front = reached.join(seen.select("page"), "page", "left_anti").withColumn("depth", F.lit(depth))
-        seen = seen.unionByName(front)
-    return seen
+    return graph_crawl(spark, sf).ledger.select(F.regexp_extract("url", r"(\d+)$", 1).cast("bigint").alias("page"), "depth")
+
+
+@query()
+def crawl_ledger(spark, sf):
+    from ..operators import crawl
+
+    return crawl.ledger_hashes(graph_crawl(spark, sf)).select("seq", "url", "depth", "content_sha256", "discovered_from", "entry_hash")
+
+
+def graph_crawl(spark: SparkSession, sf_dir: str):
+    """The crawl of a site with a page for each page_id i, which links to 2i + 1, 2i + 2 and i mod 7, from page 0 to depth 4.
+
+    Three links a page make at most 121 pages to that depth, so max_pages cuts nothing off.
+    """
+    from ..operators import crawl
+
+    i = F.col("page_id")
+    link = lambda t: F.concat(F.lit('<a href="/'), t.cast("string"), F.lit('">page</a>'))
+    p = table(spark, sf_dir, "pages").select(F.concat(F.lit("http://graph.example/"), i.cast("string")).alias("url"), F.concat(link(2 * i + 1), link(2 * i + 2), link(i % 7)).alias("html"))
+    return crawl.crawl(crawl.fetch_table(p), ["http://graph.example/0"], spark, max_depth=4, max_pages=122)
 
 
 @query()

@@ -152,9 +152,13 @@ def near_rows(n, seed=5):
     return rows
 
 
-def test_large_regions_are_cut_and_joined_exactly(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [False, True])
+def test_large_regions_are_cut_and_joined_exactly(spark, monkeypatch, hot):
     monkeypatch.setattr(jaccard, "REGION_DOCS", 8)
     monkeypatch.setattr(jaccard, "ROUNDS", 1)
+    if hot:
+        monkeypatch.setattr(jaccard, "HOT_ROWS", 3)
+        monkeypatch.setattr(jaccard, "HOT_SHARE", 1.0)
     rows = near_rows(60)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(table(spark, rows), width=4, percent=85).collect()}
     assert got == brute_components(rows, 4, 85)
@@ -201,6 +205,42 @@ def test_region_recursion_equals_all_pairs():
     one.join(list(range(200)))
     other.block(list(range(200)))
     assert [one.find(i) for i in range(200)] == [other.find(i) for i in range(200)]
+    assert one.counts["cells"] > 1 and one.counts["pivots"] > 1
+
+
+def test_pivots_part_families_and_windows_repeat_rows_on_borders():
+    r, radius = random.Random(8), jaccard.Radius(85)
+    for _ in range(30):
+        core = words(r.random(), 60)
+        families = [core[: r.randint(20, 60)] + words(r.random(), 40) for _ in range(5)]  # of overlapping words, so that borders matter
+        texts = []
+        for _ in range(60):
+            w = list(r.choice(families))
+            for _ in range(r.randint(0, 5)):
+                w[r.randrange(len(w))] = f"edit{r.randint(0, 10**9)}"
+            texts.append(" ".join(w))
+        sets = [jaccard.Shingler(4)(t) for t in texts]
+        one, other = jaccard.Region(sets, radius), jaccard.Region(sets, radius)
+        one.join(list(range(60)))
+        other.block(list(range(60)))
+        assert [one.find(i) for i in range(60)] == [other.find(i) for i in range(60)]
+        assert one.counts["cells"] > 1
+
+
+def test_cells_and_windows_do_the_join_of_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    radius, made = jaccard.Radius(85), []
+    table = jaccard.shingle_table(docs, 4, radius, "doc_id", "text").cache()
+    text, near = {r.doc_id: r.text for r in docs.collect()}, collections.defaultdict(set)
+    for a, b in jaccard.equal_part_links(table, made).collect():
+        near[b].add(a)
+    counts = collections.Counter()
+    assert max(map(len, near.values())) > jaccard.LEAF
+    for b, own in near.items():
+        region = jaccard.Region([jaccard.Shingler(4)(text[i]) for i in sorted(own)], radius)
+        region.join(list(range(len(own))))
+        counts += region.counts
+    assert counts["pivots"] > 0 and counts["cells"] > 0
 
 
 def test_keep_one_names_each_component(spark, docs):
@@ -211,6 +251,19 @@ def test_keep_one_names_each_component(spark, docs):
     assert sorted(i for i in ids if i is not None) == want and ids.count(None) == 1
 
 
+def test_keep_one_loses_no_text_of_its_own(spark):
+    other, third = " ".join(words(50, 40)), " ".join(words(51, 40))
+    rows = [(1, " ".join(BASE)), (2, " ".join(BASE)), (2, other), (2, other), (3, third), (None, third), (None, other + " x"), (4, ""), (4, ""), (None, None)]
+    df = odd(table(spark, rows))
+    for c in ("_rows", "_stays", "_turn", "id", "many", "rows", "component_id", "key"):
+        df = df.withColumn(c, F.lit(7))
+    kept = jaccard.keep_one(df, width=5, percent=80)
+    assert kept.columns == df.columns and {r._rows for r in kept.collect()} == {7}
+    got = collections.Counter((r.text or "").removesuffix(" x") for r in kept.collect())
+    assert got == {" ".join(BASE): 1, other: 1, third: 1, "": 3}
+    assert jaccard.keep_one(df.limit(0)).count() == 0
+
+
 # 3
 
 
@@ -486,18 +539,55 @@ def brute_repeats(rows, span=50):
 
 
 SHORT = [(i, t if i != 9 else " ".join(words(3, 900))) for i, t in ROWS] + [(13, " ".join(words(3, 900)[300:420] + words(6, 50))), (14, "x" * 70 + "a" * 60), (15, "tail " + "a" * 50)]
+SHORT += [(5, " ".join(BASE[:30])), (5, " ".join(words(30, 12))), (5, " ".join(BASE[:30]) + " and a tail"), (16, " ".join(words(30, 12) + words(31, 9))), (None, " ".join(words(31, 9))), (None, " ".join(words(31, 9)[2:] + words(30, 12)))]
+COMMON = "a line that very many documents have in the middle of other words"
+CROWD = [(i, f"{' '.join(words(i, 8))} {COMMON} {' '.join(words(1000 + i % 40, 8))}") for i in range(60)] + [(i, f"{COMMON[:30]}{i:09d} {COMMON[9:]}") for i in range(60, 90)]
 
 
-@pytest.mark.parametrize("hot", [5_000, 2])
-def test_repeats_equal_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("rows", "hot", "wide"), [(SHORT, 5_000, 64), (SHORT, 2, 64), (CROWD, 5, 64), (CROWD, 5, 1), (SHORT, 1, 1)])
+def test_repeats_equal_brute_force(spark, monkeypatch, rows, hot, wide):
     monkeypatch.setattr(repeats, "HOT_STRINGS", hot)
-    got = collections.Counter(tuple(r) for r in repeats.remove_repeats(odd(table(spark, SHORT)).repartition(3)).collect())
-    assert got == brute_repeats(SHORT)
+    monkeypatch.setattr(repeats, "WIDE_ROWS", wide)
+    monkeypatch.setattr(repeats, "WIDE_SHARE", 1 / 16 if wide > 1 else 1.0)
+    got = collections.Counter(tuple(r) for r in repeats.remove_repeats(odd(table(spark, rows)).repartition(3)).collect())
+    assert got == brute_repeats(rows)
     assert repeats.remove_repeats(table(spark).limit(0)).count() == 0
 
 
-def test_column_wise_suffixes_equal_brute_force(tmp_path):
+def test_rows_with_one_id_are_judged_by_their_own_texts(spark):
+    same, own = " ".join(words(7, 12)), " ".join(words(8, 12))
+    got = {(r.doc_id, r.n_bytes, r.n_removed) for r in repeats.remove_repeats(table(spark, [(1, same), (5, same), (5, own)])).collect()}
+    assert got == {(1, len(same), 0), (5, len(same), len(same)), (5, len(own), 0)}
+
+
+def test_a_task_settles_surroundings_that_it_met_before():
+    r, met, least = np.random.default_rng(2), repeats.FirstMet(), {}
+    for _ in range(30):
+        anchor, around, doc = r.integers(1, 4, 40), r.integers(1, 6, 40), r.integers(0, 50, 40)
+        later = met.later(anchor, around, doc)
+        before = dict(least)
+        for a, c, d in zip(anchor, around, doc):
+            least[a, c] = min(least.get((a, c), d), d)
+        assert all(d > least[a, c] for a, c, d, x in zip(anchor, around, doc, later) if x)  # nothing that is first goes
+        in_block = {}
+        for a, c, d in zip(anchor, around, doc):
+            in_block[a, c] = min(in_block.get((a, c), d), d)
+        assert all(x for a, c, d, x in zip(anchor, around, doc, later) if d > in_block[a, c])
+    assert len(met.around) and before
+
+
+@pytest.mark.parametrize("chunk", [1 << 18, 7])
+def test_column_wise_suffixes_equal_brute_force(tmp_path, monkeypatch, chunk):
+    monkeypatch.setattr(repeats, "CHUNK", chunk)
     r = random.Random(3)
+    for _ in range(40):
+        strings = [bytes(r.choice(b"abc") for _ in range(r.randint(0, 12))) for _ in range(r.randint(1, 9))]
+        symbols, common = repeats.ColumnWise(strings, 40, str(tmp_path)).build()
+        suffixes = sorted((s[k:], i, k) for i, s in enumerate(strings) for k in range(len(s) + 1))
+        assert [len(a) for a, *_ in suffixes].count(0) == len(strings)
+        want = [0] + [next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for (a, *_), (b, *_) in zip(suffixes, suffixes[1:])]
+        assert common.tolist() == want  # whichever way equal suffixes are ordered
+        assert sorted(symbols) == sorted(s[k - 1] + 1 if k else 0 for _, i, k in suffixes for s in [strings[i]])
     for _ in range(40):
         span = r.choice([2, 3, 5])
         strings = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 12))) for _ in range(r.randint(1, 9))]

@@ -11,23 +11,25 @@ boundary sets replicated by the triangle inequality, recursion, and exact inters
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import drop_path, fresh_path, materialize, release
+from .shared import drop_tables, materialize
 
 U64 = np.uint64
 CLASS_RATIO = 1.5  # sizes of one class differ by less than this
-LEAF, PIVOTS, COLUMNS = 32, 8, 2048
+LEAF, PIVOTS, COLUMNS = 2, 8, 2048
 REGION_DOCS, REGION_SHINGLES = 1500, 800_000  # a region up to this size is joined within one task
-ROUNDS = 2
+ROUNDS = 2  # distributed cuts; what they leave large is joined in blocks
+HOT_ROWS, HOT_SHARE = 64, 1 / 16  # keys with so many rows in this share of the sets are counted before anything is shuffled
 TASK_DOCS = 300  # joined by one task, where no region is larger
 
 
@@ -133,6 +135,7 @@ class Region:
     def __init__(self, sets: list[np.ndarray], radius: Radius, labels: list[int] | None = None):
         self.sets, self.radius = sets, radius
         self.parent = list(range(len(sets)))
+        self.counts: Counter = Counter()  # pivots, cells, rows in cells, and how often rows are in one cell more
         first: dict[int, int] = {}
         for i, label in enumerate(labels or []):
             self.union(first.setdefault(label, i), i)
@@ -194,19 +197,39 @@ class Region:
         return 1 - inter / (sizes + len(p) - inter)
 
     def join(self, rows: list[int]) -> None:
-        """Pivots cut the rows into Voronoi cells; rows within twice the radius of a cell's border go to both sides."""
-        if len({self.find(i) for i in rows}) < 2:
-            return
-        if len(rows) <= LEAF:
-            return self.block(rows)
-        step = len(rows) / PIVOTS
-        pivots = [rows[int(k * step)] for k in range(PIVOTS)]
-        away = np.stack([self.distances(rows, p) for p in pivots], axis=1)
-        member = away <= away.min(axis=1, keepdims=True) + 2 * self.radius.distance + 1e-9
-        if member.sum() > len(rows) * PIVOTS / 2:  # the pivots hardly part these rows
-            return self.block(rows)
-        for k in range(PIVOTS):
-            self.join([rows[i] for i in np.flatnonzero(member[:, k])])
+        """Pivots cut the rows into Voronoi cells; a row goes to every cell on whose side of the border it is by less than
+        twice the radius (of two linked rows both are then in the cells of both); cells are joined in the same way.
+
+        A pivot is compared with all rows, so it is in no cell.  Pivots are far from each other, and of the smaller
+        components known so far: rows of one component need no comparison.  Where cells overlap so much that they
+        hardly part the rows, the rows stay one cell, without these pivots.
+        """
+        while True:
+            roots = [self.find(i) for i in rows]
+            known = Counter(roots)
+            if len(known) < 2:
+                return
+            if len(rows) <= LEAF:
+                return self.block(rows)
+            weight = np.array([known[r] for r in roots])
+            least = np.full(len(rows), 2.0)
+            away, chosen = [], []
+            for _ in range(min(PIVOTS, max(2, math.isqrt(len(rows))))):
+                k = int(np.lexsort((np.arange(len(rows)), -least, weight))[0])
+                chosen.append(k)
+                away.append(self.distances(rows, rows[k]))
+                least = np.minimum(least, away[-1])
+                weight[k] = len(rows) + 1
+            near = np.stack(away, axis=1)
+            member = near <= near.min(axis=1, keepdims=True) + 2 * self.radius.distance + 1e-9
+            member[chosen] = False
+            self.counts.update(pivots=len(chosen), cells=int(member.any(axis=0).sum()), rows=int(member.any(axis=1).sum()), replicas=int(np.maximum(member.sum(axis=1) - 1, 0).sum()))
+            if member.sum() <= (len(rows) - len(chosen)) * len(chosen) / 2:
+                for k in range(len(chosen)):
+                    self.join([rows[i] for i in np.flatnonzero(member[:, k])])
+                return
+            out = set(chosen)
+            rows = [r for i, r in enumerate(rows) if i not in out]
 
 
 def shingle_table(docs: DataFrame, width: int, radius: Radius, id_col: str, text_col: str) -> DataFrame:
@@ -240,11 +263,26 @@ def shingle_table(docs: DataFrame, width: int, radius: Radius, id_col: str, text
     return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, keys array<bigint>, need int")
 
 
-def equal_part_links(table: DataFrame) -> DataFrame:
+def _hot_keys(table: DataFrame, made: list[str]) -> DataFrame:
+    """(key, b): part keys of very many sets and the least document of each, over all rows, with partial sums.
+
+    Which keys count as hot is seen in a seeded share of the sets; they are at most four a shuffle partition, and the links
+    are the same whether a key is hot or not.
+    """
+    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = table.sample(HOT_SHARE, seed=5).select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    keys = materialize(some.where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n"), "key").limit(4 * parts).select("key"), "hot-keys", made)
+    every = table.select(F.explode("keys").alias("key"), "doc_id").join(F.broadcast(keys), "key")
+    return materialize(every.groupBy("key").agg(F.min("doc_id").alias("b")), "hot-least", made)
+
+
+def equal_part_links(table: DataFrame, made: list[str]) -> DataFrame:
     """(a, b): sets that share enough part keys with others, and the least document of a key; streamed, never gathered.
 
     A set with fewer shared keys than any set linked to it would share is linked to none.
     """
+    table = table.where("doc_id IS NOT NULL AND keys IS NOT NULL")
+    hot = _hot_keys(table, made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, first, alone = None, None, False  # the key at the batch's end, its least document, whether it has but one
@@ -266,10 +304,11 @@ def equal_part_links(table: DataFrame) -> DataFrame:
             key, first = k[-1], least[-1]
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(count)], names=["a", "b", "shared"])
 
-    keyed = table.where("doc_id IS NOT NULL AND keys IS NOT NULL").select(F.explode("keys").alias("key"), "doc_id")
-    ordered = keyed.repartition("key").sortWithinPartitions("key", "doc_id")
-    counted = ordered.mapInArrow(run, "a bigint, b bigint, shared bigint").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    counted = materialize(counted, "shared-parts")
+    keyed = table.select(F.explode("keys").alias("key"), "doc_id")
+    ordered = keyed.join(F.broadcast(hot), "key", "left_anti").repartition("key").sortWithinPartitions("key", "doc_id")
+    pairs = ordered.mapInArrow(run, "a bigint, b bigint, shared bigint")
+    pairs = pairs.unionByName(keyed.join(F.broadcast(hot), "key").select(F.col("doc_id").alias("a"), "b", F.lit(1).cast("bigint").alias("shared")))
+    counted = materialize(pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared")), "shared-parts", made)
     total = counted.groupBy("a").agg(F.sum("shared").alias("total"))
     needs = table.where("need > 0").groupBy(F.col("doc_id").alias("a")).agg(F.min("need").alias("need"))
     enough = total.join(needs, "a").where("total >= need").select("a")
@@ -337,7 +376,7 @@ def _pivot_round(rows: DataFrame, sizes: DataFrame, texts: DataFrame, width: int
     return left.cogroup(right).applyInArrow(run, "doc_id bigint, label bigint, region bigint, links array<bigint>, cells array<bigint>")
 
 
-def _spread_labels(linked: DataFrame, times: int = 2) -> DataFrame:
+def _spread_labels(linked: DataFrame, made: list[str], times: int = 2) -> DataFrame:
     """(doc_id, component): labels passed from sets to the pivots they link to, and back.  Two sets with one label are in
     one component; the links themselves settle which components there are in the end."""
     for _ in range(times):
@@ -345,10 +384,10 @@ def _spread_labels(linked: DataFrame, times: int = 2) -> DataFrame:
         linked = linked.join(least, "pivot").withColumn("label", F.least("label", "least")).drop("least")
         own = linked.groupBy("doc_id").agg(F.min("label").alias("label"))
         linked = linked.drop("label").join(own, "doc_id")
-    return materialize(own.withColumnRenamed("label", "component"), "labels")
+    return materialize(own.withColumnRenamed("label", "component"), "labels", made)
 
 
-def _blocks(rows: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, radius: Radius) -> DataFrame:
+def _blocks(rows: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, radius: Radius, made: list[str]) -> DataFrame:
     """The exact way for regions that pivots do not part: sets outside the largest component known, in chunks, against
     all sets of the region, in chunks."""
     half = REGION_DOCS // 2
@@ -360,7 +399,7 @@ def _blocks(rows: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, rad
     every = both.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), open_chunks.cast("bigint") - 1))).withColumn("j", chunk)
     outside = both.where("label <> main").withColumn("i", own.cast("bigint")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
     spread = every.unionByName(outside).select("doc_id", "label", F.xxhash64("region", "i", "j").alias("region")).distinct()
-    spread = materialize(spread, "blocks")
+    spread = materialize(spread, "blocks", made)
     return _in_task(spread, texts, width, radius, spread.count())
 
 
@@ -373,61 +412,56 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
     doc_id is reached by none (component_id: that of its equals, else null).  Empty tables give no rows; other columns
     are ignored.  No cap anywhere: large regions are cut by distributed pivot rounds, then joined in blocks.
     """
-    radius = Radius(percent)
-    spark = docs.sparkSession
-    path = fresh_path(spark, "shingles")
-    made = shingle_table(docs, width, radius, id_col, text_col)
-    made.write.parquet(path)
-    table = spark.read.schema(made.schema).parquet(path)
+    radius, spark, first, made = Radius(percent), docs.sparkSession, [], []
+    table = materialize(shingle_table(docs, width, radius, id_col, text_col), "shingles", first)
     slim = materialize(table.select("doc_id", "n_shingles", "h1", "h2"), "shingle-sets")
     classes = materialize(slim.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "classes")
     copies = classes.where("copies > 1").select("n_shingles", "h1", "h2", "node")
-    to_node = slim.where("doc_id IS NOT NULL").join(copies, ["n_shingles", "h1", "h2"]).where("doc_id <> node").select("doc_id", "node").distinct()
-    found = equal_part_links(table)
+    to_node = materialize(slim.where("doc_id IS NOT NULL").join(copies, ["n_shingles", "h1", "h2"]).where("doc_id <> node").select("doc_id", "node").distinct(), "to-node", made)
+    found = equal_part_links(table, first)
     for c in ("a", "b"):
         renamed = to_node.select(F.col("doc_id").alias(c), F.col("node").alias("to"))
         found = found.join(renamed, c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
-    near = materialize(found.select("a", "b").distinct(), "regions-of")
-    del table, found
-    drop_path(spark, path)
-    release(spark)
+    near = materialize(found.select("a", "b").distinct(), "regions-of", made)
+    drop_tables(spark, first)
     inside = near.select(F.col("b").alias("region"), F.col("a").alias("doc_id"))
     sized = slim.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
-    members = materialize(inside.join(sized, "doc_id").withColumn("label", F.col("doc_id")), "regions")
+    members = materialize(inside.join(sized, "doc_id").withColumn("label", F.col("doc_id")), "regions", made)
     links = [to_node.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))]
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     inside = members.select("doc_id").distinct().hint("merge")  # ids of members have no bound: never broadcast, whatever their size
-    texts = materialize(texts.join(inside, "doc_id", "left_semi"), "region-texts")  # read by each round
+    texts = materialize(texts.join(inside, "doc_id", "left_semi"), "region-texts", made)  # read by each round
     rows = members
     for r in range(ROUNDS + 1):
         sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"), F.countDistinct("label").alias("labels"))
         small = (F.col("docs") <= REGION_DOCS) & (F.col("n") <= REGION_SHINGLES)
-        sizes = materialize(sizes.where("labels > 1").withColumn("small", small).withColumn("chunks", F.greatest(F.ceil(F.col("docs") * 2 / REGION_DOCS), F.ceil(F.col("n") * 2 / REGION_SHINGLES))).drop("n"), "region-sizes")
+        sizes = materialize(sizes.where("labels > 1").withColumn("small", small).withColumn("chunks", F.greatest(F.ceil(F.col("docs") * 2 / REGION_DOCS), F.ceil(F.col("n") * 2 / REGION_SHINGLES))).drop("n"), "region-sizes", made)
         count = {x["small"]: x["d"] for x in sizes.groupBy("small").agg(F.sum("docs").alias("d")).collect()}
         if count.get(True):
             own = rows.drop("n").join(sizes.where("small").select("region"), "region")
-            links.append(materialize(_in_task(own, texts, width, radius, count[True]), "region-links"))
+            links.append(materialize(_in_task(own, texts, width, radius, count[True]), "region-links", made))
         if not count.get(False):
             break
         large = sizes.where("NOT small").select("region", "chunks")
         if r == ROUNDS:
-            links.append(materialize(_blocks(rows.drop("n").join(large.select("region"), "region"), large, texts, width, radius), "block-links"))
+            links.append(materialize(_blocks(rows.drop("n").join(large.select("region"), "region"), large, texts, width, radius, made), "block-links", made))
             break
-        cut = materialize(_pivot_round(rows.drop("n").join(large.select("region"), "region"), large, texts, width, radius, 100 + r), "cells")
+        cut = materialize(_pivot_round(rows.drop("n").join(large.select("region"), "region"), large, texts, width, radius, 100 + r), "cells", made)
         linked = cut.select(F.col("doc_id").alias("a"), F.explode("links").alias("b")).where("a <> b")
         links.append(linked)
-        named = _spread_labels(cut.select("doc_id", "label", F.explode("links").alias("pivot")))
+        named = _spread_labels(cut.select("doc_id", "label", F.explode("links").alias("pivot")), made)
         sized = rows.select("doc_id", "n").distinct()
         # a region whose sets mostly lie within the windows of most pivots is not parted: it stays one, with better labels
         parted = cut.groupBy("region").agg((F.avg(F.size("cells")) <= PIVOTS / 2).alias("parted"))
         placed = cut.join(parted, "region").select("doc_id", "label", "region", F.explode(F.when(F.col("parted"), F.col("cells")).otherwise(F.array(F.lit(-1).cast("bigint")))).alias("cell"))
         placed = placed.join(named, "doc_id", "left")
         into = F.when(F.col("cell") == -1, F.col("region")).otherwise(F.xxhash64("region", "cell", F.lit(r)))
-        rows = materialize(placed.select("doc_id", F.coalesce("component", "label").alias("label"), into.alias("region")).join(sized, "doc_id"), "cell-rows")
+        rows = materialize(placed.select("doc_id", F.coalesce("component", "label").alias("label"), into.alias("region")).join(sized, "doc_id"), "cell-rows", made)
     every = links[0]
     for more in links[1:]:
         every = every.unionByName(more)
     named = components(every).withColumnRenamed("node", "doc_id")
+    drop_tables(spark, made)
     out = slim.join(named, "doc_id", "left")
     nameless = slim.where("doc_id IS NULL AND n_shingles > 0").join(classes, ["n_shingles", "h1", "h2"], "left").select(F.col("node").alias("doc_id"), "n_shingles").join(named, "doc_id", "left")
     nameless = nameless.select(F.lit(None).cast("bigint").alias("doc_id"), "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
@@ -439,15 +473,23 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """All columns of the documents that stay: of each component the one whose id names it.
 
-    Rows without an id stay.  Of rows with the same id the first by text stays, as they are one document.
+    Rows whose id is null, or belongs to rows of different texts, stand for themselves: a hash of id and text is their id
+    here.  Of rows with the same id and text one stays.  Rows without words (null, empty) are linked with nothing and
+    all stay.  No column name clashes: the row is carried as one value.  Empty tables give no rows.
     """
-    found = jaccard_components(docs, id_col=id_col, text_col=text_col, **how)
-    stay = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
-    stay = stay.where("doc_id = component_id").select(F.col("doc_id").alias("_stays"), F.col("rows").alias("_rows"))
-    joined = docs.join(stay, F.col(id_col).cast("bigint") == F.col("_stays"))
-    turn = F.row_number().over(Window.partitionBy("_stays").orderBy(F.col(text_col)))
-    named = joined.withColumn("_turn", F.when(F.col("_rows") > 1, turn).otherwise(1)).where("_turn = 1").drop("_stays", "_rows", "_turn")
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    wide = docs.select(row.alias("row"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    h = F.xxhash64("text")
+    many = materialize(wide.where("id IS NOT NULL").groupBy("id").agg(F.min(h).alias("a"), F.max(h).alias("b")).where("a <> b").select("id", F.lit(True).alias("many")), "many-texts")
+    wide = wide.join(many, "id", "left") if not many.isEmpty() else wide.withColumn("many", F.lit(False))
+    own = F.col("id").isNull() | F.coalesce("many", F.lit(False))
+    wide = wide.select("row", "text", F.when(own, F.xxhash64("id", "text")).otherwise(F.col("id")).alias("key"))
+    found = jaccard_components(wide, id_col="key", text_col="text", **how)
+    stay = found.groupBy(F.col("doc_id").alias("key")).agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n"))
+    joined = wide.join(stay.where("key = component_id"), "key")
+    each = joined.where("rows = 1 OR n = 0").select("row")
+    one = joined.where("rows > 1 AND n > 0").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    return each.unionByName(one).select("row.*")
 
 
 ORACLE_SQL = r"""

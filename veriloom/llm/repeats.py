@@ -4,7 +4,9 @@ A column-wise construction over whole documents would pass over the collection's
 text.  Here it runs where repeats can be: content-defined anchors (minimisers of `gram`-byte strings) cut the
 texts, as any string of `span` bytes holds an anchor that it has in every text.  Anchors with equal surroundings
 settle whole runs of starts at once; what is left, the ends of repeats, are short strings round the anchors.  Those are
-the collection whose transform and common prefixes are built one symbol a round.
+the collections whose transform and common prefixes are built together, one symbol of each string a round, by passes over
+sequential files.  A collection that is too large for one task is split by the bytes beside its anchor, and again until
+its strings are single spans.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, release
+from .shared import drop_tables, materialize
 
 U64 = np.uint64
 NONE = U64(2**64 - 1)
@@ -27,7 +29,10 @@ SPAN, GRAM = 50, 24
 BLOCK_BYTES = 1 << 18
 TASK_STRINGS = 20_000  # strings that one task gets
 BATCH_STRINGS = 4_000  # strings of one collection, whose transform stays small enough for the processor's caches
-HOT_STRINGS = 5_000  # an anchor with more different surroundings is settled by counting windows
+HOT_STRINGS = 5_000  # a collection with more strings is split by the bytes beside its anchor
+CHUNK = 1 << 18  # symbols of the transform that are read at once
+KNOWN = 50_000  # surroundings met in several documents that a task remembers
+WIDE_ROWS, WIDE_SHARE = 64, 1 / 16  # anchors with so many rows in this share of the texts are dealt by their surroundings too
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -101,10 +106,10 @@ def surroundings(block: np.ndarray, grams: np.ndarray, place: np.ndarray, lo: np
     return out
 
 
-def _blocks(batch: pa.RecordBatch, seen: dict[bytes, int]) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, joined bytes, starts, ends) of whole texts, about BLOCK_BYTES at a time."""
-    ids, parts, size = [], [], 0
-    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+def _blocks(batch: pa.RecordBatch, seen: dict[bytes, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc_ids, versions, joined bytes, starts, ends) of whole texts, about BLOCK_BYTES at a time."""
+    ids, versions, parts, size = [], [], [], 0
+    for doc_id, version, text in zip(*(c.to_pylist() for c in batch.columns)):
         data = (text or "").encode()
         mark = hashlib.sha256(data).digest()
         if seen.get(mark, doc_id) < doc_id:
@@ -113,51 +118,147 @@ def _blocks(batch: pa.RecordBatch, seen: dict[bytes, int]) -> Iterator[tuple[lis
             seen.clear()
         seen[mark] = doc_id
         ids.append(doc_id)
+        versions.append(version)
         parts.append(data)
         size += len(data)
         if size >= BLOCK_BYTES:
-            yield _joined(ids, parts)
-            ids, parts, size = [], [], 0
+            yield _joined(ids, versions, parts)
+            ids, versions, parts, size = [], [], [], 0
     if ids:
-        yield _joined(ids, parts)
+        yield _joined(ids, versions, parts)
 
 
-def _joined(ids: list, parts: list[bytes]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
-    ends = np.cumsum([len(p) for p in parts])
-    return ids, np.frombuffer(b"".join(parts), dtype=np.uint8), ends - [len(p) for p in parts], ends
+def _joined(ids: list, versions: list, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    sizes = np.array([len(p) for p in parts])
+    ends = np.cumsum(sizes)
+    return np.array(ids, dtype=np.int64), np.array(versions, dtype=np.int64), np.frombuffer(b"".join(parts), dtype=np.uint8), ends - sizes, ends
 
 
-def anchor_rows(texts: DataFrame, span: int, gram: int) -> DataFrame:
-    """anchor, around (hash of the bytes from which all spans over the anchor start and end), doc_id, pos."""
+class FirstMet:
+    """The least document in which a task has met surroundings that several documents have.
+
+    Rows of greater documents are settled where they are found, so that a line which a third of all documents hold makes
+    one row a task, not one a document.
+    """
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.around, self.anchor, self.doc = (np.array([], dtype=np.int64) for _ in range(3))
+
+    def later(self, anchor: np.ndarray, around: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Which rows have surroundings that a smaller document had, here or in a block before."""
+        if not len(anchor):
+            return np.zeros(0, dtype=bool)
+        order = np.lexsort((doc, anchor, around))
+        a, r, d = anchor[order], around[order], doc[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (r[1:] != r[:-1])])
+        group = np.cumsum(new) - 1
+        first = d[new]
+        out = np.zeros(len(d), dtype=bool)
+        out[order] = d > first[group]
+        several = np.zeros(len(first), dtype=bool)
+        several[group[d > first[group]]] = True
+        if len(self.around):
+            at = np.minimum(np.searchsorted(self.around, r[new]), len(self.around) - 1)
+            met = (self.around[at] == r[new]) & (self.anchor[at] == a[new])
+            before = np.where(met, self.doc[at], first)
+            out[order] |= d > before[group]
+            np.minimum.at(self.doc, at[met], first[met])
+            several &= ~met
+        if several.any():
+            if len(self.around) > KNOWN:
+                self.clear()
+            at = np.searchsorted(self.around, r[new][several])
+            self.around, self.anchor, self.doc = (np.insert(old, at, more[several]) for old, more in ((self.around, r[new]), (self.anchor, a[new]), (self.doc, first)))
+        return out
+
+
+ROWS = "anchor bigint, around bigint, doc_id bigint, ver bigint, pos int, end int, wide boolean"
+
+
+def anchor_rows(texts: DataFrame, span: int, gram: int, wide: np.ndarray | None = None) -> DataFrame:
+    """Of texts (doc_id, ver, text): a row for each anchor with the hash of its surroundings (the bytes from which all spans
+    over the anchor start and end); end is 0.  Runs that a smaller document of the same task settles are rows with
+    anchor -1 and the bytes from pos to end."""
+    before = span - gram
+    wide = np.sort(wide) if wide is not None else np.array([], dtype=np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
+        met = FirstMet()
         for batch in batches:
-            for ids, block, starts, ends in _blocks(batch, seen):
+            for ids, versions, block, starts, ends in _blocks(batch, seen):
                 grams = _grams(block, gram) if len(block) >= span else np.array([], dtype=U64)
                 place, h = anchors(grams, len(block), ends, starts, span, gram)
                 doc = np.searchsorted(ends, place, side="right")
-                around = surroundings(block, grams, place, starts[doc], ends[doc], span, gram)
-                own = np.array(ids, dtype=np.int64)[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(around.view(np.int64)), pa.array(own), pa.array((place - starts[doc]).astype(np.int32))], names=["anchor", "around", "doc_id", "pos"])
+                around = surroundings(block, grams, place, starts[doc], ends[doc], span, gram).view(np.int64)
+                anchor, pos = h.view(np.int64), place - starts[doc]
+                gone = met.later(anchor, around, ids[doc])
+                g = np.flatnonzero(gone)
+                lo, hi = np.maximum(pos[g] - before, 0), np.minimum(pos[g] + span, (ends - starts)[doc[g]])
+                new = np.ones(len(g), dtype=bool)
+                new[1:] = (doc[g][1:] != doc[g][:-1]) | (lo[1:] > hi[:-1])
+                last = np.append(np.flatnonzero(new)[1:] - 1, len(g) - 1) if len(g) else g
+                k, n = np.flatnonzero(~gone), int(new.sum())
+                own = np.concatenate([doc[k], doc[g][new]])
+                at = np.searchsorted(wide, anchor[k])
+                is_wide = (wide[np.minimum(at, len(wide) - 1)] == anchor[k]) if len(wide) else np.zeros(len(k), dtype=bool)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([anchor[k], np.full(n, -1)])),
+                        pa.array(np.concatenate([around[k], np.zeros(n, dtype=np.int64)])),
+                        pa.array(ids[own]),
+                        pa.array(versions[own]),
+                        pa.array(np.concatenate([pos[k], lo[new]]).astype(np.int32)),
+                        pa.array(np.concatenate([np.zeros(len(k), dtype=np.int64), hi[last]]).astype(np.int32)),
+                        pa.array(np.concatenate([is_wide, np.zeros(n, dtype=bool)])),
+                    ],
+                    names=["anchor", "around", "doc_id", "ver", "pos", "end", "wide"],
+                )
+
+    return texts.select("doc_id", "ver", "text").mapInArrow(run, ROWS)
+
+
+def wide_anchors(texts: DataFrame, span: int, gram: int) -> np.ndarray:
+    """Anchors that very many texts have, so that their rows are dealt to tasks by their surroundings too.
+
+    They are looked for in a seeded share of the texts and are at most four a shuffle partition.  How rows are dealt changes
+    no result: rows with equal surroundings always meet, and an anchor taken as wide is only looked at more closely.
+    """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = anchor_rows(texts.sample(WIDE_SHARE, seed=5), span, gram).where("anchor >= 0").groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    rows = found.where(F.col("n") >= WIDE_ROWS).orderBy(F.desc("n"), "anchor").limit(4 * parts).collect()
+    return np.array([r["anchor"] for r in rows], dtype=np.int64)
+
 
-    return texts.mapInArrow(run, "anchor bigint, around bigint, doc_id bigint, pos int")
+SETTLED = "anchor bigint, doc_id bigint, ver bigint, pos int, end int"
 
 
-def settle(rows: DataFrame) -> DataFrame:
-    """Streams rows in order of (anchor, around, doc_id): done (all spans over the anchor start in a smaller document),
-    or open (first document with its surroundings, of an anchor that other documents have in other surroundings).
+def settle(rows: DataFrame, span: int, gram: int) -> DataFrame:
+    """Streams rows in order of (anchor, around, doc_id): settled runs of bytes (pos, end) whose spans all start in a smaller
+    document, and open anchors (end 0): rows of the first document with their surroundings, of an anchor that other
+    documents have in other surroundings, or that is wide.
 
     Rows are held back only while all first documents of an anchor are the same one.
     """
-    names = ["anchor", "doc_id", "pos", "done"]
+    names = ["anchor", "doc_id", "ver", "pos", "end"]
+    before = span - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(a: np.ndarray, d: np.ndarray, v: np.ndarray, p: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(d), pa.array(v), pa.array(p.astype(np.int32)), pa.array(e.astype(np.int32))], names=names)
+
         last = None  # (anchor, around, first document of the surroundings, first document of the anchor, several)
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            a, c, d, p = (batch.column(i).to_numpy() for i in range(4))
-            n = len(a)
-            if not n:
+            a, c, d, v, p, e, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+            ready = a < 0
+            if ready.any():
+                yield batch_of(a[ready], d[ready], v[ready], p[ready], e[ready])
+                a, c, d, v, p, w = (x[~ready] for x in (a, c, d, v, p, w))
+            if not len(a):
                 continue
             new_a = np.concatenate([[last is None or a[0] != last[0]], a[1:] != a[:-1]])
             new_c = new_a | np.concatenate([[last is None or c[0] != last[1]], c[1:] != c[:-1]])
@@ -165,119 +266,185 @@ def settle(rows: DataFrame) -> DataFrame:
             first_c = np.concatenate([[last[2] if last else 0], d[new_c]])[inner]
             first_a = np.concatenate([[last[3] if last else 0], d[new_a]])[group]
             done = d != first_c
-            other = ~done & (d != first_a)
             several = np.zeros(group[-1] + 1, dtype=bool)
             several[0] = bool(last and last[4])
-            np.logical_or.at(several, group[other], True)
-            out = done | (~done & several[group])
-            if held and (several[0] or group[0] > 0 or group[-1] > 0):
+            several[group[(~done & (d != first_a)) | w]] = True
+            if held and (several[0] or group[-1] > 0):
                 if several[0]:
                     for x in held:
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, x), pa.array(np.zeros(len(x[0]), dtype=bool))], names=names)
+                        yield batch_of(*x, np.zeros(len(x[0])))
                 held = []
-            wait = ~out & (group == group[-1])
-            if wait.any():
-                held.append((a[wait], d[wait], p[wait]))
-            yield pa.RecordBatch.from_arrays([pa.array(a[out]), pa.array(d[out]), pa.array(p[out]), pa.array(done[out])], names=names)
+            wait = ~done & ~several[group]
+            if (keep := wait & (group == group[-1])).any():
+                held.append((a[keep], d[keep], v[keep], p[keep]))
+            out = ~wait
+            yield batch_of(a[out], d[out], v[out], np.where(done, np.maximum(p - before, 0), p)[out], np.where(done, p + span, 0)[out])
             last = (a[-1], c[-1], first_c[-1], first_a[-1], bool(several[group[-1]]))
 
-    ordered = rows.repartition("anchor").sortWithinPartitions("anchor", "around", "doc_id")
-    return ordered.mapInArrow(run, "anchor bigint, doc_id bigint, pos int, done boolean")
+    dealt = F.when(F.col("anchor") < 0, F.xxhash64("doc_id", "pos")).when(F.col("wide"), F.xxhash64("anchor", "around")).otherwise(F.col("anchor"))
+    return rows.repartition(dealt).sortWithinPartitions("anchor", "around", "doc_id").mapInArrow(run, SETTLED)
+
+
+class _Scan:
+    """What one pass over the transform must remember of each symbol from chunk to chunk."""
+
+    def __init__(self, span: int, kind: type):
+        self.span, self.kind = span, kind
+        self.count = np.zeros(257, dtype=np.int64)  # places passed
+        self.least = np.full(257, span, dtype=kind)  # least common prefix since the last of them
+        self.waits = np.zeros(257, dtype=bool)  # a suffix is inserted by the last of them
+
+    def more(self, least: np.ndarray) -> np.ndarray:
+        """Symbols that suffixes share which begin alike and share so many after that; counted up to `span`."""
+        return np.minimum(least.astype(np.int64) + 1, self.span).astype(self.kind)
+
+    def step(self, symbols: np.ndarray, common: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of the places `mine`: ranks among equal symbols, and the common prefix with the suffix of the equal symbol before;
+        and (symbol, rank, common prefix) of the suffixes that follow an inserted one."""
+        m = len(symbols)
+        order = np.argsort(symbols, kind="stable")
+        inverse = np.empty(m, dtype=np.int64)
+        inverse[order] = np.arange(m)
+        sizes = np.bincount(symbols, minlength=257)
+        begin = np.cumsum(sizes) - sizes
+        levels = np.empty((max(1, m.bit_length()), m), dtype=self.kind)  # levels[j, i]: least of common[i : i + 2**j]
+        levels[0] = common
+        for j in range(1, len(levels)):
+            half = 1 << (j - 1)
+            levels[j, : m - 2 * half + 1] = np.minimum(levels[j - 1, : m - 2 * half + 1], levels[j - 1, half : m - half + 1])
+
+        def between(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+            j = np.frexp((hi - lo + 1).astype(float))[1] - 1
+            return np.minimum(levels[j, lo], levels[j, hi - (1 << j.astype(np.int64)) + 1])
+
+        head = np.minimum.accumulate(common)
+        k, c = inverse[mine], symbols[mine]
+        rank = self.count[c] + k - begin[c]
+        least = np.empty(len(mine), dtype=self.kind)
+        inner = k > begin[c]
+        least[inner] = between(order[k[inner] - 1] + 1, mine[inner])
+        least[~inner] = np.minimum(self.least[c[~inner]], head[mine[~inner]])
+        own = np.where(rank == 0, 0, self.more(least)).astype(self.kind)
+        follows = k + 1 < begin[c] + sizes[c]
+        after = order[np.minimum(k + 1, m - 1)][follows]
+        late = np.flatnonzero(self.waits & (sizes > 0))
+        found = np.concatenate([c[follows], late]), np.concatenate([rank[follows] + 1, self.count[late]]), np.concatenate([self.more(between(mine[follows] + 1, after)), self.more(np.minimum(self.least[late], head[order[begin[late]]]))])
+        tail = np.append(np.minimum.accumulate(common[::-1])[::-1], self.kind(self.span))
+        here = np.flatnonzero(sizes)
+        final = order[begin[here] + sizes[here] - 1]
+        inserted = np.zeros(m, dtype=bool)
+        inserted[mine] = True
+        self.least = np.minimum(self.least, head[-1])
+        self.least[here], self.waits[here] = tail[final + 1], inserted[final]
+        self.count += sizes
+        return rank, own, found
 
 
 class ColumnWise:
-    """Transform of a collection of short strings, built by inserting one symbol of each string a round.
+    """Transform and common prefixes of a collection of short strings, built by inserting one symbol of each string a round.
 
-    After round j the transform lists the symbol before each suffix of at most j symbols, in order.  A string's new suffix
-    lies at the rank of the symbol just written among equal symbols, behind all smaller ones: one sequential pass reads
-    the file, one writes the next.
+    After round j the transform lists the symbol before each suffix of at most j symbols, in order, and beside it how many
+    symbols that suffix shares with the one before.  A string's new suffix lies at the rank of the symbol just written
+    among equal symbols, behind all smaller ones; it shares one symbol more with its new neighbours than the suffixes
+    from which they come share with all between them.  A round reads both files once in chunks to find places and common
+    prefixes, and once more to write the next files.
     """
 
-    def __init__(self, strings: list[bytes], folder: str):
-        self.n, self.length = len(strings), np.array([len(s) for s in strings])
+    def __init__(self, strings: list[bytes], span: int, folder: str):
+        self.n, self.length, self.span = len(strings), np.array([len(s) for s in strings]), span
         self.width = int(self.length.max(initial=0))
         self.table = np.zeros((self.n, self.width), dtype=np.uint8)  # right-aligned, UTF-8 bytes plus 1; 0 ends a string
         for i, s in enumerate(strings):
             self.table[i, self.width - len(s) :] = np.frombuffer(s, dtype=np.uint8) + 1
+        self.kind = np.uint8 if span < 256 else np.uint32
         self.folder = folder
-        self.order = np.array([], dtype=np.int64)
 
     def symbol(self, rows: np.ndarray, taken: int) -> np.ndarray:
         """The symbol before the suffix of `taken` symbols."""
         return self.table[rows, self.width - 1 - taken] if taken < self.width else np.zeros(len(rows), dtype=np.uint8)
 
-    def build(self) -> np.ndarray:
-        rows, at = np.arange(self.n), np.arange(self.n)
-        path = os.path.join(self.folder, "transform-0")
-        self.symbol(rows, 0).tofile(path)
-        for taken in range(1, self.width + 1):
-            old = np.fromfile(path, dtype=np.uint8)
-            os.unlink(path)
-            order = np.argsort(old, kind="stable")
-            place = np.empty(len(old), dtype=np.int32)
-            place[order] = np.arange(len(old), dtype=np.int32)
-            ended = int((old == 0).sum())
-            active = old[at] > 0
-            rows, at = rows[active], self.n + place[at[active]] - ended
-            new = np.empty(self.n + len(old) - ended, dtype=np.uint8)
-            kept = np.ones(len(new), dtype=bool)
-            kept[at] = False
-            new[kept], new[at] = old, self.symbol(rows, taken)
-            path = os.path.join(self.folder, f"transform-{taken}")  # a new file: rewriting one would wait for the disk
-            new.tofile(path)
-        done = np.fromfile(path, dtype=np.uint8)
-        os.unlink(path)
-        return done
-
-    def classes(self, span: int) -> tuple[np.ndarray, np.ndarray]:
-        """(n, width + 1) ranks of the suffixes by their length, and for each rank the class of its first `span` symbols.
-
-        Common prefixes grow by doubling: neighbours share a + b symbols if they share a, and the suffixes a symbols on
-        share b.
-        """
-        bwt = self.build()
-        order = np.argsort(bwt, kind="stable")
-        ended = int((bwt == 0).sum())
-        order = order[ended:]  # suffix at n + k has its next suffix at order[k]
-        first = bwt[order]
-        edge = np.ones(len(bwt), dtype=bool)
-        edge[self.n + 1 :] = first[1:] != first[:-1]
-        step = np.arange(len(bwt), dtype=np.int32)  # a suffix without symbols stays where it is
-        step[self.n :] = order
-        out: tuple[np.ndarray, np.ndarray] | None = None
-        power = 1
-        while True:
-            if span & power:
-                out = (edge, step) if out is None else (_joined_edges(*out, edge), step[out[1]])
-            power *= 2
-            if power > span:
-                break
-            edge, step = _joined_edges(edge, step, edge), step[step]
-        shared = out[0]
-        place = np.empty(len(bwt), dtype=np.int64)
+    def _path(self, what: str, taken: int) -> str:
+        return os.path.join(self.folder, f"{what}-{taken}")
+
+    def _chunks(self, taken: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        at = 0
+        with open(self._path("transform", taken), "rb") as a, open(self._path("common", taken), "rb") as b:
+            while len(symbols := np.fromfile(a, dtype=np.uint8, count=CHUNK)):
+                yield at, symbols, np.fromfile(b, dtype=self.kind, count=CHUNK)
+                at += len(symbols)
+
+    def build(self) -> tuple[np.ndarray, np.ndarray]:
+        n = self.n
+        symbols = self.symbol(np.arange(n), 0)
+        symbols.tofile(self._path("transform", 0))
+        np.zeros(n, dtype=self.kind).tofile(self._path("common", 0))
+        total, size = np.bincount(symbols, minlength=257), n
+        rows = np.flatnonzero(symbols)
+        at, symbols, taken = rows, symbols[rows], 0
+        while len(rows):
+            taken += 1
+            smaller = n + np.cumsum(total) - total - total[0]
+            scan, place, own, later = _Scan(self.span, self.kind), [], [], []
+            for lo, chunk, common in self._chunks(taken - 1):
+                a, b = np.searchsorted(at, [lo, lo + len(chunk)])
+                rank, shared, (c, r, x) = scan.step(chunk, common, at[a:b] - lo)
+                place.append(smaller[symbols[a:b]] + rank)
+                own.append(shared)
+                later.append((smaller[c] + r, x))
+            place, own = np.concatenate(place), np.concatenate(own)
+            order = np.argsort(place)
+            rows, place, own = rows[order], place[order], own[order]
+            symbols = self.symbol(rows, taken)
+            follow, value = (np.concatenate(x) for x in zip(*later))
+            before = np.searchsorted(place, follow)
+            old = place[np.minimum(before, len(place) - 1)] != follow  # those inserted too have theirs
+            follow, value = (follow - before)[old], value[old]
+            sort = np.argsort(follow)
+            self._write(taken, size, place - np.arange(len(place)), symbols, own, follow[sort], value[sort])
+            total, size = total + np.bincount(symbols, minlength=257), size + len(rows)
+            live = symbols > 0
+            rows, at, symbols = rows[live], place[live], symbols[live]
+        paths = self._path("transform", taken), self._path("common", taken)
+        out = np.fromfile(paths[0], dtype=np.uint8), np.fromfile(paths[1], dtype=self.kind)
+        for p in paths:
+            os.unlink(p)
+        return out
+
+    def _write(self, taken: int, size: int, at: np.ndarray, symbols: np.ndarray, own: np.ndarray, follow: np.ndarray, value: np.ndarray) -> None:
+        """The next files: symbols inserted before the old places `at`, and new common prefixes at the old places `follow`.  A new
+        file a round: rewriting one would wait for the disk."""
+        with open(self._path("transform", taken), "wb") as a, open(self._path("common", taken), "wb") as b:
+            for lo, chunk, common in self._chunks(taken - 1):
+                hi = lo + len(chunk)
+                i, j = np.searchsorted(at, [lo, hi])
+                j = len(at) if hi == size else j
+                k, l = np.searchsorted(follow, [lo, hi])
+                common[follow[k:l] - lo] = value[k:l]
+                np.insert(chunk, at[i:j] - lo, symbols[i:j]).tofile(a)
+                np.insert(common, at[i:j] - lo, own[i:j]).tofile(b)
+        for what in ("transform", "common"):
+            os.unlink(self._path(what, taken - 1))
+
+    def classes(self) -> tuple[np.ndarray, np.ndarray]:
+        """(n, width + 1) ranks of the suffixes by their length, and for each rank the class of its first `span` symbols."""
+        symbols, common = self.build()
+        order = np.argsort(symbols, kind="stable")[int((symbols == 0).sum()) :]  # suffix at n + k has its next suffix at order[k]
+        place = np.empty(len(symbols), dtype=np.int64)
         place[order] = self.n + np.arange(len(order))
         ranks = np.zeros((self.n, self.width + 1), dtype=np.int64)
         ranks[:, 0] = np.arange(self.n)
         for taken in range(1, self.width + 1):
             has = self.length >= taken
             ranks[has, taken] = place[ranks[has, taken - 1]]
-        return ranks, np.cumsum(shared)
-
-
-def _joined_edges(edge: np.ndarray, step: np.ndarray, further: np.ndarray) -> np.ndarray:
-    """Where neighbours differ within a + b symbols, of where they do within a (edge), b (further), and a symbols on (step)."""
-    ids = np.cumsum(further, dtype=np.int32)[step]
-    out = edge.copy()
-    out[1:] |= ids[1:] != ids[:-1]
-    return out
+        return ranks, np.cumsum(common < self.span) - 1
 
 
 def repeated_starts(strings: list[bytes], docs: np.ndarray, span: int, folder: str) -> Iterator[tuple[int, np.ndarray]]:
     """(string, its starts whose next `span` bytes also start in a string of a smaller document)."""
-    own = ColumnWise(strings, folder)
+    own = ColumnWise(strings, span, folder)
     if own.width < span:
         return
-    ranks, ids = own.classes(span)
+    ranks, ids = own.classes()
     long = np.arange(own.width + 1)[None, :] >= span
     valid = long & (np.arange(own.width + 1)[None, :] <= own.length[:, None])
     owner = np.broadcast_to(docs[:, None], ranks.shape)
@@ -288,39 +455,60 @@ def repeated_starts(strings: list[bytes], docs: np.ndarray, span: int, folder: s
         yield int(i), own.length[i] - np.flatnonzero(hit[i])[::-1]
 
 
+STRINGS = "anchor bigint, doc_id bigint, ver bigint, start int, bytes binary, core int, size int, slack int"
+
+
 def _strings(rows: DataFrame, texts: DataFrame, span: int, gram: int) -> DataFrame:
-    """anchor, doc_id, start, bytes of the surroundings of open anchors."""
+    """Bytes of the surroundings of open anchors: `slack` of them to each side of a core of `size` bytes, which is the anchor
+    and lies at `core`."""
     before, after = span - gram, span
-    places = rows.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "pos")).alias("at"))
+    places = rows.groupBy("doc_id", "ver").agg(F.collect_list(F.struct("anchor", "pos")).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, d, s, b, p = [], [], [], [], []
-            for doc_id, text, at in zip(*(c.to_pylist() for c in batch.columns)):
+            out: list[list] = [[] for _ in range(6)]
+            for doc_id, version, text, at in zip(*(c.to_pylist() for c in batch.columns)):
                 data = (text or "").encode()
                 for x in at:
                     lo = max(0, x["pos"] - before)
-                    a.append(x["anchor"])
-                    d.append(doc_id)
-                    s.append(lo)
-                    b.append(data[lo : x["pos"] + after])
-                    p.append(x["pos"])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(b, pa.binary()), pa.array(p, pa.int32())], names=["anchor", "doc_id", "start", "bytes", "pos"])
+                    for column, value in zip(out, (x["anchor"], doc_id, version, lo, data[lo : x["pos"] + after], x["pos"] - lo)):
+                        column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32())
+            n = len(out[0])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(out, kinds)), pa.array(np.full(n, gram, dtype=np.int32)), pa.array(np.full(n, before, dtype=np.int32))], names=["anchor", "doc_id", "ver", "start", "bytes", "core", "size", "slack"])
+
+    return texts.join(places, ["doc_id", "ver"]).select("doc_id", "ver", "text", "at").mapInArrow(run, STRINGS)
+
+
+def _halves(slack: int) -> tuple[int, int]:
+    """A span over the core has at least the first number of bytes to its left, or the second to its right, and never both."""
+    return (slack + 1) // 2, slack + 1 - (slack + 1) // 2
+
 
-    return texts.join(places, "doc_id").select("doc_id", "text", "at").mapInArrow(run, "anchor bigint, doc_id bigint, start int, bytes binary, pos int")
+def split(strings: DataFrame) -> DataFrame:
+    """Collections of half the slack: by the bytes to the left of the core, and by those to the right of it; each span over the
+    core is in one of the two."""
+    a = F.floor((F.col("slack") + 1) / 2).cast("int")
+    b = F.col("slack") + 1 - a
+    left = strings.where(F.col("core") >= a).select("*", F.lit(0).alias("side"), (F.col("core") - a).alias("c"), (F.col("size") + a).alias("n"), (F.col("slack") - a).alias("s"))
+    right = strings.where(F.octet_length("bytes") >= F.col("core") + F.col("size") + b).select("*", F.lit(1).alias("side"), F.col("core").alias("c"), (F.col("size") + b).alias("n"), (F.col("slack") - b).alias("s"))
+    both = left.unionByName(right).withColumn("cut", F.greatest(F.col("c") - F.col("s"), F.lit(0)))
+    core, whole = (F.substring("bytes", F.col(x) + 1, F.col(n)) for x, n in (("c", "n"), ("cut", "long")))
+    both = both.withColumn("long", F.col("c") + F.col("n") + F.col("s") - F.col("cut"))
+    return both.select(F.xxhash64("anchor", "side", core).alias("anchor"), "doc_id", "ver", (F.col("start") + F.col("cut")).alias("start"), whole.alias("bytes"), (F.col("c") - F.col("cut")).alias("core"), F.col("n").alias("size"), F.col("s").alias("slack"))
 
 
-def may_repeat(anchor: np.ndarray, docs: np.ndarray, starts: np.ndarray, pos: np.ndarray, strings: list[bytes], span: int, gram: int) -> np.ndarray:
-    """Which strings can share `span` bytes over their anchor with another document's: of the span - gram bytes beside the
-    anchor, the half to the left or the half to the right is then shared too."""
-    half = (span - gram) // 2
+def may_repeat(anchor: np.ndarray, docs: np.ndarray, core: np.ndarray, size: np.ndarray, slack: np.ndarray, strings: list[bytes]) -> np.ndarray:
+    """Which strings can share a span over their core with another document's: the bytes to the left or those to the right of
+    the core that each span has one of are then shared too."""
     out = np.zeros(len(strings), dtype=bool)
     for side in (0, 1):
         keys = []
-        for s, p, lo in zip(strings, (pos - starts).tolist(), starts):
-            part = s[p - half : p] if side == 0 and p >= half else s[p + gram : p + gram + half] if side else b""
-            keys.append(hash(part) if len(part) == half else None)
-        ok = np.array([k is not None for k in keys])
+        for s, c, n, w in zip(strings, core.tolist(), size.tolist(), slack.tolist()):
+            half = _halves(w)[side]
+            part = (s[c - half : c] if c >= half else None) if side == 0 else s[c + n : c + n + half]
+            keys.append(hash(part) if part is not None and len(part) == half else None)
+        ok = np.array([k is not None for k in keys], dtype=bool)
         key = np.array([k or 0 for k in keys], dtype=np.int64)
         order = np.lexsort((docs, key, anchor, ~ok))
         order = order[: ok.sum()]
@@ -329,20 +517,23 @@ def may_repeat(anchor: np.ndarray, docs: np.ndarray, starts: np.ndarray, pos: np
         group = np.cumsum(new) - 1
         first = docs[order][new]
         many = np.zeros(group[-1] + 1 if len(group) else 0, dtype=bool)
-        np.logical_or.at(many, group[docs[order] != first[group]], True)
+        many[group[docs[order] != first[group]]] = True
         out[order[many[group]]] = True
     return out
 
 
-def _by_suffixes(strings: DataFrame, n: int, span: int, gram: int) -> DataFrame:
+FOUND = "doc_id bigint, ver bigint, lo int, hi int"
+
+
+def _by_suffixes(strings: DataFrame, n: int, span: int) -> DataFrame:
     tasks = max(1, -(-n // TASK_STRINGS))
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("anchor", "ascending"), ("doc_id", "ascending"), ("start", "ascending")])
-        anchor, docs, starts, pos = (t[c].to_numpy() for c in ("anchor", "doc_id", "start", "pos"))
+        anchor, docs, versions, starts, core, size, slack = (t[c].to_numpy() for c in ("anchor", "doc_id", "ver", "start", "core", "size", "slack"))
         strings = t["bytes"].to_pylist()
-        live = np.flatnonzero(may_repeat(anchor, docs, starts, pos, strings, span, gram))
-        d, lo, hi = [], [], []
+        live = np.flatnonzero(may_repeat(anchor, docs, core, size, slack, strings))
+        d, v, lo, hi = [], [], [], []
         at = 0
         with tempfile.TemporaryDirectory() as folder:  # this task's own sequential files, gone with it
             while at < len(live):
@@ -353,52 +544,67 @@ def _by_suffixes(strings: DataFrame, n: int, span: int, gram: int) -> DataFrame:
                 for i, found in repeated_starts([strings[r] for r in rows], docs[rows], span, folder):
                     for part in np.split(found, np.flatnonzero(np.diff(found) > span) + 1):
                         d.append(int(docs[rows[i]]))
+                        v.append(int(versions[rows[i]]))
                         lo.append(int(starts[rows[i]] + part[0]))
                         hi.append(int(starts[rows[i]] + part[-1] + span))
                 at = end
-        return pa.table({"doc_id": pa.array(d, pa.int64()), "lo": pa.array(lo, pa.int32()), "hi": pa.array(hi, pa.int32())})
+        return pa.table({"doc_id": pa.array(d, pa.int64()), "ver": pa.array(v, pa.int64()), "lo": pa.array(lo, pa.int32()), "hi": pa.array(hi, pa.int32())})
 
-    return strings.withColumn("task", F.pmod(F.xxhash64("anchor"), F.lit(tasks))).groupBy("task").applyInArrow(run, "doc_id bigint, lo int, hi int")
+    return strings.withColumn("task", F.pmod(F.xxhash64("anchor"), F.lit(tasks))).groupBy("task").applyInArrow(run, FOUND)
 
 
-def _by_windows(strings: DataFrame, span: int) -> DataFrame:
-    """The exact way for anchors with very many surroundings: least document of each window, with partial sums."""
-    starts = F.sequence(F.lit(0), F.octet_length("bytes") - span)
-    windows = strings.where(F.octet_length("bytes") >= span).withColumn("o", F.explode(starts))
-    windows = windows.select("doc_id", (F.col("start") + F.col("o")).alias("lo"), F.substring("bytes", F.col("o") + 1, F.lit(span)).alias("w"))
-    least = windows.groupBy("w").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    return windows.join(least, "w").where("doc_id > least").select("doc_id", "lo", (F.col("lo") + span).alias("hi"))
+def _single_spans(strings: DataFrame, span: int) -> DataFrame:
+    """Collections without slack are one span each: its least document, with partial sums."""
+    spans = strings.where(F.octet_length("bytes") == span)
+    least = spans.groupBy("bytes").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    return spans.join(least, "bytes").where("doc_id > least").select("doc_id", "ver", F.col("start").alias("lo"), (F.col("start") + span).alias("hi"))
+
+
+def _ends_of_repeats(strings: DataFrame, span: int, made: list[str]) -> DataFrame:
+    """Repeats among the strings of each anchor; collections of over HOT_STRINGS are split until they are small or single spans."""
+    found = None
+    while True:
+        hot = materialize(strings.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_STRINGS).select("anchor"), "repeat-hot", made)
+        crowded = not hot.isEmpty()
+        small = strings.join(hot, "anchor", "left_anti") if crowded else strings
+        more = _by_suffixes(small, strings.count(), span)
+        if crowded:
+            large = strings.join(hot, "anchor", "left_semi")
+            more = more.unionByName(_single_spans(large.where("slack = 0"), span))
+        found = more if found is None else found.unionByName(more)
+        if not crowded:
+            return found
+        strings = materialize(split(large.where("slack > 0")), "repeat-strings", made)
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left, `with_text`).
 
     Each byte is removed that a string of `span` bytes covers which also starts in a document with a smaller doc_id;
-    overlaps count, and strings are judged on the input.  Null and empty texts have no bytes.  Rows with one doc_id are
-    one document: they take nothing from each other.  A null doc_id is below all others.  Equal texts are settled by
-    their hash.  Empty tables give no rows; other columns are ignored; long texts are worked on whole.
+    overlaps count, and strings are judged on the input.  Null and empty texts have no bytes.  Rows with one doc_id take
+    nothing from each other, and each is judged by its own text.  A null doc_id is below all others.  Equal texts are
+    settled by their hash.  Empty tables give no rows; other columns are ignored; long texts are worked on whole.
     """
-    spark = docs.sparkSession
+    spark, kept, made = docs.sparkSession, [], []
     base = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    slim = materialize(base.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "repeat-texts")
+    slim = materialize(base.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("sha"), F.xxhash64("text").alias("h")), "repeat-texts", kept)
+    # a row's key is its doc_id and, where rows of different texts have that, the hash of its text
+    many = materialize(slim.groupBy("doc_id").agg(F.min("sha").alias("a"), F.max("sha").alias("b")).where("a <> b").select("doc_id", F.lit(True).alias("many")), "repeat-ids", kept)
+    if many.isEmpty():
+        base, slim = (df.withColumn("ver", F.lit(0).cast("bigint")) for df in (base, slim))
+    else:
+        base, slim = (df.join(many, "doc_id", "left").withColumn("ver", F.when(F.col("many"), h).otherwise(F.lit(0).cast("bigint"))).drop("many") for df, h in ((base, F.xxhash64("text")), (slim, F.col("h"))))
+    key = ["doc_id", "ver"]
     first = slim.where(F.col("n_bytes") >= span).groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    copied = materialize(first.where("first < last").select("sha", "first"), "repeat-copies")
-    whole = slim.join(copied, "sha").where("doc_id > first").select("doc_id", F.lit(0).alias("lo"), F.col("n_bytes").cast("int").alias("hi"))
+    copied = materialize(first.where("first < last").select("sha", "first"), "repeat-copies", kept)
+    whole = slim.join(copied, "sha").where("doc_id > first").select(*key, F.lit(0).alias("lo"), F.col("n_bytes").cast("int").alias("hi"))
     texts = base.where(F.octet_length("text") >= span)
-    marks = materialize(settle(anchor_rows(texts, span, gram)), "repeat-marks")
-    release(spark)
-    before, after = span - gram, span
-    sized = F.greatest(F.lit(0), F.col("pos") - before)
-    done = marks.where("done").select("doc_id", sized.alias("lo"), (F.col("pos") + after).alias("hi"))
-    open_rows = marks.where("NOT done").select("anchor", "doc_id", "pos")
-    strings = materialize(_strings(open_rows, texts, span, gram), "repeat-strings")
-    release(spark)
-    per = strings.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    hot = materialize(per.where(F.col("n") > HOT_STRINGS).select("anchor"), "repeat-hot")
-    n = strings.count()
-    found = done.unionByName(whole).unionByName(_by_suffixes(strings.join(hot, "anchor", "left_anti"), n, span, gram)).unionByName(_by_windows(strings.join(hot, "anchor", "left_semi"), span))
-    spans = materialize(found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans")), "repeat-spans")
-    release(spark)
+    marks = materialize(settle(anchor_rows(texts, span, gram, wide_anchors(texts, span, gram)), span, gram), "repeat-marks", made)
+    done = marks.where("end > 0").select(*key, F.col("pos").alias("lo"), F.col("end").alias("hi"))
+    strings = materialize(_strings(marks.where("end = 0"), texts, span, gram), "repeat-strings", made)
+    found = done.unionByName(whole).unionByName(_ends_of_repeats(strings, span, made))
+    spans = materialize(found.groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans")), "repeat-spans", kept)
+    drop_tables(spark, made)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -420,15 +626,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     shape = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
     if with_text:
-        out = base.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(cut, shape)
+        out = base.join(spans, key, "left").select("doc_id", "text", "spans").mapInArrow(cut, shape)
     else:  # texts are read again only where a part of them goes
-        gone = whole.select("doc_id").distinct()
-        out = base.join(spans.join(gone, "doc_id", "left_anti"), "doc_id").select("doc_id", "text", "spans").mapInArrow(cut, shape)
-        all_gone = slim.join(gone, "doc_id").select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
-        untouched = slim.join(spans.select("doc_id"), "doc_id", "left_anti").select("doc_id", "n_bytes", F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), F.col("sha").alias("kept_sha256"))
+        gone = whole.select(*key).distinct()
+        out = base.join(spans.join(gone, key, "left_anti"), key).select("doc_id", "text", "spans").mapInArrow(cut, shape)
+        all_gone = slim.join(gone, key).select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
+        untouched = slim.join(spans.select(*key), key, "left_anti").select("doc_id", "n_bytes", F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), F.col("sha").alias("kept_sha256"))
         out = out.drop("kept").unionByName(all_gone).unionByName(untouched)
-    out = out.withColumn("doc_id", F.when(F.col("doc_id") > -(2**63), F.col("doc_id")))
-    return out
+    return out.withColumn("doc_id", F.when(F.col("doc_id") > -(2**63), F.col("doc_id")))
 
 
 ORACLE_SQL = """

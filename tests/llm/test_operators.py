@@ -659,28 +659,88 @@ def test_column_wise_suffixes_equal_brute_force(tmp_path, monkeypatch, chunk):
 # 10
 
 
-def test_fingerprints(spark, docs):
+def xx(data, seed=42):
+    import xxhash
+
+    return (xxhash.xxh64_intdigest(data if isinstance(data, bytes) else int(data).to_bytes(8, "little", signed=True), seed % 2**64) + 2**63) % 2**64 - 2**63
+
+
+def chained(values, last):
+    h = 42
+    for v in (*values, last):
+        h = xx(v, h)
+    return h
+
+
+def term_hashes(text):
+    import re
+
+    return sorted({xx(t.encode()) for t in re.split(imatch.SEPARATORS, (text or "").lower()) if t})
+
+
+def brute_fingerprint(text, lexicon, seeds=6, levels=8):
+    own = term_hashes(text)
+    band = [h for h in own if h in lexicon]
+    out = [chained(band, -1) if band else chained(own, -2) if own else None]
+    for seed in range(seeds):
+        ranks = [(xx(seed, xx(h)) % 2**64) >> 1 for h in band]
+        for level in range(1, levels + 1):
+            ranks = [v for v in ranks if v < 1 << (63 - level)]
+            out.append(chained(ranks, seed) if ranks else None)
+    return out
+
+
+def brute_likeness(a, b):
+    used = [(x, y) for x, y in zip(a, b) if x is not None or y is not None]
+    return sum(x == y for x, y in used) / len(used) if used else 1.0
+
+
+def test_fingerprints_equal_brute_force(spark, docs):
     got = imatch.fingerprint_documents(docs).collect()
-    assert len(got) == len(ROWS)
+    sets = [term_hashes(t) for _, t in ROWS]
+    df = collections.Counter(h for s in sets for h in s)
+    lexicon = {h for h, n in df.items() if n >= 2 and 0.005 * len(ROWS) <= n <= 0.2 * len(ROWS)}
+    assert lexicon
+    show = lambda fp: "-".join("" if v is None else f"{v % 2**64:x}" for v in fp) if any(v is not None for v in fp) else ""
     ordered = sorted(((-(2**63) if i is None else i), t or "") for i, t in ROWS)
-    by = collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got)
     want = collections.Counter()
     for k, (i, t) in enumerate(ordered):
-        cut = len(t) // 4
-        edited = t[: len(t) - cut] + ordered[(k + 1) % len(ordered)][1][:cut]
-        want[None if i == -(2**63) else i, len(t), hashlib.sha256(edited.encode()).hexdigest()] += 1
-    assert by == want
+        following = ordered[(k + 1) % len(ordered)][1]
+        edited = t[: len(t) - len(t) // 4] + following[: len(t) // 4]
+        a, e, f = (brute_fingerprint(x, lexicon) for x in (t, edited, following))
+        want[None if i == -(2**63) else i, len(t), hashlib.sha256(edited.encode()).hexdigest(), show(a), show(e), round(brute_likeness(a, e), 9), round(brute_likeness(a, f), 9)] += 1
+    assert collections.Counter((*tuple(r)[:5], round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == want
     prints = {r.doc_id: r.fingerprint for r in got}
     assert prints[0] == prints[1] != prints[9] and prints[4] == prints[5] == ""
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
     assert next(r.near_next for r in got if r.doc_id == 0) == 1.0
     assert imatch.fingerprint_documents(docs.limit(0)).count() == 0
 
 
-def test_next_rows_across_ranges(spark):
-    df = spark.createDataFrame([(i * i, f"t{i}") for i in range(50)], "k bigint, v string").repartition(5)
-    got = {r.k: r.next_v for r in imatch.with_next(df, "k", ["v"], rows_per_range=5).collect()}
-    assert got == {i * i: f"t{(i + 1) % 50}" for i in range(50)}
+def test_lexicon_tables_hold_their_terms_alone(spark):
+    r = random.Random(3)
+    for n in (0, 1, 5, 3000):
+        hashes = [r.randrange(-(2**63), 2**63) for _ in range(n)]
+        model = imatch.IMatch().of(hashes)
+        df = spark.createDataFrame([(h, True) for h in hashes] + [(r.randrange(-(2**63), 2**63), False) for _ in range(2000)], "h bigint, known boolean")
+        found = F.expr(imatch._let(imatch._literal(list(model.table), "INT"), "x", model._known("x", "h")))
+        assert df.where(found != F.col("known")).count() == 0 and len(model.table) <= 64 * max(1, n)
+
+
+def test_edited_texts_are_nearer_than_others(spark):
+    got = imatch.fingerprint_documents(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("n_chars > 200")).collect()
+    assert np.mean([r.near_edited for r in got]) > 5 * np.mean([r.near_next for r in got])
+    assert np.mean([r.near_edited > r.near_next for r in got]) > 0.8
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 60])
+def test_next_rows_across_ranges(spark, ranges):
+    keys = [i * i for i in range(50)] + [9] * 60 + [None] * 40
+    rows = [(k, f"t{i}") for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "k bigint, v string").repartition(5)
+    got = imatch.with_next(df, "k", "v", ranges=ranges).collect()
+    ordered = sorted(rows, key=lambda r: (-(2**63) if r[0] is None else r[0], xx(r[1].encode())))
+    assert collections.Counter(tuple(r) for r in got) == collections.Counter((k, v, ordered[(i + 1) % len(ordered)][1]) for i, (k, v) in enumerate(ordered))
+    assert imatch.with_next(df.limit(0), "k", "v").count() == 0
 
 
 def test_kept_bytes_have_the_reported_hash(spark):

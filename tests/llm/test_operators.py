@@ -462,24 +462,57 @@ def vectors(spark, n=300, dim=16):
     return odd(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")), rows
 
 
-def test_search_recall_and_exact_scores(spark):
+def brute_search(good, queries, k=20):
+    out = {}
+    for q in queries:
+        own = sorted((-float((good[i] * good[q]).sum()), i) for i in good if i != q and len(good[i]) == len(good[q]))
+        out[q] = [(i, -s) for s, i in own[:k]]
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 25, 4000])
+def test_search_recall_and_exact_scores(spark, block_bytes):
     df, rows = vectors(spark)
     got = collections.defaultdict(list)
-    for r in onebit.search(df, df.where("vec_id % 20 = 0"), block_rows=64, block_queries=8).orderBy("query_id", "rank").collect():
+    for r in onebit.search(df, df.where("vec_id % 20 = 0"), block_bytes=block_bytes).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
-    good = {i: np.array(v, dtype=np.float32).astype(float) for i, v in rows if i not in (3, 4, 5, 6, 7)}
+    good = {i: np.array(v, dtype=np.float32).astype(float) for i, v in rows if i not in (3, 4, 5, 6)}
+    want = brute_search(good, [i for i in good if i % 20 == 0])
     hits = total = 0
-    for q in (i for i in good if i % 20 == 0):
-        want = sorted(((-float((good[i] * good[q]).sum()), i) for i in good if i != q))[:20]
+    for q in want:
         assert len(got[q]) == 20 and got[q] == sorted(got[q], key=lambda x: (-x[1], x[0]))
         assert all(abs(s - float((good[i] * good[q]).sum())) < 1e-12 for i, s in got[q])
-        hits, total = hits + len({i for _, i in want} & {i for i, _ in got[q]}), total + 20
-    assert hits / total >= 0.9
+        hits, total = hits + len({i for i, _ in want[q]} & {i for i, _ in got[q]}), total + 20
+    assert hits / total >= 0.95
+
+
+def test_recall_of_the_registered_query(spark):
+    from veriloom.llm.queries import op7_onebit_search
+
+    sf = "/root/testdata/sf0.1"
+    good = {r.vec_id: np.array(r.embedding, dtype=float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    ids, matrix = np.array(list(good)), np.array(list(good.values()))
+    got = collections.defaultdict(set)
+    for r in op7_onebit_search(spark, sf).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in (queries := [i for i in good if i % 20 == 0]):
+        exact = matrix @ good[q]
+        exact[ids == q] = -np.inf
+        hits += len(got[q] & set(ids[np.argsort(-exact)[:20]].tolist()))
+    assert hits / (20 * len(queries)) >= 0.98
+
+
+def test_lengths_and_repeated_ids_are_searched_each(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (2, [0.5, 0.5]), (3, [1.0, 0.0, 0.0]), (4, [0.2, 0.3, 0.1]), (5, []), (None, [1.0, 1.0]), (6, [1e200, 1e200])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in onebit.search(df, df.where("vec_id IN (1, 3)")).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1, 6, 1e200), (1, 2, 2, 0.9), (1, 3, 2, 0.5), (3, 1, 4, 0.2)]
 
 
 def test_search_with_few_or_no_candidates(spark):
     df, _ = vectors(spark, 30)
-    assert onebit.search(df.limit(0), df).count() == 0
+    assert onebit.search(df.limit(0), df).count() == 0 and onebit.search(df, df.limit(0)).count() == 0
     two = df.where("vec_id IN (0, 1)")
     assert [(r.query_id, r.vec_id) for r in onebit.search(two, two.where("vec_id = 0")).collect()] == [(0, 1)]
 

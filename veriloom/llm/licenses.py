@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,34 +54,36 @@ class NoticeSearch:
         self.seeds.make_automaton()
 
     def spans(self, norm: str) -> list[tuple[str, int, int, int, float]]:
-        """(label, start, end, edits, likeness) of each verified match in the normalised text, by label and place."""
-        windows: dict[int, list[list[int]]] = {}
+        """(label, start, end, edits, likeness) of each verified match in the normalised text, by label and place.
+
+        Each seed is searched in a window of its own, a little longer than the notice, so that a text costs in proportion to
+        its seeds; a seed inside an exact match of its notice needs no search.
+        """
+        found: set[tuple[str, int, int, int, float]] = set()
+        exact: dict[int, int] = {}
         for end, (size, places) in self.seeds.iter(norm):
             for n, a in places:
-                _, length, k, _ = self.notices[n]
+                if end < exact.get(n, 0):
+                    continue
+                label, length, k, pattern = self.notices[n]
                 lo = max(0, end + 1 - size - a - k - 1)
-                hi = end + 1 - size - a + length + k + 1
-                last = windows.setdefault(n, [])
-                if last and lo <= last[-1][1]:
-                    last[-1] = [min(lo, last[-1][0]), max(hi, last[-1][1])]
-                else:
-                    last.append([lo, hi])
-        found = []
-        for n, places in windows.items():
-            label, length, k, pattern = self.notices[n]
-            for lo, hi in places:
-                parts = [(lo, min(hi, len(norm)))]
+                parts = [(lo, min(end + 1 - size - a + length + k + 1, len(norm)))]
                 while parts:  # the best match of a part, then what lies before and behind it
-                    a, b = parts.pop()
-                    m = pattern.search(norm, a, b) if b - a >= length - k else None
+                    x, y = parts.pop()
+                    m = pattern.search(norm, x, y) if y - x >= length - k else None
                     if m:
                         edits = sum(m.fuzzy_counts)
-                        found.append((label, m.start(), m.end(), edits, 1.0 - edits / length))
-                        parts += (a, m.start() - 1), (m.end(), b)
+                        found.add((label, m.start(), m.end(), edits, 1.0 - edits / length))
+                        if not edits:
+                            exact[n] = max(exact.get(n, 0), m.end())
+                        parts += (x, m.start() - 1), (m.end(), y)
+        starts: list[int] = []
         kept: list[tuple[str, int, int, int, float]] = []
         for span in sorted(found, key=lambda x: (-x[4], x[1], x[0])):  # of notices that overlap, the likeliest
-            if all(span[1] >= other[2] or span[2] <= other[1] for other in kept):
-                kept.append(span)
+            at = bisect_left(starts, span[1])
+            if (at == 0 or kept[at - 1][2] <= span[1]) and (at == len(kept) or span[2] <= starts[at]):
+                starts.insert(at, span[1])
+                kept.insert(at, span)
         return sorted(kept)
 
 
@@ -93,10 +97,13 @@ def normal_words(text: str | None) -> list[bytes]:
 
 def phrase_places(norm: bytes, phrases: list[bytes]) -> Iterator[tuple[int, int]]:
     """(phrase, start word) for every place; norm has one space between words and at both ends."""
+    spaces = None
     for k, phrase in enumerate(phrases):
         at = norm.find(phrase)
         while at >= 0:
-            yield k, norm.count(b" ", 0, at)
+            if spaces is None:
+                spaces = np.flatnonzero(np.frombuffer(norm, dtype=np.uint8) == 32)
+            yield k, int(np.searchsorted(spaces, at))
             at = norm.find(phrase, at + 1)
 
 
@@ -106,7 +113,8 @@ def scan_licenses(docs: DataFrame, *, phrases: dict[str, str] = PHRASES, notices
     `spans` has the notices found with at most len // error_every edits (insertions, deletions, substitutions), in words
     of the normalised text.  `score` is the likeness of the best match, 1 for a phrase found as it is, 0 without any.
     Null and empty texts have no words and no labels; repeated rows are scanned each; other columns are ignored.  The
-    scan goes once over each whole text, so long texts cost in proportion to their length.
+    scan goes once over each whole text and once over a window at each seed: long texts cost in proportion to their
+    length and to the places where a piece of a notice stands.
     """
     marked = [b" " + p.encode() + b" " for p in phrases]
     names = list(phrases.values())
@@ -120,9 +128,11 @@ def scan_licenses(docs: DataFrame, *, phrases: dict[str, str] = PHRASES, notices
                 joined = b" ".join(words)
                 places = sorted((w, k) for k, w in phrase_places(b" " + joined + b" ", marked))
                 norm = joined.decode()
+                found = search.spans(norm)
+                starts = np.cumsum([0, *(len(w) + 1 for w in norm.split(" "))]) if found else None  # of each word
                 spans = [
-                    {"label": label, "start_word": norm.count(" ", 0, a), "end_word": norm.count(" ", 0, b), "edits": edits, "likeness": like}
-                    for label, a, b, edits, like in search.spans(norm)
+                    {"label": label, "start_word": int(np.searchsorted(starts, a, side="right")) - 1, "end_word": int(np.searchsorted(starts, b, side="right")) - 1, "edits": edits, "likeness": like}
+                    for label, a, b, edits, like in found
                 ]
                 base = sorted({names[k] for _, k in places})
                 score = 1.0 if places else max((s["likeness"] for s in spans), default=0.0)

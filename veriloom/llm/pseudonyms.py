@@ -135,7 +135,11 @@ def _date(fields: list[str], order: str) -> int | None:
 
 
 def date(s: str, f: Feistel) -> str | None:
-    """Days of 1900 to 2099 as y-m-d, d-m-y or else m-d-y with - / or . between; a day stays one that reads the same way."""
+    """Days of 1900 to 2099 as y-m-d, d-m-y or else m-d-y with - / or . between.
+
+    One permutation serves all formats, so that a day keeps its pseudonym in whichever it is written.  Days up to the
+    12th, which read as d-m-y and as m-d-y, stay among themselves, so that a pseudonym reads as its day did.
+    """
     fields = re.split(r"[-/.]", s)
     orders = ("ymd",) if len(fields[0]) == 4 else ("dmy", "mdy")
     order = next((o for o in orders if _date(fields, o) is not None), None)
@@ -147,8 +151,9 @@ def date(s: str, f: Feistel) -> str | None:
         by = {"y": f"{t.year:04d}", "m": f"{t.month:02d}", "d": f"{t.day:02d}"}
         return [by[k] for k in order]
 
-    ok = lambda x: next(o for o in orders if _date(write(x), o) is not None) == order
-    new = write(f.within(_date(fields, order) - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date", ok))
+    day = _date(fields, order) - FIRST_DAY
+    early = lambda x: dt.date.fromordinal(FIRST_DAY + x).day <= 12
+    new = write(f.within(day, LAST_DAY - FIRST_DAY + 1, "date", lambda x: early(x) == early(day)))
     seps = re.findall(r"[-/.]", s)
     return new[0] + seps[0] + new[1] + seps[1] + new[2]
 

@@ -40,6 +40,14 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def materialize(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: later stages survive lost executors.
 

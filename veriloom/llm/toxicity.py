@@ -244,7 +244,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """All columns of `docs` and `score_col`: the calibrated probability of the whole text; null texts are empty."""
+    """All columns of `docs` and `score_col`: the calibrated probability of the whole text; null texts are empty.  A column
+    of that name is replaced."""
     rows = docs.drop(score_col)
     names, at = rows.columns, rows.columns.index(text_col)
 

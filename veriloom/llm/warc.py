@@ -10,6 +10,7 @@ import uuid
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import islice
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -25,7 +26,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FAN_IN = 128  # runs that one merge reads at once
 FENCE_ROWS = 4096  # rows of a run between two index entries
 RANGE_ROWS = 50_000
-MAX_RANGES = 4096
+RANGE_KEYS = 4  # keys that come to the driver for each range
+BATCH_ROWS = 10_000
 CAPTURE = pa.schema([("url_key", pa.string()), ("captured_at", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("archive", pa.string()), ("offset", pa.int64())])
 CAPTURE_DDL = "url_key string, captured_at string, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, archive string, offset bigint"
 KEYS = ("url_key", "captured_at", "page_id")
@@ -199,7 +201,10 @@ def write_archives(pages: DataFrame, folder: str, *, archive_bytes: int = 32 <<
     rows = rows.withColumn("digest", F.sha1("payload"))
     large = rows.where(F.octet_length("payload") >= same_bytes)
     same = materialize(large.groupBy("digest").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "kept"), "same-payloads")
-    marked = rows.join(same, "digest", "left").withColumn("refers_to", F.when((F.octet_length("payload") >= same_bytes) & ~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept")))
+    # small payloads, which revisit nothing, are dealt by row: very many of them may be equal
+    key = F.when(F.octet_length("payload") >= same_bytes, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    same = same.withColumnRenamed("digest", "large")
+    marked = rows.join(same, key == F.col("large"), "left").withColumn("refers_to", F.when((F.octet_length("payload") >= same_bytes) & ~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
@@ -264,8 +269,8 @@ def index_archives(archives: DataFrame, folder: str) -> DataFrame:
         fences = materialize(fences.withColumn("g", group).groupBy("g").applyInArrow(merge_whole, FENCE_DDL), "fences")
 
     total = fences.agg(F.sum("rows"), F.count(F.lit(1))).first()
-    ranges = max(1, min(MAX_RANGES, (total[0] or 0) // RANGE_ROWS))
-    every = max(1, (total[1] or 0) // (ranges * 20))  # at most 20 keys a range come to the driver
+    ranges = max(1, (total[0] or 0) // RANGE_ROWS)
+    every = max(1, (total[1] or 0) // (ranges * RANGE_KEYS))
     keys = sorted(r["lo"] for r in fences.where(F.pmod(F.xxhash64("run", "batch"), F.lit(every)) == 0).select("lo").collect()) if ranges > 1 else []
     cuts = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
 
@@ -276,14 +281,18 @@ def index_archives(archives: DataFrame, folder: str) -> DataFrame:
                 out += [(r, run, b) for r in range(bisect_right(cuts, lo), bisect_right(cuts, hi) + 1)]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64()))], names=["range", "run", "batch"])
 
-    def merge_range(t: pa.Table) -> pa.Table:
+    merged = CAPTURE.append(pa.field("merge_range", pa.int64())).append(pa.field("merge_rank", pa.int64()))
+
+    def merge_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
         r = t["range"][0].as_py()
         lo, hi = cuts[r - 1] if r else None, cuts[r] if r < len(cuts) else None
         by: dict[str, list[int]] = {}
         for run, b in sorted(zip(t["run"].to_pylist(), t["batch"].to_pylist())):
             by.setdefault(run, []).append(b)
-        rows = [row | {"merge_range": r, "merge_rank": k} for k, row in enumerate(LoserTree([read_run(run, b, lo, hi) for run, b in by.items()]))]
-        return pa.Table.from_pylist(rows, CAPTURE.append(pa.field("merge_range", pa.int64())).append(pa.field("merge_rank", pa.int64())))
+        rows = (row | {"merge_range": r, "merge_rank": k} for k, row in enumerate(LoserTree([read_run(run, b, lo, hi) for run, b in by.items()])))
+        while some := list(islice(rows, BATCH_ROWS)):
+            yield pa.RecordBatch.from_pylist(some, merged)
 
     reached = fences.select("run", "batch", "lo", "hi", "rows").mapInArrow(reach, "range bigint, run string, batch bigint")
     return reached.groupBy("range").applyInArrow(merge_range, CAPTURE_DDL + ", merge_range bigint, merge_rank bigint")

@@ -294,6 +294,23 @@ def test_mix_reaches_targets(spark, docs):
         assert by[s][0] == by[s][1] and abs(by[s][2] - target[s]) < 1e-6 * max(1, total) and abs(by[s][3] - by[s][2]) <= 1
 
 
+def test_targets_of_many_sources_equal_clamping_one_by_one(spark, monkeypatch):
+    r = random.Random(9)
+    sizes = {f"host{i:04d}": r.choice([0, 1, 5, 40, 1000]) * r.randint(1, 9) for i in range(500)}
+    rows = [(False, s, n) for s, n in sizes.items()] + [(True, "", 77)]
+    got = {(x.src_null, x.src): x.target for x in mixing.source_targets(spark.createDataFrame(rows, "src_null boolean, src string, source_size bigint").repartition(5), (5.0, 2.0, 1.0), 1.5, 2).collect()}
+    weight = {(k, s): (5, 2, 1)[i % 3] for i, (k, s, _) in enumerate(sorted(rows))}
+    cap = {(k, s): 2 * n for k, s, n in rows}
+    left, open_, want = 1.5 * sum(cap.values()) / 2, set(cap), {}
+    while over := [x for x in open_ if left * weight[x] / sum(weight[y] for y in open_) >= cap[x]]:
+        worst = min(over, key=lambda x: cap[x] / weight[x])
+        want[worst] = cap[worst]
+        left -= cap[worst]
+        open_.remove(worst)
+    want |= {x: left * weight[x] / sum(weight[y] for y in open_) for x in open_}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-6 for x in want)
+
+
 def test_the_mix_itself_has_the_taken_words(spark, docs):
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns

@@ -2,44 +2,51 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKETS_HEX = 3  # 16**3 seeded buckets a source; a bucket, not a source, is what one task orders
+BUCKET_ROWS = 4096  # a source is dealt to seeded buckets of about so many rows; a bucket, not a source, is what one task orders
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """`sizes` with rank0, the place of (src_null, src): sorted ranges, counted, and numbered each on their own."""
+    ranges = materialize(sizes.repartitionByRange("src_null", "src").withColumn("part", F.spark_partition_id()), "mix-sources")
+    counts = {r["part"]: r["count"] for r in ranges.groupBy("part").count().collect()}
+    starts = [0, *accumulate(counts.get(p, 0) for p in range(max(counts, default=0)))]
+    start = F.expr(f"get(CAST(split('{','.join(map(str, starts))}', ',') AS ARRAY<BIGINT>), part)")
+    return ranges.withColumn("rank0", start + F.row_number().over(Window.partitionBy("part").orderBy("src_null", "src")) - 1).drop("part")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], budget_ratio: float, max_epochs: int) -> DataFrame:
-    """Water level over (src_null, src, source_size) rows, one a source.
+    """Targets by water-filling over (src_null, src, source_size) rows, one a source.
 
-    Sources are clamped at `max_epochs` times their size in the order of cap over weight; what they leave is
-    shared by weight among the others.  That prefix of clamped sources is the fixpoint of clamping and resharing.
+    Sources whose share is `max_epochs` times their size or more are clamped there, and what they leave is shared by weight
+    among the others, until none is above.  Each round is one aggregate; no task holds all sources.
     """
-    everyone = Window.partitionBy()
-    ranked = sizes.withColumn("rank0", F.row_number().over(Window.orderBy("src_null", "src")) - 1)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank0") % len(weights) + 1).cast("int"))
-    before = Window.orderBy(F.col("cap") / F.col("weight"), "src_null", "src").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("source_size").over(everyone) * F.lit(float(budget_ratio))
-    filled = (
-        ranked.withColumn("weight", weight)
-        .withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
-        .withColumn("budget", total)
-        .withColumn("cap_before", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("weight_before", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("weights", F.sum("weight").over(everyone))
-        .withColumn("level", (F.col("budget") - F.col("cap_before")) / (F.col("weights") - F.col("weight_before")))
-        .withColumn("clamped", F.col("cap") <= F.col("weight") * F.col("level"))
-    )
-    spent = F.coalesce(F.sum(F.when(F.col("clamped"), F.col("cap"))).over(everyone), F.lit(0.0))
-    closed = F.coalesce(F.sum(F.when(F.col("clamped"), F.col("weight"))).over(everyone), F.lit(0.0))
-    share = F.col("weight") * (F.col("budget") - spent) / (F.col("weights") - closed)
-    return filled.select("src_null", "src", "source_size", F.when(F.col("clamped"), F.col("cap")).otherwise(share).alias("target"))
+    ranked = _ranked(sizes).withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
+    ranked = materialize(ranked, "mix-weights")
+    total = ranked.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    budget, every = float(total["size"] or 0) * budget_ratio, total["weight"] or 0.0
+    spent = closed = 0.0
+    clamped = F.lit(False)
+    while closed < every:
+        clamped = F.col("cap") <= F.col("weight") * F.lit((budget - spent) / (every - closed))
+        now = ranked.where(clamped).agg(F.sum("cap").alias("cap"), F.sum("weight").alias("weight")).first()
+        if (now["weight"] or 0.0) == closed:
+            break
+        spent, closed = now["cap"], now["weight"]
+    share = F.col("weight") * F.lit(budget - spent) / F.lit(every - closed) if closed < every else F.col("cap")
+    return ranked.select("src_null", "src", "source_size", F.when(clamped, F.col("cap")).otherwise(share).alias("target"))
 
 
 def mix_to_targets(
@@ -71,8 +78,12 @@ def mix_to_targets(
         F.coalesce(F.col(source_col), F.lit("")).alias("src"),
         word_count(F.col(text_col)).alias("size"),
         h.alias("h"),
-    ).withColumn("bucket", F.substring("h", 1, BUCKETS_HEX))
+    )
     slim = materialize(wide.drop("row"), "mix-sizes")
+    n, digits = slim.count(), 1
+    while 16**digits * BUCKET_ROWS < n:
+        digits += 1
+    wide, slim = (df.withColumn("bucket", F.substring("h", 1, digits)) for df in (wide, slim))
     by_bucket = slim.groupBy("src_null", "src", "bucket").agg(F.sum("size").alias("bucket_size"))
     targets = source_targets(by_bucket.groupBy("src_null", "src").agg(F.sum("bucket_size").alias("source_size")), weights, budget_ratio, max_epochs)
     earlier = Window.partitionBy("src_null", "src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

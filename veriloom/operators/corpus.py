@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,11 +77,24 @@ class Corpus:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _fs(self, name: str = ""):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
+        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
+
     def _read(self, name: str, schema: str) -> DataFrame:
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        there = target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if there else self.spark.createDataFrame([], schema)
+        fs, target = self._fs(name)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if fs.exists(target) else self.spark.createDataFrame([], schema)
+
+    def _generations(self) -> list[int]:
+        """Numbers of the whole folders of bodies: the first one, and those that a prune has finished."""
+        fs, top = self._fs()
+        names = [f.getPath().getName() for f in fs.listStatus(top)] if fs.exists(top) else []
+        later = [int(n[8:]) for n in names if n.startswith("objects-") and n[8:].isdigit()]
+        return [0, *sorted(n for n in later if fs.exists(self._fs(f"objects-{n}/_SUCCESS")[1]))]
+
+    @staticmethod
+    def _folder(generation: int) -> str:
+        return f"objects-{generation}" if generation else "objects"
 
     @property
     def rows(self) -> DataFrame:
@@ -87,17 +102,30 @@ class Corpus:
 
     @property
     def objects(self) -> DataFrame:
-        return self._read("objects", OBJECTS)
+        return self._read(self._folder(self._generations()[-1]), OBJECTS)
 
     @property
     def runs(self) -> DataFrame:
         return self._read("runs", RUNS)
 
     def add(self, items: DataFrame) -> dict[str, int]:
-        """Store item rows (seq gives their order); bodies first, then receipts.  Re-adding adds nothing."""
+        """Store item rows (seq gives their order); bodies first, then receipts.  Re-adding adds nothing.
+
+        The rows are written to a folder of this call first, so that bodies, receipts and counts are of the same rows
+        however they were made.
+        """
+        staged = f"{self.path}/staged-{uuid.uuid4().hex}"
+        items.write.parquet(staged)
+        try:
+            return self._add(self.spark.read.schema(items.schema).parquet(staged))
+        finally:
+            fs, target = self._fs(staged.rpartition("/")[2])
+            fs.delete(target, True)
+
+    def _add(self, items: DataFrame) -> dict[str, int]:
         catalog = self.rows
         bodies = fresh_bodies(items, self.objects).withColumn("shard", F.substring("sha256", 1, 2)).repartition("shard")  # a file a shard and task, not a shard in every task
-        bodies.write.mode("append").partitionBy("shard").parquet(f"{self.path}/objects")
+        bodies.write.mode("append").partitionBy("shard").parquet(f"{self.path}/{self._folder(self._generations()[-1])}")
         top = catalog.agg(F.max("seq")).first()[0] or 0
         new = fresh_receipts(items, catalog).withColumn("seq", F.col("seq") + F.lit(top)).drop("text")
         before = catalog.count()
@@ -130,7 +158,11 @@ class Corpus:
         return orphans(self.objects, self.rows).orderBy("sha256")
 
     def prune(self, apply: bool = False) -> dict:
-        """Report orphan bodies; delete them only with `apply`, and never while the catalog is empty but bodies exist."""
+        """Report orphan bodies; delete them only with `apply`, and never while the catalog is empty but bodies exist.
+
+        What stays is written to the next folder of bodies, which counts from when Spark marks it as finished; only then
+        do the folders before it go.  A prune that ends halfway so loses nothing.
+        """
         objects, rows = self.objects, self.rows
         gone = self.orphans()
         n = gone.count()
@@ -139,12 +171,11 @@ class Corpus:
         if rows.isEmpty():
             raise ValueError("the catalog is empty but bodies exist: nothing is pruned")
         kept = objects.join(rows.select("sha256"), "sha256", "left_semi")
-        kept.write.mode("overwrite").partitionBy("shard").parquet(f"{self.path}/objects-new")
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        old, new = (jvm.org.apache.hadoop.fs.Path(f"{self.path}/{x}") for x in ("objects", "objects-new"))
-        fs = old.getFileSystem(conf)
-        fs.delete(old, True)
-        fs.rename(new, old)
+        before = self._generations()
+        kept.write.mode("overwrite").partitionBy("shard").parquet(f"{self.path}/{self._folder(before[-1] + 1)}")
+        for generation in before:
+            fs, target = self._fs(self._folder(generation))
+            fs.delete(target, True)
         return {"orphans": n, "pruned": n}
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from ..functions import canon
 from ..functions.checks import consistent
@@ -45,14 +46,16 @@ def intact(text: str | Column = "text", sha: str | Column = "sha256") -> Column:
 
 
 def dedup_receipts(items: DataFrame, order: str = "seq") -> DataFrame:
-    """The first row in `order` of each identity.
+    """The first row in `order` of each identity; distinct identities all stay.
 
-    The least `order` of an identity is found with partial aggregates, so that an identity with very many rows is not
-    gathered; the rows are then taken by a join on identity and order.
+    A null `order` comes after all others; rows of one identity that tie go by a hash of their other columns.  It is one
+    aggregate with partial results, so that an identity with very many rows is not gathered.
     """
-    key = F.xxhash64(*IDENTITY).alias("_key")
-    first = items.groupBy(*IDENTITY).agg(F.min(order).alias(order)).select(key, order)
-    return items.withColumn("_key", F.xxhash64(*IDENTITY)).join(first, ["_key", order], "left_semi").drop("_key").dropDuplicates([order])
+    others = [c for c in items.columns if c not in IDENTITY]
+    known = [c for c in others if not isinstance(items.schema[c].dataType, MapType)]
+    place = F.struct(F.col(order).isNull().alias("none"), F.col(order).alias("order"), F.xxhash64(*[F.col(f"`{c}`") for c in known]).alias("tie"))
+    first = items.groupBy(*IDENTITY).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in others]), place).alias("_first"))
+    return first.select(*[F.col(c) if c in IDENTITY else F.col("_first").getField(c).alias(c) for c in items.columns])
 
 
 def sequence(df: DataFrame, *order: str, name: str = "seq") -> DataFrame:

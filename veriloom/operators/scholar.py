@@ -81,7 +81,7 @@ def parse_semanticscholar(payloads: DataFrame, column: str = "payload", keep: li
 
 
 def parse_crossref(payloads: DataFrame, column: str = "payload", keep: list[str] | None = None) -> DataFrame:
-    """A DOI is required; the abstract's markup is dropped; a year is the first part of the issue date."""
+    """A DOI is required; the abstract keeps its markup; a year is the first part of the issue date."""
     r = F.col("r")
     rows = _records(payloads, "message.items", keep or [], _CROSSREF, column)
     doi = normalize_doi(r["DOI"])
@@ -89,7 +89,7 @@ def parse_crossref(payloads: DataFrame, column: str = "payload", keep: list[str]
     names = F.transform(r["author"], lambda a: F.concat_ws(" ", a["given"], a["family"]))
     year = F.get(F.get(r["issued"]["date-parts"], F.lit(0)), F.lit(0)).cast("string")
     refs = _listed(F.filter(F.transform(r["reference"], lambda x: normalize_doi(x["DOI"])), lambda k: k != ""))
-    found = _works(rows, "crossref", [*(keep or []), "pos"], doi=doi, title=title, abstract=F.lit(""), authors=_names(names), year=F.coalesce(year, F.lit("")), native_id=doi, references=refs, citations=_listed(F.lit(None).cast("array<string>")))
+    found = _works(rows, "crossref", [*(keep or []), "pos"], doi=doi, title=title, abstract=clean(r["abstract"]), authors=_names(names), year=F.coalesce(year, F.lit("")), native_id=doi, references=refs, citations=_listed(F.lit(None).cast("array<string>")))
     return found.where("doi <> ''")
 
 

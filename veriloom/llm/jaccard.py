@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +26,7 @@ from .shared import drop_tables, materialize
 
 U64 = np.uint64
 CLASS_RATIO = 1.5  # sizes of one class differ by less than this
-LEAF, PIVOTS, COLUMNS = 2, 8, 2048
+LEAF, PIVOTS = 2, 8
 REGION_DOCS, REGION_SHINGLES = 1500, 800_000  # a region up to this size is joined within one task
 ROUNDS = 2  # distributed cuts; what they leave large is joined in blocks
 HOT_ROWS, HOT_SHARE = 64, 1 / 16  # keys with so many rows in this share of the sets are counted before anything is shuffled
@@ -136,6 +136,7 @@ class Region:
         self.sets, self.radius = sets, radius
         self.parent = list(range(len(sets)))
         self.counts: Counter = Counter()  # pivots, cells, rows in cells, and how often rows are in one cell more
+        self.mark: np.ndarray | None = None  # made when a join begins
         first: dict[int, int] = {}
         for i, label in enumerate(labels or []):
             self.union(first.setdefault(label, i), i)
@@ -157,44 +158,36 @@ class Region:
         at = np.searchsorted(b, a)
         return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
 
-    def block(self, rows: list[int]) -> None:
-        """All pairs of `rows`: intersections are the product of their incidence matrix, over shingles that two of them hold."""
-        sizes = np.array([len(self.sets[i]) for i in rows])
-        joined, owner = np.concatenate([self.sets[i] for i in rows]), np.repeat(np.arange(len(rows)), sizes)
-        _, column, count = np.unique(joined, return_inverse=True, return_counts=True)
+    def index(self) -> None:
+        """Numbers the shingles that two sets of the region hold: no other counts in an intersection."""
+        self.sizes = np.array([len(s) for s in self.sets])
+        ends = np.cumsum(self.sizes)
+        _, column, count = np.unique(np.concatenate(self.sets), return_inverse=True, return_counts=True)
         shared = count > 1
-        column, owner = (np.cumsum(shared) - 1)[column][shared[column]], owner[shared[column]]
-        order = np.argsort(column, kind="stable")
-        column, owner = column[order], owner[order]
-        inter = np.zeros((len(rows), len(rows)), dtype=np.float32)
-        for lo in range(0, int(shared.sum()), COLUMNS):
-            a, b = np.searchsorted(column, [lo, lo + COLUMNS])
-            m = np.zeros((len(rows), COLUMNS), dtype=np.float32)
-            m[owner[a:b], column[a:b] - lo] = 1
-            inter += m @ m.T
-        inter = inter.astype(np.int64)
-        linked = 100 * inter >= self.radius.percent * (sizes[:, None] + sizes[None, :] - inter)
-        label = np.arange(len(rows))
-        while True:  # the least row reachable, by least neighbours
-            least = np.where(linked, label[None, :], len(rows)).min(axis=1)
-            least = np.minimum(least, label)
-            if (least == label).all():
-                break
-            label = least
-        for i, k in zip(rows, label):
-            self.union(i, rows[k])
-
-    def distances(self, rows: list[int], pivot: int) -> np.ndarray:
-        sizes = np.array([len(self.sets[i]) for i in rows])
-        joined = np.concatenate([self.sets[i] for i in rows])
-        p = self.sets[pivot]
-        at = np.searchsorted(p, joined)
-        same = (p[np.minimum(at, len(p) - 1)] == joined).astype(np.int64)
-        inter = np.add.reduceat(same, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-        for i, n, x in zip(rows, sizes, inter):
-            if self.radius.links(int(x), int(n), len(p)):
-                self.union(i, pivot)
-        return 1 - inter / (sizes + len(p) - inter)
+        number = (np.cumsum(shared) - 1).astype(np.int32)
+        self.columns = [number[c[shared[c]]] for c in np.split(column, ends[:-1])]
+        self.mark = np.zeros(int(shared.sum()), dtype=bool)
+
+    def distances(self, rows: list[int]) -> Callable[[int], np.ndarray]:
+        """A function from a pivot to its distances from all rows; it unites rows within the radius with the pivot.
+
+        Rows are sets that are not empty.
+        """
+        sizes = self.sizes[rows]
+        joined = np.concatenate([self.columns[i] for i in rows])
+        edges = np.concatenate([[0], np.cumsum([len(self.columns[i]) for i in rows])])
+        before = np.zeros(len(joined) + 1, dtype=np.int64)
+
+        def away(pivot: int) -> np.ndarray:
+            self.mark[self.columns[pivot]] = True
+            np.cumsum(self.mark[joined], out=before[1:])
+            self.mark[self.columns[pivot]] = False
+            inter, n = np.diff(before[edges]), len(self.sets[pivot])
+            for k in np.flatnonzero(100 * inter >= self.radius.percent * (sizes + n - inter)):
+                self.union(rows[k], pivot)
+            return 1 - inter / (sizes + n - inter)
+
+        return away
 
     def join(self, rows: list[int]) -> None:
         """Pivots cut the rows into Voronoi cells; a row goes to every cell on whose side of the border it is by less than
@@ -209,15 +202,19 @@ class Region:
             known = Counter(roots)
             if len(known) < 2:
                 return
+            if self.mark is None:
+                self.index()
+            distances = self.distances(rows)
             if len(rows) <= LEAF:
-                return self.block(rows)
+                distances(rows[0])
+                return
             weight = np.array([known[r] for r in roots])
             least = np.full(len(rows), 2.0)
             away, chosen = [], []
             for _ in range(min(PIVOTS, max(2, math.isqrt(len(rows))))):
                 k = int(np.lexsort((np.arange(len(rows)), -least, weight))[0])
                 chosen.append(k)
-                away.append(self.distances(rows, rows[k]))
+                away.append(distances(rows[k]))
                 least = np.minimum(least, away[-1])
                 weight[k] = len(rows) + 1
             near = np.stack(away, axis=1)

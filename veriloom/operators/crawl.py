@@ -84,13 +84,17 @@ def core(at: float) -> Column:
     })
 
 
-def crawl(fetch: Callable[[DataFrame], DataFrame], seeds: list[str], spark, *, max_depth: int = 2, max_pages: int = 50, hosts: list[str] | None = None, robots: DataFrame | None = None, agent: str = "veriloom", sitemaps: bool = False, fetched_at: float = 0.0, resume: CrawlState | None = None) -> CrawlState:
-    """Breadth-first waves: a depth's whole frontier is one join against the pages, one anti-join against the visited.
+def crawl(fetch: Callable[[DataFrame], DataFrame], seeds: list[str], spark, *, max_depth: int = 2, max_pages: int = 50, hosts: list[str] | None = None, robots: DataFrame | None = None, agent: str = "veriloom", sitemaps: bool = False, fetched_at: float = 0.0, strategy: str = "bfs", resume: CrawlState | None = None) -> CrawlState:
+    """Breadth-first waves (`bfs`): a depth's whole frontier is one join against the pages, one anti-join against the
+    visited.  Depth-first (`dfs`) takes the URL found last, one at a time, as each page decides which is next: its waves
+    are single pages.
 
     Frontier order is first-in first-out, so the ledger is that of a crawl that takes one URL at a time.  Pages that
     cannot be fetched are visited but not recorded; URLs that robots forbid are visited and not fetched; URLs deeper than
     max_depth stay unvisited.  A capped crawl keeps the rest of its frontier for resume.
     """
+    if strategy not in ("bfs", "dfs"):
+        raise ValueError(f"unknown strategy {strategy!r}")
     if not spark.conf.get("spark.checkpoint.dir", ""):  # waves cut lineage there; a folder of this machine only where none is named
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veriloom-"))
     own = [canonical(s) for s in seeds]
@@ -108,13 +112,13 @@ def crawl(fetch: Callable[[DataFrame], DataFrame], seeds: list[str], spark, *, m
     frontier, visited, ledger, pages = state.frontier, state.visited, state.ledger, state.pages
     while pages < max_pages:
         ready = frontier.where(F.col("depth") <= max_depth).join(visited, "url", "left_anti")
-        turn = F.row_number().over(Window.partitionBy("url").orderBy("pos"))
+        turn = F.row_number().over(Window.partitionBy("url").orderBy("pos" if strategy == "bfs" else F.desc("pos")))
         ready = ready.withColumn("_t", turn).where("_t = 1").drop("_t")
         low = ready.agg(F.min("depth")).first()[0]
         if low is None:
             frontier = frontier.limit(0)
             break
-        wave = ready.where(F.col("depth") == low).checkpoint()
+        wave = (ready.where(F.col("depth") == low) if strategy == "bfs" else ready.orderBy(F.desc("pos")).limit(1)).checkpoint()
         got = fetch(robots_allowed(wave, robots, agent)).checkpoint()
         taken = got.orderBy("pos").limit(max_pages - pages).checkpoint()
         n = taken.count()

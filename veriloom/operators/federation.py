@@ -47,6 +47,35 @@ def _first_error(*checks: tuple[Column, Column | str]) -> Column:
     return out
 
 
+# Fields of each kind of document, and the list that an object has them under.
+DOCUMENTS = {
+    "sources": {c: "string" for c in ROW},
+    "rules": {"rule": "string", "source_capture_ref": "string", "failure_class": "string", "superseded": "boolean"},
+    "candidates": {"candidate_id": "string", "identifier_path": "string", "confidence": "double", "evidence_refs": "array<string>", "exact_id_join": "boolean"},
+}
+
+
+def document_rows(documents: DataFrame, within: str, payload: str = "payload", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(rows with pos, keys and the fields of the kind; errors) of JSON documents: a list, or an object with a list `within`.
+
+    A value of another type than its field's is null, which validation refuses; `keys` are the raw object's, null where an
+    element is no object.
+    """
+    whole, inner = F.ltrim(F.col(payload)), F.ltrim(F.get_json_object(payload, f"$.{within}"))
+    listed = F.when(whole.startswith("["), whole).when(whole.startswith("{") & inner.startswith("["), inner)
+    read = documents.select(*keep, F.when(F.try_parse_json(F.col(payload)).isNotNull(), F.from_json(listed, "array<string>")).alias("_rows"))
+    each = read.where("_rows IS NOT NULL").select(*keep, F.posexplode("_rows").alias("pos", "_raw")).withColumn("_v", F.try_parse_json(F.col("_raw")))
+
+    def value(name: str, kind: str) -> Column:
+        own = F.try_variant_get(F.col("_v"), f"$.{name}", "variant")
+        told = F.schema_of_variant(own)
+        same = {"string": told == "STRING", "boolean": told == "BOOLEAN", "double": told.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), "array<string>": told == "ARRAY<STRING>"}[kind]
+        return F.when(same, F.try_variant_get(F.col("_v"), f"$.{name}", kind)).alias(name)
+
+    rows = each.select(*keep, "pos", F.json_object_keys("_raw").alias("keys"), *[value(n, k) for n, k in DOCUMENTS[within].items()])
+    return rows, read.where("_rows IS NULL").select(*keep, F.lit(f'a document must be a list or {{"{within}": [...]}}').alias("error"))
+
+
 def _empty(c: str) -> Column:
     return F.coalesce(F.col(c) == "", F.lit(True))
 
@@ -143,10 +172,10 @@ def validate_matches(rows: DataFrame) -> DataFrame:
     return rows.withColumn("error", error)
 
 
-def match_receipts(rows: DataFrame) -> DataFrame:
+def match_receipts(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     json = canon.object_({"candidate_id": canon.string(F.col("candidate_id")), "identifier_path": canon.string(F.col("identifier_path")), "confidence": canon.floating(F.col("confidence")), "evidence_refs": canon.strings(F.col("evidence_refs")), "exact_id_join": canon.boolean(F.col("exact_id_join"))})
     title = F.concat(F.col("identifier_path"), F.lit(": "), F.col("candidate_id"))
-    return rows.where("error IS NULL").select(*_receipt("federation-entity-match", F.col("candidate_id"), title, F.get("evidence_refs", F.lit(0)), "entity", json))
+    return rows.where("error IS NULL").select(*keep, *_receipt("federation-entity-match", F.col("candidate_id"), title, F.get("evidence_refs", F.lit(0)), "entity", json))
 
 
 def resolve_entities(rows: DataFrame, by: str, order: str) -> DataFrame:

@@ -171,6 +171,19 @@ def haystacks(pages: DataFrame, html: str = "html") -> DataFrame:
     return add_from_html(pages, html, "hay string", lambda x: {"hay": Tree(x).hay()})
 
 
+def verify_record(pages: DataFrame, record: str = "record", html: str = "html") -> DataFrame:
+    """ok, ungrounded and content_sha256 of claimed records (map<name, array of values>) against their pages.
+
+    A record holds if each of its values stands in the page; `ungrounded` lists those that don't, as (name, value), in
+    the map's order.  Empty values stand nowhere; a null record or one without values holds.
+    """
+    hay = "_record_hay"
+    rows = add_from_html(pages, html, f"{hay} string", lambda x: {hay: Tree(x).hay()})
+    claims = F.flatten(F.transform(F.map_entries(record), lambda e: F.transform(e["value"], lambda v: F.struct(e["key"].alias("name"), v.alias("value")))))
+    lost = F.coalesce(F.filter(claims, lambda c: ~F.coalesce(grounded(c["value"], F.col(hay)), F.lit(False))), F.array().cast("array<struct<name:string,value:string>>"))
+    return rows.withColumn("ungrounded", lost).withColumn("ok", F.size("ungrounded") == 0).withColumn("content_sha256", canon.sha256(F.coalesce(F.col(html), F.lit("")))).drop(hay)
+
+
 def verify_values(values: DataFrame, value: str = "value", hay: str = "hay") -> DataFrame:
     """(…, grounded) of each claimed value against its page's hay."""
     return values.withColumn("grounded", grounded(F.col(value), F.col(hay)))

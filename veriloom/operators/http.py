@@ -71,9 +71,14 @@ def search_leads(hits: DataFrame, by: str, order: str, limit: int = 10) -> DataF
     return hits.withColumn("rank", turn).where(F.col("rank") <= limit).withColumn("url_sha256", canon.sha256(F.col("url")))
 
 
-def search_receipts(queries: DataFrame, leads: DataFrame, by: str) -> DataFrame:
-    """status searched, or UNVERIFIABLE without a provider's answer; ok: the leads' hashes hold."""
+def search_receipts(queries: DataFrame, leads: DataFrame, by: str, answered: DataFrame | None = None) -> DataFrame:
+    """status searched, or UNVERIFIABLE without a provider's answer; ok: the leads' hashes hold.
+
+    `answered`: the queries that a provider answered, with leads or none; else those with leads count as answered.
+    """
     g = leads.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.bool_and(intact("url", "url_sha256")).alias("hashes_ok"))
+    if answered is not None:
+        g = answered.select(by).distinct().join(g, by, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return queries.select(by).join(g, by, "left").select(by, F.when(F.col("n").isNull(), "UNVERIFIABLE").otherwise("searched").alias("status"), F.coalesce("n", F.lit(0)).alias("leads"), F.coalesce("hashes_ok", F.lit(True)).alias("ok"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import items, runs
 from ..operators.corpus import Corpus
-from ..sources import files, payloads
+from ..sources import edges, files, net, payloads
 
 PAYLOADS = {"feed": payloads.feed, "arxiv": payloads.arxiv, "web": payloads.web}
 
@@ -25,10 +25,24 @@ class RunPlan:
 
 
 def source_rows(spark: SparkSession, name: str, target: str, options: dict, fetched_at: float) -> DataFrame:
-    """Item rows with seq of one job.  Payload sources read (url, payload) tables or text files; docs reads folders."""
+    """Item rows with seq of one job.  docs reads folders; payload sources read text files, or fetch a target that is a URL
+    (arxiv: with the option live; api: with auth_env, the variable that holds the credential); scholar always fetches.
+    What could not be read is left out of the rows."""
     if name == "docs":
         return items.sequence(files.text_files(spark, target, fetched_at), "walk").drop("walk")
-    if name in ("pdf", "ocr", "transcribe", "browser", "video"):
+    placed = lambda rows: rows.withColumn("seq", F.col("pos").cast("bigint")).drop("pos", "url")
+    target_row = spark.createDataFrame([(target, target)], "url string, target string")
+    if name == "video":
+        return placed(files.video_items(files.video_payloads(target_row, comments=bool(options.get("comments"))), fetched_at)[0])
+    if name == "scholar":
+        return items.sequence(edges.scholar_graph(target_row, fetched_at)[0], "id")
+    if name == "arxiv" and options.get("live"):
+        return placed(edges.arxiv_items(target_row, fetched_at)[0])
+    if target.startswith(("http://", "https://")) and name in ("web", "feed"):
+        return placed(edges.items_of(target_row, net.fetch, PAYLOADS[name], fetched_at)[0])
+    if target.startswith(("http://", "https://")) and name == "api":
+        return placed(edges.api_items(target_row, options.get("auth_env", ""), fetched_at, **options.get("keys", {}))[0])
+    if name in ("pdf", "ocr", "transcribe", "browser"):
         targets = spark.createDataFrame([(target,)], "target string")
         return files.external_items(files.external_text(targets, name), name, fetched_at).withColumn("seq", F.lit(1).cast("bigint"))
     parse = PAYLOADS.get(name) or (payloads.api(**options.get("keys", {})) if name == "api" else None)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import shutil
 import subprocess
 import tempfile
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.items import make_items
+from .payloads import parse_rows, video
 
 TEXT = ("txt", "md", "rst", "markdown", "text")
 
@@ -75,3 +77,61 @@ def external_items(texts: DataFrame, program: str, fetched_at: float) -> DataFra
     _, _, kind, method = PROGRAMS[program]
     good = texts.where("error IS NULL")
     return make_items(good, kind=F.lit(kind), id=F.col("target"), title=F.substring_index("target", "/", -1), text=F.col("text"), source=F.lit(program), ref=F.col("target"), method=F.lit(method), fetched_at=fetched_at)
+
+
+def video_payloads(targets: DataFrame, column: str = "target", comments: bool = False, timeout: float = 120.0, run: Callable | None = None) -> DataFrame:
+    """(target, payload, caption_error, error) of each video: its information and captions as one JSON payload.
+
+    Captions that people made are asked for first, those of a machine only where there are none; the payload tells which.
+    Captions that could not be asked for are told in caption_error, and the video's other rows are still made.
+    """
+    call, name = run or subprocess.run, PROGRAMS["video"][0]
+
+    def ask(args: list[str]):
+        return call([name, "--skip-download", *args], capture_output=True, timeout=timeout)
+
+    def captions(target: str, auto: bool) -> tuple[str | None, str | None]:
+        flag = "--write-auto-subs" if auto else "--write-subs"
+        with tempfile.TemporaryDirectory() as folder:
+            try:
+                done = ask([flag, "--sub-langs", "en.*", "--sub-format", "vtt", "-o", f"{folder}/%(id)s.%(ext)s", "--", target])
+            except (OSError, subprocess.SubprocessError) as e:
+                return None, f"{flag}: {str(e)[:160]}"
+            texts = sorted(Path(folder).glob("*.vtt"))
+            if texts:
+                return texts[0].read_text("utf-8", "replace"), None
+            return None, f"{flag}: {done.stderr.decode('utf-8', 'replace').strip()[:160]}" if done.returncode else None
+
+    def one(target: str) -> tuple:
+        try:
+            info = ask(["--dump-single-json", *(["--write-comments"] if comments else []), "--", target])
+        except (OSError, subprocess.SubprocessError) as e:
+            return target, None, None, f"{name}: {str(e)[:160]}"
+        if info.returncode:
+            return target, None, None, f"{name}: {info.stderr.decode('utf-8', 'replace').strip()[:160]}"
+        failed = []
+        for auto in (False, True):
+            vtt, error = captions(target, auto)
+            failed += [error] if error else []
+            if vtt is not None:
+                break
+        payload = {"info": info.stdout.decode("utf-8", "replace"), "vtt": vtt, "auto": auto}
+        return target, json.dumps(payload), "; ".join(failed) or None, None
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pd.DataFrame([one(t) for t in pdf[column]], columns=["target", "payload", "caption_error", "error"])
+
+    return targets.select(column).mapInPandas(each, "target string, payload string, caption_error string, error string")
+
+
+def parse_video(payload: str, url: str) -> list[dict]:
+    """Item rows of a payload of video_payloads."""
+    p = json.loads(payload)
+    return video(p["info"], p.get("vtt"), bool(p.get("auto")))
+
+
+def video_items(found: DataFrame, fetched_at: float) -> tuple[DataFrame, DataFrame]:
+    """(items with url and pos, errors) of a table from video_payloads."""
+    rows, bad = parse_rows(found.where("error IS NULL").select(F.col("target").alias("url"), "payload"), parse_video, fetched_at)
+    return rows, bad.unionByName(found.where("error IS NOT NULL").select(F.col("target").alias("url"), "error"))

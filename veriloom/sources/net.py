@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import os
 import socket
 import time
 import urllib.error
@@ -15,6 +16,14 @@ MAX_BYTES = 5_000_000
 AGENT = "veriloom/0.1"
 
 
+def secret(name: str) -> str:
+    """The value of an environment variable that must be set."""
+    value = os.environ.get(name, "")
+    if not value:
+        raise ValueError(f"no credential: {name} is not set")
+    return value
+
+
 def decode_body(body: bytes, content_type: str = "") -> str:
     """By the charset of the content type, else as UTF-8 with replacements."""
     m = Message()

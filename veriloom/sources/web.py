@@ -48,7 +48,7 @@ class WebSource(DataSource):
 
 def _attempt(fetch: Callable[[str], dict], url: str) -> dict:
     try:
-        return {**fetch(url), "error": None}
+        return {"error": None, **fetch(url)}
     except (OSError, ValueError) as e:
         return {"url": url, "final_url": url, "status": 0, "headers": [], "body": None, "attempts": 0, "truncated": False, "error": str(e)[:200]}
 
@@ -62,12 +62,6 @@ def fetch_urls(wanted: DataFrame, fetch: Callable[[str], dict], throttle: float
     dealt = wanted.select("url", urls.host(F.col("url")).alias("host"))
     dealt = (dealt.repartition(partitions, "host") if partitions else dealt.repartition("host")).sortWithinPartitions("host", "url")
 
-    def attempt(url: str) -> dict:
-        try:
-            return {**fetch(url), "error": None}
-        except (OSError, ValueError) as e:
-            return {"url": url, "final_url": url, "status": 0, "headers": [], "body": None, "attempts": 0, "truncated": False, "error": str(e)[:200]}
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import time
 
@@ -78,7 +72,7 @@ def fetch_urls(wanted: DataFrame, fetch: Callable[[str], dict], throttle: float
                 if throttle and (wait := throttle - (time.monotonic() - last.get(host, -1e18))) > 0:
                     time.sleep(wait)
                 last[host] = time.monotonic()
-                out.append(attempt(url))
+                out.append(_attempt(fetch, url))
             yield pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in ("url", "final_url", "status", "headers", "body", "attempts", "truncated", "error")])
 
     return dealt.mapInPandas(run, RESPONSE)

@@ -164,6 +164,17 @@ def test_fetch_receipts_and_cache(spark):
     assert [r.status for r in http.fetch_entries(receipts).orderBy("entry_id").collect()] == ["pass", "unverified"]
 
 
+def test_pages_that_share_a_url_are_revalidated_one_by_one(spark, tmp_path):
+    from veriloom.plans import queries
+
+    rows = [(0, "http://u/", "zero"), (1, "http://u/", "one"), (2, "http://u/", "two"), (3, "http://u/", "three"), (4, "http://v/", "four")]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(map(tuple, queries.cache_revalidate(spark, str(tmp_path)).collect()), key=str)
+    kept, sent, lost = "cache-revalidated", "network", "error: not fetched"
+    want = [("http://u/", kept, sha("zero")), ("http://u/", sent, sha("one!")), ("http://u/", lost, None), ("http://u/", kept, sha("three")), ("http://v/", sent, sha("four!"))]
+    assert got == sorted(want, key=str)
+
+
 def test_net_guards_and_retries():
     for bad in ("file:///etc/passwd", "data:x", "javascript:1", "http://127.0.0.1/", "http://169.254.169.254/", "http://[::1]/", "http://10.0.0.1/"):
         with pytest.raises(ValueError):

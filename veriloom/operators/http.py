@@ -50,19 +50,20 @@ def cache_verify(cache: DataFrame) -> DataFrame:
     return cache.withColumn("ok", F.sha2("body", 256) == F.col("body_sha256"))
 
 
-def cached_fetch(requests: DataFrame, cache: DataFrame, fetched: DataFrame, revalidate: bool = False) -> DataFrame:
+def cached_fetch(requests: DataFrame, cache: DataFrame, fetched: DataFrame, revalidate: bool = False, on: str = "url") -> DataFrame:
     """origin of each request: cache, network, cache-revalidated (304 to a conditional request), or an error.
 
-    Requests are left-joined with the cache and with what the network answered (url, status, body).
+    Requests are left-joined with the cache and with what the network answered (`on`, status, body).  Both have one row a
+    key, as cache_put leaves them; requests that share a URL but not their answers are joined `on` a key of their own.
     """
-    c = cache.select("url", F.col("body").alias("c_body"), F.col("body_sha256").alias("c_sha"))
-    n = fetched.select("url", F.col("status").alias("n_status"), F.col("body").alias("n_body"))
-    rows = requests.join(c, "url", "left").join(n, "url", "left")
+    c = cache.select(on, F.col("body").alias("c_body"), F.col("body_sha256").alias("c_sha"))
+    n = fetched.select(on, F.col("status").alias("n_status"), F.col("body").alias("n_body"))
+    rows = requests.join(c, on, "left").join(n, on, "left")
     hit = F.col("c_sha").isNotNull()
     origin = F.when(hit & F.lit(not revalidate), "cache").when((F.col("n_status") == 304) & hit, "cache-revalidated").when(F.col("n_status") == 304, "error: 304 without an entry").when(F.col("n_status").isNull(), "error: not fetched").otherwise("network")
     rows = rows.withColumn("origin", origin)
     body = F.when(F.col("origin").startswith("cache"), F.col("c_body")).when(F.col("origin") == "network", F.col("n_body"))
-    return rows.select("url", "origin", body.alias("body"), F.sha2(body, 256).alias("body_sha256"))
+    return rows.select(*requests.columns, "origin", body.alias("body"), F.sha2(body, 256).alias("body_sha256"))
 
 
 def search_leads(hits: DataFrame, by: str, order: str, limit: int = 10) -> DataFrame:

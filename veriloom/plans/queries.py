@@ -550,13 +550,14 @@ def bundle_validate(spark, sf):
 
 @query("SELECT url, CASE WHEN page_id % 3 = 0 THEN 'cache-revalidated' WHEN page_id % 3 = 1 THEN 'network' ELSE 'error: not fetched' END AS origin, CASE WHEN page_id % 3 = 0 THEN sha256(html) WHEN page_id % 3 = 1 THEN sha256(html || '!') END AS body_sha256 FROM pages")
 def cache_revalidate(spark, sf):
+    """Each page as a request with an entry and an answer of its own: pages can share a URL, so they go by page_id."""
     from ..operators import http
 
     p = table(spark, sf, "pages")
     k = F.col("page_id")
-    cache = p.where(k % 3 == 0).select("url", F.encode("html", "UTF-8").alias("body"), F.sha2("html", 256).alias("body_sha256"))
-    answers = p.where(k % 3 != 2).select("url", F.when(k % 3 == 0, 304).otherwise(200).alias("status"), F.when(k % 3 == 1, F.encode(F.concat("html", F.lit("!")), "UTF-8")).alias("body"))
-    return http.cached_fetch(p.select("url"), cache, answers, revalidate=True).select("url", "origin", "body_sha256")
+    cache = p.where(k % 3 == 0).select("page_id", F.encode("html", "UTF-8").alias("body"), F.sha2("html", 256).alias("body_sha256"))
+    answers = p.where(k % 3 != 2).select("page_id", F.when(k % 3 == 0, 304).otherwise(200).alias("status"), F.when(k % 3 == 1, F.encode(F.concat("html", F.lit("!")), "UTF-8")).alias("body"))
+    return http.cached_fetch(p.select("page_id", "url"), cache, answers, revalidate=True, on="page_id").select("url", "origin", "body_sha256")
 
 
 @query(f"WITH {ITEMS}, twice AS (SELECT id, seq, source FROM items WHERE {_has()}) SELECT source, count(*)::BIGINT AS kept, count(DISTINCT id)::BIGINT AS receipts FROM twice GROUP BY source")

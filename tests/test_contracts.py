@@ -146,6 +146,17 @@ def test_captions_and_video():
     assert rows[2]["meta"] == {"author": "", "like_count": 0}
 
 
+def test_turns_are_videos_of_all_their_lines(spark, tmp_path):
+    from veriloom.plans import intake_queries
+
+    said = {"And.\nAnd. And more.\nAnd. And more.": "And.\nAnd. And more.", "a --> b\n<i> & &amp;": "a --> b\n<i> & &amp;", "NOTE x\nKind: y": "NOTE x\nKind: y", " \n": None}
+    rows = [(i, turn, "user", x) for i, x in enumerate(said) for turn in (0, 1)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = intake_queries.video_rows(spark, str(tmp_path)).where("kind = 'transcript'").collect()
+    want = [(f"{i}:{turn}", ("yt-dlp", "auto-caption")[turn], sha(said[x])) for i, turn, _, x in rows if said[x]]
+    assert sorted((r.video, r.method, r.sha256) for r in got) == sorted(want)
+
+
 def test_evidence_keeps_no_raw_page():
     p = {"schema": "s/1", "target_ref": "t", "after": {"url": "u", "title": "", "dom": "<raw>"}, "verification": {"verdict": "MATCH"}}
     (row,) = payloads.browser_evidence("s/1")(json.dumps(p), "")

@@ -126,9 +126,9 @@ def video_payloads(targets: DataFrame, column: str = "target", comments: bool =
 
 
 def parse_video(payload: str, url: str) -> list[dict]:
-    """Item rows of a payload of video_payloads."""
+    """Item rows of a payload of video_payloads; one may name its captions' method beside, which folds nothing."""
     p = json.loads(payload)
-    return video(p["info"], p.get("vtt"), bool(p.get("auto")))
+    return video(p["info"], p.get("vtt"), bool(p.get("auto")), transcript_method=p.get("transcript_method"))
 
 
 def video_items(found: DataFrame, fetched_at: float) -> tuple[DataFrame, DataFrame]:

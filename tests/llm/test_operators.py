@@ -780,6 +780,59 @@ def test_column_wise_suffixes_equal_brute_force(tmp_path, monkeypatch, chunk):
         assert got == {i: k for i, k in want.items() if k}
 
 
+def test_equal_strings_are_inserted_once_and_judged_by_their_own_documents(tmp_path, monkeypatch):
+    inserted = []
+
+    class Counted(repeats.ColumnWise):
+        def __init__(self, strings, *rest):
+            inserted.extend(strings)
+            super().__init__(strings, *rest)
+
+    monkeypatch.setattr(repeats, "ColumnWise", Counted)
+    strings, docs = [b"abcde", b"xabcd", b"abcde", b"abcde", b"zzzzz"], np.array([2, 3, 1, 1, 0])
+    got = {i: a.tolist() for i, a in repeats.repeated_starts(strings, docs, 4, str(tmp_path))}
+    assert got == {0: [0, 1], 1: [1]} and sorted(inserted) == sorted(set(strings))
+
+
+def test_rows_of_anchors_travel_packed_and_meet_in_one_bucket(spark):
+    r, wide = np.random.default_rng(4), np.array([3])
+    rows = np.stack([r.integers(1, 40, 900), r.integers(1, 4, 900), r.integers(0, 9, 900), np.zeros(900, dtype=np.int64), r.integers(0, 2**40, 900)])
+    rows[0, :30] = -1
+    dealt = {b: repeats.unpacked([x], 5) for b, x in repeats._dealt(rows, wide, 8)}
+    tuples = lambda x: sorted(zip(*x.tolist()))
+    assert tuples(np.concatenate(list(dealt.values()), axis=1)) == tuples(rows) and len(dealt) > 1
+    keys = [(a, c if a == 3 else 0, b) for b, x in dealt.items() for a, c in zip(*x[:2].tolist()) if a > 0]
+    assert len({k[:2] for k in keys}) == len(set(keys))
+    parts = np.concatenate([repeats.settled(x, wide, 50, 24) for x in dealt.values()], axis=1)
+    assert tuples(parts) == tuples(repeats.settled(rows, wide, 50, 24))
+    least, first = {}, {}
+    for a, c, d in rows[:3, 30:].T.tolist():
+        least[a, c] = min(least.get((a, c), d), d)
+    for (a, _), d in least.items():
+        first.setdefault(a, set()).add(d)
+    want = [(a, d, v, max((p >> 20) - 26, 0), (p >> 20) + 50) if d > least[a, c] else (a, d, v, p, 0) for a, c, d, v, p in rows[:, 30:].T.tolist() if d > least[a, c] or a == 3 or len(first[a]) > 1]
+    assert tuples(parts) == sorted(want + [(-1, d, v, p, c) for _, c, d, v, p in rows[:, :30].T.tolist()])
+    texts = table(spark, SHORT).selectExpr("coalesce(doc_id, -1L) doc_id", "0L ver", "text")
+    plan = repeats.settle(texts, wide, 10_000, 50, 24)._jdf.queryExecution().executedPlan().toString()
+    assert "rows#" in plan.split("Exchange")[1] and "around#" not in plan
+
+
+@pytest.mark.parametrize("letters", ["a", "ab", "abcdefgh"])
+def test_anchors_are_the_first_least_of_every_window(letters):
+    r = random.Random(5)
+    for _ in range(60):
+        parts = [bytes(r.choice(letters.encode()) for _ in range(r.choice([0, 7, 12, 40]))) for _ in range(4)]
+        _, _, block, starts, ends = repeats._joined([0] * 4, [0] * 4, parts)
+        grams = repeats._grams(block, 5) if len(block) >= 12 else np.array([], dtype=np.uint64)
+        want = collections.defaultdict(list)
+        for lo, hi in zip(starts.tolist(), ends.tolist()):
+            for w in range(lo, hi - 11):
+                want[min(range(w, w + 8), key=lambda i: (grams[i] >> np.uint64(1), i))].append(w)
+        place, own, left, right = repeats.anchors(grams, len(block), ends, starts, 12, 5)
+        assert own.tolist() == [int(grams[p]) >> 1 for p in place]
+        assert {p: [p - a, q + 5 + p - 12] for p, a, q in zip(place.tolist(), left.tolist(), right.tolist())} == {p: [w[0], w[-1]] for p, w in want.items()}
+
+
 # 10
 
 

@@ -11,6 +11,7 @@ its strings are single spans.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import os
 import tempfile
@@ -29,9 +30,12 @@ SPAN, GRAM = 50, 24
 BLOCK_BYTES = 1 << 18
 TASK_STRINGS = 20_000  # strings that one task gets
 PARTS = 4  # pairs of bytes beside the core by which strings that can't repeat are told
-BATCH_STRINGS = 4_000  # strings of one collection, whose transform stays small enough for the processor's caches
+BATCH_STRINGS, BATCH_ROWS = 4_000, 20_000  # different strings of one collection, and all of its strings, whose transform stays small enough for the processor's caches
 HOT_STRINGS = 5_000  # a collection with more strings is split by the bytes beside its anchor
+WINDOWS = 1 << 14  # windows whose anchors are looked up at once
 CHUNK = 1 << 19  # symbols of the transform that are read at once
+TASK_BYTES, TASK_BUCKETS = 1 << 24, 4  # bytes of text whose anchors a task settles, and the parts in which it does so
+PACK_ROWS = 1 << 19  # rows of anchors that are packed at once
 KNOWN = 50_000  # surroundings met in several documents that a task remembers
 WIDE_ROWS, WIDE_SHARE = 64, 1 / 16  # anchors with so many rows in this share of the texts are dealt by their surroundings too
 
@@ -45,16 +49,17 @@ _BYTES = _mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
 def _grams(x: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of every `size` bytes: strings of doubled length, then those that the binary digits of `size` name."""
+    """Hashes of every `size` bytes: sums of strings of doubled length, then of those that the binary digits of `size` name;
+    the sums are mixed once."""
     level, width, out, have = _BYTES[x], 1, None, 0
     while True:
         if size & width:
             n = len(level) - have
-            out = level if out is None else _mix(out[:n] * U64(0xC2B2AE3D27D4EB4F) + level[have : have + n])
+            out = level if out is None else out[:n] * U64(0xC2B2AE3D27D4EB4F) + level[have : have + n]
             have += width
         if have == size:
-            return out[: len(x) - size + 1]
-        level = _mix(level[:-width] * U64(0x165667B19E3779F9 + 2 * width) + level[width:])
+            return _mix(out[: len(x) - size + 1])
+        level = level[:-width] * U64(0x165667B19E3779F9 + 2 * width) + level[width:]
         width *= 2
 
 
@@ -78,30 +83,24 @@ def anchors(grams: np.ndarray, size: int, ends: np.ndarray, starts: np.ndarray,
         return empty, np.array([], dtype=U64), empty, empty
     h = grams >> U64(1)
     least = _slide(h, width, np.minimum)  # a window for each start of a span
-    whole = np.zeros(len(least) + 1, dtype=np.int32)
     fits = ends - starts >= span
+    whole = np.zeros(len(least) + 1, dtype=np.int32)
     np.add.at(whole, starts[fits], 1)
     np.add.at(whole, ends[fits] - span + 1, -1)
-    valid = whole[:-1].cumsum() > 0
-    least = np.where(valid, least, U64(0))
-    padded = np.concatenate([np.zeros(width - 1, dtype=U64), least, np.zeros(width - 1, dtype=U64)])
-    most = _slide(padded, width, np.maximum)
-    place = np.flatnonzero((most == h) & (h > 0))
-    own, n = h[place], len(h)
-    first, last = np.maximum(place - width + 1, 0), np.minimum(place, len(least) - 1)  # starts of its windows
-    for d in range(width - 1, 0, -1):  # the nearest hash that is no greater before it, and that is less behind it
-        before, behind = place - d, place + d
-        first = np.where((h[np.maximum(before, 0)] <= own) & (before >= 0), np.maximum(first, before + 1), first)
-        last = np.where((h[np.minimum(behind, n - 1)] < own) & (behind < n), np.minimum(last, behind - width), last)
-    doc = np.searchsorted(ends, place, side="right")
-    first, last = np.maximum(first, starts[doc]), np.minimum(last, ends[doc] - span)
-    k = np.flatnonzero(first <= last)
-    return place[k], own[k], (place - first)[k], (last + span - place)[k] - gram
+    new = np.ones(len(least), dtype=bool)  # windows whose anchor the window before does not have
+    new[1:] = (least[1:] != least[:-1]) | (h[: len(least) - 1] == least[:-1])
+    new[starts[fits]] = True
+    first = np.flatnonzero(new & (whole[:-1].cumsum() > 0))
+    last = np.minimum(np.append(first[1:], len(least)) - 1, ends[np.searchsorted(ends, first, side="right")] - span)
+    windows = np.lib.stride_tricks.sliding_window_view(h, width)
+    at = [windows[first[i : i + WINDOWS]].argmin(axis=1) for i in range(0, len(first), WINDOWS)]
+    place = first + np.concatenate([empty, *at])
+    return place, h[place], place - first, last + span - place - gram
 
 
 def surroundings(block: np.ndarray, grams: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np.ndarray, span: int, gram: int) -> np.ndarray:
     """Hashes of the bytes from span - gram before each place to span after it, of one text: from gram hashes that cover
-    them; byte by byte where a text begins or ends within."""
+    them; from single bytes where a text begins or ends within."""
     before = span - gram
     steps = [*range(-before, span - gram, gram), span - gram]
     weights = _mix(np.arange(2, before + span + 2, dtype=U64) * U64(0xD6E8FEB86659FD93)) | U64(1)
@@ -110,12 +109,10 @@ def surroundings(block: np.ndarray, grams: np.ndarray, place: np.ndarray, lo: np
     for k, step in enumerate(steps):
         out[inner] = _mix(out[inner] * U64(0x9E3779B97F4A7C15) + grams[place[inner] + step] * weights[k])
     edge = np.setdiff1d(np.arange(len(place)), inner, assume_unique=True)
-    at0, total = place[edge], np.full(len(edge), 1, dtype=U64)
-    for j in range(-before, span):
-        at = at0 + j
-        inside = (at >= lo[edge]) & (at < hi[edge])
-        total += np.where(inside, _BYTES[block[np.clip(at, 0, len(block) - 1)]], U64(1)) * weights[j + before]
-    out[edge] = _mix(total)
+    for some in np.split(edge, range(WINDOWS, len(edge), WINDOWS)):
+        at = place[some, None] + np.arange(-before, span)
+        inside = (at >= lo[some, None]) & (at < hi[some, None])
+        out[some] = _mix(U64(1) + (np.where(inside, _BYTES[block[np.clip(at, 0, len(block) - 1)]], U64(1)) * weights).sum(axis=1, dtype=U64))
     return out
 
 
@@ -193,32 +190,35 @@ BITS = 10
 ROWS = "anchor bigint, around bigint, doc_id bigint, ver bigint, place bigint"
 
 
+def _rows_of(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> Iterator[np.ndarray]:
+    """Columns of ROWS, a block of texts at a time."""
+    before, seen, met = span - gram, {}, FirstMet()
+    for batch in batches:
+        for ids, versions, block, starts, ends in _blocks(batch, seen):
+            grams = _grams(block, gram) if len(block) >= span else np.array([], dtype=U64)
+            place, h, left, right = anchors(grams, len(block), ends, starts, span, gram)
+            doc = np.searchsorted(ends, place, side="right")
+            around = surroundings(block, grams, place, starts[doc], ends[doc], span, gram).view(np.int64)
+            anchor, pos = h.view(np.int64), place - starts[doc]
+            gone = met.later(anchor, around, ids[doc])
+            g = np.flatnonzero(gone)
+            lo, hi = np.maximum(pos[g] - before, 0), np.minimum(pos[g] + span, (ends - starts)[doc[g]])
+            new = np.ones(len(g), dtype=bool)
+            new[1:] = (doc[g][1:] != doc[g][:-1]) | (lo[1:] > hi[:-1])
+            last = np.append(np.flatnonzero(new)[1:] - 1, len(g) - 1) if len(g) else g
+            k = np.flatnonzero(~gone)
+            own = np.concatenate([doc[k], doc[g][new]])
+            yield np.stack([np.concatenate([anchor[k], np.full(int(new.sum()), -1)]), np.concatenate([around[k], hi[last]]), ids[own], versions[own], np.concatenate([(pos << 2 * BITS | left << BITS | right)[k], lo[new]])])
+
+
 def anchor_rows(texts: DataFrame, span: int, gram: int) -> DataFrame:
     """Of texts (doc_id, ver, text): a row for each anchor with the hash of its surroundings (the bytes from which all spans
     over the anchor start and end).  Runs that a smaller document of the same task settles are rows with anchor -1 and
     the bytes from place to around."""
-    before = span - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
-        met = FirstMet()
-        for batch in batches:
-            for ids, versions, block, starts, ends in _blocks(batch, seen):
-                grams = _grams(block, gram) if len(block) >= span else np.array([], dtype=U64)
-                place, h, left, right = anchors(grams, len(block), ends, starts, span, gram)
-                doc = np.searchsorted(ends, place, side="right")
-                around = surroundings(block, grams, place, starts[doc], ends[doc], span, gram).view(np.int64)
-                anchor, pos = h.view(np.int64), place - starts[doc]
-                gone = met.later(anchor, around, ids[doc])
-                g = np.flatnonzero(gone)
-                lo, hi = np.maximum(pos[g] - before, 0), np.minimum(pos[g] + span, (ends - starts)[doc[g]])
-                new = np.ones(len(g), dtype=bool)
-                new[1:] = (doc[g][1:] != doc[g][:-1]) | (lo[1:] > hi[:-1])
-                last = np.append(np.flatnonzero(new)[1:] - 1, len(g) - 1) if len(g) else g
-                k = np.flatnonzero(~gone)
-                own = np.concatenate([doc[k], doc[g][new]])
-                columns = (np.concatenate([anchor[k], np.full(int(new.sum()), -1)]), np.concatenate([around[k], hi[last]]), ids[own], versions[own], np.concatenate([(pos << 2 * BITS | left << BITS | right)[k], lo[new]]))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "around", "doc_id", "ver", "place"])
+        for rows in _rows_of(batches, span, gram):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=["anchor", "around", "doc_id", "ver", "place"])
 
     return texts.select("doc_id", "ver", "text").mapInArrow(run, ROWS)
 
@@ -238,57 +238,93 @@ def wide_anchors(texts: DataFrame, span: int, gram: int) -> np.ndarray:
 SETTLED = "anchor bigint, doc_id bigint, ver bigint, place bigint, end bigint"
 
 
-def settle(rows: DataFrame, wide: np.ndarray, span: int, gram: int) -> DataFrame:
-    """Streams rows in order of (anchor, around, doc_id): settled runs of bytes (place, end) whose spans all start in a smaller
-    document, and open anchors (end 0): rows of the first document with their surroundings, of an anchor that other
-    documents have in other surroundings, or that is wide.
+def packed(columns: np.ndarray) -> bytes:
+    """Columns of eight-byte numbers as bytes of like weight side by side: those that are zero compress to nothing."""
+    return np.ascontiguousarray(columns).view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1).tobytes()
+
+
+def unpacked(data: list[bytes], columns: int) -> np.ndarray:
+    parts = [np.frombuffer(x, dtype=np.uint8).reshape(columns, 8, -1).transpose(0, 2, 1) for x in data]
+    return np.ascontiguousarray(np.concatenate(parts, axis=1)).view(np.int64)[:, :, 0]
+
+
+def _dealt(rows: np.ndarray, wide: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, packed rows): rows of an anchor go to one bucket, of one that is wide by their surroundings too, and settled
+    runs anywhere."""
+    anchor = rows[0].view(U64)
+    key = np.where(np.isin(rows[0], wide), anchor + _mix(rows[1].view(U64)), anchor)
+    bucket = (_mix(key) % U64(buckets)).astype(np.int32)
+    bucket = np.where(rows[0] < 0, rows[2] % buckets, bucket)
+    order = np.argsort(bucket, kind="stable")
+    found, at = np.unique(bucket[order], return_index=True)
+    for b, part in zip(found.tolist(), np.split(order, at[1:])):
+        yield b, packed(rows[:, part])
 
-    Rows are held back only while all first documents of an anchor are the same one.
-    """
-    names = ["anchor", "doc_id", "ver", "place", "end"]
-    before, wide = span - gram, np.sort(wide)
+
+def settled(rows: np.ndarray, wide: np.ndarray, span: int, gram: int) -> np.ndarray:
+    """Of all rows of some anchors, columns of SETTLED: settled runs of bytes (place, end) whose spans all start in a smaller
+    document, and open anchors (end 0): rows of the first document with their surroundings, of an anchor that other
+    documents have in other surroundings, or that is wide."""
+    before = span - gram
+    ready = rows[0] < 0
+    runs, rows = rows[:, ready][[0, 2, 3, 4, 1]], rows[:, ~ready]
+    order = np.argsort(rows[0])
+    sorted_ = rows[0][order]
+    same = sorted_[1:] == sorted_[:-1]
+    order = order[np.append(same, False) | np.append(False, same) | np.isin(sorted_, wide)]  # most anchors are met once, and say nothing
+    if not len(order):
+        return runs
+    a, c, d, v, p = rows[:, order]
+    order = np.lexsort((d, c, a))
+    a, c, d, v, p = (x[order] for x in (a, c, d, v, p))
+    new_a = np.append(True, a[1:] != a[:-1])
+    new_c = new_a | np.append(True, c[1:] != c[:-1])
+    group = np.cumsum(new_a) - 1
+    done = d != d[new_c][np.cumsum(new_c) - 1]
+    several = np.isin(a[new_a], wide)
+    several[group[~done & (d != d[new_a][group])]] = True
+    out, pos = done | several[group], p >> 2 * BITS
+    return np.concatenate([runs, np.stack([a, d, v, np.where(done, np.maximum(pos - before, 0), p), np.where(done, pos + span, 0)])[:, out]], axis=1)
+
+
+def settle(texts: DataFrame, wide: np.ndarray, size: int, span: int, gram: int) -> DataFrame:
+    """Settles the anchors of texts of `size` bytes.  Rows go to their buckets packed, a few thousand in one row of Spark's;
+    buckets are as many as the texts ask for, so that a task holds one at a time."""
+    tasks = max(1, -(-size // TASK_BYTES))
+    buckets = tasks * TASK_BUCKETS
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            found = list(_dealt(np.concatenate(held, axis=1), wide, buckets))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=["bucket", "rows"])
+
+        held: list[np.ndarray] = []
+        for rows in _rows_of(batches, span, gram):
+            held.append(rows)
+            if sum(x.shape[1] for x in held) >= PACK_ROWS:
+                yield flush()
+        if held:
+            yield flush()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch_of(*columns: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+        def flush() -> pa.RecordBatch:
+            columns = settled(unpacked(held, 5), wide, span, gram)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["anchor", "doc_id", "ver", "place", "end"])
 
-        last = None  # (anchor, around, first document of the surroundings, first document of the anchor, several)
-        held: list[tuple[np.ndarray, ...]] = []
+        held, last = [], None
         for batch in batches:
-            a, c, d, v, p = (batch.column(i).to_numpy() for i in range(5))
-            ready = a < 0
-            if ready.any():
-                yield batch_of(a[ready], d[ready], v[ready], p[ready], c[ready])
-                a, c, d, v, p = (x[~ready] for x in (a, c, d, v, p))
-            if not len(a):
-                continue
-            new_a = np.concatenate([[last is None or a[0] != last[0]], a[1:] != a[:-1]])
-            new_c = new_a | np.concatenate([[last is None or c[0] != last[1]], c[1:] != c[:-1]])
-            group, inner = np.cumsum(new_a), np.cumsum(new_c)  # 0: goes on from the batch before
-            first_c = np.concatenate([[last[2] if last else 0], d[new_c]])[inner]
-            first_a = np.concatenate([[last[3] if last else 0], d[new_a]])[group]
-            done = d != first_c
-            several = np.zeros(group[-1] + 1, dtype=bool)
-            several[0] = bool(last and last[4])
-            several[group[~done & (d != first_a)]] = True
-            if len(wide):
-                several[group[new_a]] |= np.isin(a[new_a], wide)
-            if held and (several[0] or group[-1] > 0):
-                if several[0]:
-                    for x in held:
-                        yield batch_of(*x, np.zeros(len(x[0]), dtype=np.int64))
-                held = []
-            wait = ~done & ~several[group]
-            if (keep := wait & (group == group[-1])).any():
-                held.append((a[keep], d[keep], v[keep], p[keep]))
-            out, pos = ~wait, p >> 2 * BITS
-            yield batch_of(a[out], d[out], v[out], np.where(done, np.maximum(pos - before, 0), p)[out], np.where(done, pos + span, 0)[out])
-            last = (a[-1], c[-1], first_c[-1], first_a[-1], bool(several[group[-1]]))
-
-    dealt = F.when(F.col("anchor") < 0, F.xxhash64("doc_id", "place"))
-    if len(wide):
-        dealt = dealt.when(F.col("anchor").isin(wide.tolist()), F.xxhash64("anchor", "around"))
-    return rows.repartition(dealt.otherwise(F.col("anchor"))).sortWithinPartitions("anchor", "around", "doc_id").mapInArrow(run, SETTLED)
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if held and bucket != last:
+                    yield flush()
+                held.append(data.as_buffer())
+                last = bucket
+        if held:
+            yield flush()
+
+    dealt = texts.select("doc_id", "ver", "text").mapInArrow(deal, "bucket int, rows binary")
+    return dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, SETTLED)
 
 
 class _Scan:
@@ -317,21 +353,18 @@ class _Scan:
         closed = np.append(common, self.kind(self.span))
 
         def between(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-            """Least of common[lo] to common[hi]; from the last on, so that nothing between two is looked at."""
-            back = np.argsort(-lo)
-            pairs = np.stack([lo[back], hi[back] + 1], axis=1).ravel()
-            out = np.empty(len(lo), dtype=self.kind)
-            out[back] = np.minimum.reduceat(closed, pairs)[::2] if len(lo) else 0
-            return out
+            """Least of common[lo] to common[hi]; one of the two ascends, and they are taken from the last on, so that nothing
+            between two is looked at."""
+            pairs = np.stack([lo[::-1], hi[::-1] + 1], axis=1).ravel()
+            return np.minimum.reduceat(closed, pairs)[::2][::-1] if len(lo) else closed[:0]
 
         k, c = inverse[mine], symbols[mine]
         rank = self.count[c] + k - begin[c]
         inner, follows = k > begin[c], k + 1 < begin[c] + sizes[c]
         after = order[np.minimum(k + 1, m - 1)][follows]
         least = np.zeros(len(mine), dtype=self.kind)
-        both = between(np.concatenate([order[k[inner] - 1] + 1, mine[follows] + 1]), np.concatenate([mine[inner], after]))
-        least[inner] = both[: inner.sum()]
-        found = [c[follows]], [rank[follows] + 1], [self.more(both[inner.sum() :])]
+        least[inner] = between(order[k[inner] - 1] + 1, mine[inner])
+        found = [c[follows]], [rank[follows] + 1], [self.more(between(mine[follows] + 1, after))]
         head = None
         if passed or not last:
             head = np.minimum.accumulate(common)
@@ -368,8 +401,8 @@ class ColumnWise:
         self.n, self.length, self.span = len(strings), np.array([len(s) for s in strings]), span
         self.width = int(self.length.max(initial=0))
         self.table = np.zeros((self.n, self.width), dtype=np.uint8)  # right-aligned, UTF-8 bytes plus 1; 0 ends a string
-        for i, s in enumerate(strings):
-            self.table[i, self.width - len(s) :] = np.frombuffer(s, dtype=np.uint8) + 1
+        inside = np.arange(self.width) >= self.width - self.length[:, None]
+        self.table[inside] = np.frombuffer(b"".join(strings), dtype=np.uint8) + 1
         self.kind = np.uint8 if span < 256 else np.uint32
         self.folder = folder
 
@@ -406,7 +439,7 @@ class ColumnWise:
                 own.append(shared)
                 later.append((smaller[c] + r, x))
             place, own = np.concatenate(place), np.concatenate(own)
-            order = np.argsort(place)
+            order = np.argsort(symbols, kind="stable")  # so are their places
             rows, place, own = rows[order], place[order], own[order]
             symbols = self.symbol(rows, taken)
             follow, value = (np.concatenate(x) for x in zip(*later))
@@ -453,20 +486,31 @@ class ColumnWise:
         return ranks, np.cumsum(common < self.span) - 1
 
 
-def repeated_starts(strings: list[bytes], docs: np.ndarray, span: int, folder: str) -> Iterator[tuple[int, np.ndarray]]:
-    """(string, its starts whose next `span` bytes also start in a string of a smaller document)."""
-    own = ColumnWise(strings, span, folder)
+def repeated_places(strings: list[bytes], docs: np.ndarray, span: int, folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """(string, start), in order, of the starts whose next `span` bytes also start in a string of a smaller document.  Equal
+    strings are one string of the collection, and each is judged by its own document."""
+    known: dict[bytes, int] = {}
+    which = np.array([known.setdefault(s, len(known)) for s in strings], dtype=np.int64)
+    own = ColumnWise(list(known), span, folder)
     if own.width < span:
-        return
+        return which[:0], which[:0]
     ranks, ids = own.classes()
-    long = np.arange(own.width + 1)[None, :] >= span
-    valid = long & (np.arange(own.width + 1)[None, :] <= own.length[:, None])
-    owner = np.broadcast_to(docs[:, None], ranks.shape)
+    sizes = np.arange(own.width + 1)
+    valid = (sizes >= span) & (sizes <= own.length[:, None])
+    first = np.full(own.n, np.iinfo(np.int64).max)
+    np.minimum.at(first, which, docs)
     least = np.full(ids[-1] + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, ids[ranks[valid]], owner[valid])
-    hit = valid & (least[ids[ranks]] < owner)
-    for i in np.flatnonzero(hit.any(axis=1)):
-        yield int(i), own.length[i] - np.flatnonzero(hit[i])[::-1]
+    np.minimum.at(least, ids[ranks[valid]], np.broadcast_to(first[:, None], ranks.shape)[valid])
+    met = np.where(valid, least[ids[ranks]], np.iinfo(np.int64).max)
+    i, back = np.nonzero(met[which, :][:, ::-1] < docs[:, None])
+    return i, own.length[which[i]] - own.width + back
+
+
+def repeated_starts(strings: list[bytes], docs: np.ndarray, span: int, folder: str) -> Iterator[tuple[int, np.ndarray]]:
+    """(string, its starts whose next `span` bytes also start in a string of a smaller document)."""
+    i, start = repeated_places(strings, docs, span, folder)
+    found, at = np.unique(i, return_index=True)
+    yield from zip(found.tolist(), np.split(start, at[1:]))
 
 
 STRINGS = "anchor bigint, doc_id bigint, ver bigint, start int, bytes binary, core int, size int, slack int"
@@ -549,22 +593,25 @@ def _by_suffixes(strings: DataFrame, n: int, span: int) -> DataFrame:
         anchor, docs, versions, starts, core, size, slack = (t[c].to_numpy() for c in ("anchor", "doc_id", "ver", "start", "core", "size", "slack"))
         strings = t["bytes"].to_pylist()
         live = np.flatnonzero(may_repeat(anchor, docs, core, size, slack, strings))
-        d, v, lo, hi = [], [], [], []
-        at = 0
+        known, distinct = {}, []  # how many different strings there are up to each
+        for r in live:
+            known.setdefault(strings[r], None)
+            distinct.append(len(known))
+        new, found = np.append(True, anchor[live[1:]] != anchor[live[:-1]]), [[np.array([], dtype=np.int64)] * 4]
         with tempfile.TemporaryDirectory() as folder:  # this task's own sequential files, gone with it
+            at, ends = 0, np.append(np.flatnonzero(new)[1:], len(live))  # an anchor's strings stay together
             while at < len(live):
-                end = min(at + BATCH_STRINGS, len(live))
-                while end < len(live) and anchor[live[end]] == anchor[live[end - 1]]:
-                    end += 1  # an anchor's strings stay together
+                full = min(bisect.bisect_left(distinct, (distinct[at - 1] if at else 0) + BATCH_STRINGS), at + BATCH_ROWS - 1)
+                end = int(ends[min(np.searchsorted(ends, full + 1), len(ends) - 1)])
                 rows = live[at:end]
-                for i, found in repeated_starts([strings[r] for r in rows], docs[rows], span, folder):
-                    for part in np.split(found, np.flatnonzero(np.diff(found) > span) + 1):
-                        d.append(int(docs[rows[i]]))
-                        v.append(int(versions[rows[i]]))
-                        lo.append(int(starts[rows[i]] + part[0]))
-                        hi.append(int(starts[rows[i]] + part[-1] + span))
+                i, start = repeated_places([strings[r] for r in rows], docs[rows], span, folder)
+                head = np.append(True, (i[1:] != i[:-1]) | (start[1:] > start[:-1] + span))[: len(i)]
+                tail = np.append(head[1:], True)[: len(i)]
+                own = rows[i[head]]
+                found.append([docs[own], versions[own], starts[own] + start[head], starts[own] + start[tail] + span])
                 at = end
-        return pa.table({"doc_id": pa.array(d, pa.int64()), "ver": pa.array(v, pa.int64()), "lo": pa.array(lo, pa.int32()), "hi": pa.array(hi, pa.int32())})
+        d, v, lo, hi = map(np.concatenate, zip(*found))
+        return pa.table({"doc_id": pa.array(d), "ver": pa.array(v), "lo": pa.array(lo.astype(np.int32)), "hi": pa.array(hi.astype(np.int32))})
 
     return strings.withColumn("task", F.pmod(F.xxhash64("anchor"), F.lit(tasks))).groupBy("task").applyInArrow(run, FOUND)
 
@@ -615,7 +662,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     copied = materialize(first.where("first < last").select("sha", "first"), "repeat-copies", kept)
     whole = slim.join(copied, "sha").where("doc_id > first").select(*key, F.lit(0).alias("lo"), F.col("n_bytes").cast("int").alias("hi"))
     texts = base.where(F.octet_length("text") >= span)
-    marks = materialize(settle(anchor_rows(texts, span, gram), wide_anchors(texts, span, gram), span, gram), "repeat-marks", made)
+    size = slim.agg(F.sum("n_bytes")).first()[0] or 0
+    marks = materialize(settle(texts, wide_anchors(texts, span, gram), size, span, gram), "repeat-marks", made)
     done = marks.where("end > 0").select(*key, F.col("place").cast("int").alias("lo"), F.col("end").cast("int").alias("hi"))
     strings = materialize(_strings(marks.where("end = 0"), texts, span, gram), "repeat-strings", made)
     found = done.unionByName(whole).unionByName(_ends_of_repeats(strings, span, made))

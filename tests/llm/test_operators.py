@@ -817,6 +817,13 @@ def test_rows_of_anchors_travel_packed_and_meet_in_one_bucket(spark):
     assert "rows#" in plan.split("Exchange")[1] and "around#" not in plan
 
 
+def test_each_task_gets_as_many_buckets(spark):
+    for tasks in (1, 7, 50):
+        keys = repeats.even_keys(spark, tasks)
+        rows = spark.createDataFrame([(keys[b % tasks], b) for b in range(4 * tasks)], "key int, bucket int").repartition(tasks, "key")
+        assert [len(p) for p in rows.rdd.glom().collect()] == [4] * tasks
+
+
 @pytest.mark.parametrize("letters", ["a", "ab", "abcdefgh"])
 def test_anchors_are_the_first_least_of_every_window(letters):
     r = random.Random(5)

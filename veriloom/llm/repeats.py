@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import drop_tables, materialize
@@ -287,17 +287,26 @@ def settled(rows: np.ndarray, wide: np.ndarray, span: int, gram: int) -> np.ndar
     return np.concatenate([runs, np.stack([a, d, v, np.where(done, np.maximum(pos - before, 0), p), np.where(done, pos + span, 0)])[:, out]], axis=1)
 
 
+def even_keys(spark: SparkSession, tasks: int) -> list[int]:
+    """A number for each task to which repartition(tasks) takes it: buckets dealt by their hashes would leave some tasks several
+    times the rows of others."""
+    tried = spark.range(tasks * (tasks.bit_length() + 8)).select(F.col("id").cast("int").alias("key"))
+    found = {r["task"]: r["key"] for r in tried.groupBy(F.pmod(F.hash("key"), F.lit(tasks)).alias("task")).agg(F.min("key").alias("key")).collect()}
+    return [found.get(t, t) for t in range(tasks)]
+
+
 def settle(texts: DataFrame, wide: np.ndarray, size: int, span: int, gram: int) -> DataFrame:
     """Settles the anchors of texts of `size` bytes.  Rows go to their buckets packed, a few thousand in one row of Spark's;
     buckets are as many as the texts ask for, so that a task holds one at a time."""
     tasks = max(1, -(-size // TASK_BYTES))
     buckets = tasks * TASK_BUCKETS
+    keys = even_keys(texts.sparkSession, tasks)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
             found = list(_dealt(np.concatenate(held, axis=1), wide, buckets))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=["bucket", "rows"])
+            return pa.RecordBatch.from_arrays([pa.array([keys[b % tasks] for b, _ in found], pa.int32()), pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=["key", "bucket", "rows"])
 
         held: list[np.ndarray] = []
         for rows in _rows_of(batches, span, gram):
@@ -315,7 +324,7 @@ def settle(texts: DataFrame, wide: np.ndarray, size: int, span: int, gram: int)
 
         held, last = [], None
         for batch in batches:
-            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for bucket, data in zip(batch.column(1).to_pylist(), batch.column(2)):
                 if held and bucket != last:
                     yield flush()
                 held.append(data.as_buffer())
@@ -323,8 +332,8 @@ def settle(texts: DataFrame, wide: np.ndarray, size: int, span: int, gram: int)
         if held:
             yield flush()
 
-    dealt = texts.select("doc_id", "ver", "text").mapInArrow(deal, "bucket int, rows binary")
-    return dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, SETTLED)
+    dealt = texts.select("doc_id", "ver", "text").mapInArrow(deal, "key int, bucket int, rows binary")
+    return dealt.repartition(tasks, "key").sortWithinPartitions("bucket").mapInArrow(run, SETTLED)
 
 
 class _Scan:
